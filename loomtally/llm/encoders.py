@@ -11,47 +11,58 @@ together goes to the library as it is.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+from array import array
+from collections.abc import Sequence
 
-import numpy as np
-
-#: Distinct words that a worker keeps for each table; beyond it the table starts anew.
-CACHE_WORDS = 1_200_000
+#: Distinct words that a worker keeps in each table; beyond it the table starts anew.
+CACHE_WORDS = 500_000
 #: White space other than the space and the line feed, as the vocabularies' patterns and str.split know it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
+
+
 class WordCache(dict):
     """word -> ids as little-endian unsigned 32-bit integers. before: what stands
-    before the word where it is encoded."""
+    before the word where it is encoded; lower: the vocabulary folds case."""
 
     def __init__(self, tokenizer, before: str, lower: bool):
         super().__init__()
-        self.tokenizer, self.before, self.lower = tokenizer, before, lower
-        self.marks = self.ask([",", "."], "")
-
-    def learn(self, words: set[str]) -> None:
-        """Have all of words in the table. The library sees a word of letters once, and
-        not again with a comma or full stop behind it, which is a unit of its own."""
-        new = words.difference(self)
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = words
-        parts: dict[str, tuple[str, str]] = {}
-        for w in new:
-            core, mark = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[:-1].isalpha() else (w, "")
-            parts[w] = (core.lower() if self.lower and core.isascii() else core, mark)
-        self.update(self.ask([c for c in {c for c, _ in parts.values()} if c not in self], self.before))
-        for w, (core, mark) in parts.items():
-            self[w] = self[core] + (self.marks[mark] if mark else b"")
-
-    def ask(self, words: list[str], before: str) -> dict[str, bytes]:
-        out = {}
-        for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
-            encoded = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
-            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
-        return out
+        self.tokenizer, self.model, self.before, self.lower = tokenizer, tokenizer.model, before, lower
+        self.marks = {m: self.whole(m) for m in ",."}
+
+    def __missing__(self, word: str) -> bytes:
+        core, mark = word, b""
+        if word[-1] in self.marks and word[:-1].isalpha():
+            # a comma or full stop behind letters is a unit of its own
+            core, mark = word[:-1], self.marks[word[-1]]
+        ids = (self.get(core) if mark else None) or self.letters(core) or self.whole(self.before + core)
+        self[word] = ids + mark
+        return ids + mark
+
+    def letters(self, word: str) -> bytes | None:
+        """Latin letters are one unit, which the model can merge without the library's
+        normalizing and cutting (most of its time); None for other words."""
+        if not word.isalpha():
+            return None
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        data = (self.before + (word.lower() if self.lower else word)).encode()
+        return array("I", [t.id for t in self.model.tokenize(data.decode("latin-1").translate(_LETTERS))]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 class WordEncoder:
@@ -69,23 +80,20 @@ class WordEncoder:
         self.spaced = spaced
         self.bare = WordCache(self.tokenizer, "", not spaced)
         self.after_space = WordCache(self.tokenizer, " ", False) if spaced else self.bare
-        self.feed = self.bare.ask(["\n"], "")["\n"]
+        self.feed = self.bare.whole("\n")
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        cut = [self._lines(t) for t in texts]
-        first = {line[0] for lines in cut for line in lines}
-        rest: set[str] = set()
-        for lines in cut:
-            for line in lines:
-                rest.update(line[1:])
-        if self.spaced:
-            self.bare.learn(first)
-            self.after_space.learn(rest)
-        else:
-            self.bare.learn(first | rest)
-        bare, after, out = self.bare, self.after_space.__getitem__, []
-        for lines in cut:
-            out.append(self.feed.join([b"".join([bare[line[0]], *map(after, line[1:])]) for line in lines]) if self.spaced else b"".join([b"".join(map(after, line)) for line in lines]))
+        bare, after = self.bare, self.after_space
+        word, out = after.__getitem__, []
+        for text in texts:
+            if len(bare) > CACHE_WORDS or len(after) > CACHE_WORDS:
+                bare.clear()
+                after.clear()
+            lines = self._lines(text)
+            if self.spaced:
+                out.append(self.feed.join([b"".join([bare[line[0]], *map(word, line[1:])]) for line in lines]))
+            else:
+                out.append(b"".join([b"".join(map(word, line)) for line in lines]))
         return out
 
     def _lines(self, text: str | None) -> list[list[str]]:
