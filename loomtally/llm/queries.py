@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import mixing, packing, token_store, url_rules
+from loomtally.llm import fingerprint, hnsw, hpylm, mixing, packing, simhash, token_store, toxicity, url_rules, warc
 from loomtally.session import scratch_path
 from loomtally.sources.tables import table
 
@@ -31,6 +31,34 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_piecewise_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, compared with its edited text and its successor."""
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under a model of four fifths of them."""
+    return hpylm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in at most two bits."""
+    return simhash.near_components(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
+REVISIT_AFTER = 1000
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page captured once in full and revisited later: what each revisit resolves to."""
+    found = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages"), REVISIT_AFTER))
+    header = lambda name, alias: F.col("headers")[name].alias(alias)
+    return found.select(
+        F.expr("record_id div 2").alias("page_id"), "canonical_url", "ts", F.expr("resolved_id div 2").alias("resolved_page_id"), "outcome",
+        header("etag", "etag"), header("last-modified", "last_modified"), header("date", "date"), header("content-length", "content_length"), header("cache-control", "cache_control"),
+    )
+
+
 def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
@@ -43,13 +71,28 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, store)
 
 
+def op7_vector_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.95 and its component."""
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity, likeliest grade and whether it is toxic."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by nested host and path rules."""
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, RULES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op6_pack_windows, op8_token_store, op10_url_rules)}
+    found = (
+        op1_mix_sources, op2_piecewise_fingerprint, op3_pitman_yor_scores, op4_simhash_components, op5_warc_revisits,
+        op6_pack_windows, op7_vector_graphs, op8_token_store, op9_ordinal_toxicity, op10_url_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,4 +110,29 @@ fits AS (
   FROM seen JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
 FROM seen LEFT JOIN fits USING (n)""",
+        "op5_warc_revisits": f"""
+WITH cut AS (
+  SELECT row_number() OVER () AS n, page_id, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS bytes,
+    regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+split AS (SELECT *, regexp_extract(bare, '(?s)^([^/?]*)', 1) AS h FROM cut),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(translate(h, '{url_rules.UPPER}', '{url_rules.LOWER}'), ':(80|443)$', ''), '^www\\.', '') ||
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_replace(substr(bare, length(h) + 1), '([?&])({warc.TRACKING})=[^&]*', '\\1', 'g'),
+      '&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]$', ''), '/$', '') AS canonical_url
+  FROM split),
+pairs AS (
+  SELECT r.n, r.page_id AS page_id, r.canonical_url AS canonical_url, r.page_id + {REVISIT_AFTER} AS ts, r.tag AS tag, r.page_id % 3 <> 2 AS tagged,
+    max_by(struct_pack(id := f.page_id, tag := f.tag, bytes := f.bytes), f.page_id) AS got
+  FROM named r JOIN named f ON f.canonical_url = r.canonical_url AND f.page_id < r.page_id + {REVISIT_AFTER}
+  GROUP BY ALL),
+judged AS (
+  SELECT *, CASE WHEN tagged THEN CASE WHEN tag = got.tag THEN 'etag' ELSE 'mismatch' END
+    ELSE CASE WHEN page_id = got.id THEN 'last-modified' ELSE 'mismatch' END END AS outcome FROM pairs)
+SELECT page_id, canonical_url, ts, CASE WHEN outcome <> 'mismatch' THEN got.id END AS resolved_page_id, outcome,
+  CASE WHEN tagged THEN 'W/' || tag WHEN outcome <> 'mismatch' THEN got.tag END AS etag,
+  CASE WHEN outcome <> 'mismatch' THEN got.id::varchar ELSE page_id::varchar END AS last_modified, ts::varchar AS date,
+  CASE WHEN outcome <> 'mismatch' THEN got.bytes::varchar ELSE '0' END AS content_length,
+  CASE WHEN outcome <> 'mismatch' THEN 'max-age=60' END AS cache_control
+FROM judged""",
     }
