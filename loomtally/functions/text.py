@@ -40,9 +40,14 @@ def lexemes(text: Column) -> Column:
 
 def shingle_hashes(tokens: Column, width: int = 5) -> Column:
     """Distinct 64-bit hashes of `width` successive tokens; of all tokens if they are fewer."""
-    whole = F.array(F.xxhash64(F.array_join(tokens, "\x00")))
-    many = F.transform(F.sequence(F.lit(1), F.size(tokens) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, width), "\x00")))
-    return F.array_distinct(F.when(F.size(tokens) < width, whole).otherwise(many))
+
+    def of(t: Column) -> Column:
+        whole = F.array(F.xxhash64(F.array_join(t, "\x00")))
+        many = F.transform(F.sequence(F.lit(1), F.size(t) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, width), "\x00")))
+        return F.array_distinct(F.when(F.size(t) < width, whole).otherwise(many))
+
+    # as a lambda's variable the tokens are computed once and not again for each shingle
+    return F.transform(F.array(tokens), of)[0]
 
 
 def repository_family(repo: Column) -> Column:

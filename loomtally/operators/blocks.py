@@ -39,7 +39,8 @@ def raw_blocks(docs: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             made = [greedy_blocks(t or "", most) for t in batch["text"].tolist()]
             counts = [len(m) for m in made]
-            yield pd.DataFrame({"pos": np.repeat(batch["pos"].to_numpy(), counts), "block_pos": np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]).astype(np.int64), "block": [b for m in made for b in m]})
+            if any(counts):  # a frame without rows has no string type
+                yield pd.DataFrame({"pos": np.repeat(batch["pos"].to_numpy(), counts), "block_pos": np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]).astype(np.int64), "block": [b for m in made for b in m]})
 
     return docs.select("pos", "text").mapInPandas(cut, "pos long, block_pos long, block string")
 

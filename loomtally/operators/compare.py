@@ -51,7 +51,7 @@ def bootstrap(units: DataFrame, replicates: int, seed: int) -> DataFrame:
         .select(F.expr(f"id div {n}").alias("r"), (F.col("id") % n).alias("s"))
         .select("r", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("s").cast("string"))), 1, 8), 16, 10).cast("long") % n).alias("unit"))
     )
-    sums = draws.groupBy("r", "unit").agg(F.count(F.lit(1)).alias("m")).join(units, "unit").groupBy("r").agg((F.sum(F.col("m") * F.col("delta")) / F.sum(F.col("m") * F.col("utf8_bytes")) / LN2).alias("v"))
+    sums = draws.groupBy("r", "unit").agg(F.count(F.lit(1)).alias("m")).hint("merge").join(units, "unit").groupBy("r").agg((F.sum(F.col("m") * F.col("delta")) / F.sum(F.col("m") * F.col("utf8_bytes")) / LN2).alias("v"))
     return sums.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).withColumn("units", F.lit(n).cast("long"))
 
 

@@ -58,7 +58,7 @@ def jsonl_shards(spark: SparkSession, paths: list[str], fields: str) -> DataFram
 
     A gzip file is one task; it is decompressed as a stream and parsed line by line. A line
     ends at a line feed alone, so other line separators within texts do no harm."""
-    names = [f.split(" ")[0].strip("` ") for f in fields.split(",")]
+    names = [f.split()[0].strip("`") for f in fields.split(",")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,7 +71,8 @@ def jsonl_shards(spark: SparkSession, paths: list[str], fields: str) -> DataFram
                         if len(rows) == 5000:
                             yield pd.DataFrame(rows, columns=[*names, "source_shard", "source_line"])
                             rows = []
-                yield pd.DataFrame(rows, columns=[*names, "source_shard", "source_line"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*names, "source_shard", "source_line"])
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content").repartition(max(1, len(paths)))
     return files.mapInPandas(read, f"{fields}, source_shard string, source_line long")
