@@ -165,7 +165,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     changed = fingerprint(new)
                     out.append((before, len(old), hashlib.sha256(new.encode()).hexdigest(), was, changed, likeness(was, changed), likeness(was, own)))
                 held = None if ahead else (at, doc, text, own)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            if out:  # a frame without rows has no string type
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -163,7 +163,8 @@ def read_tokens(spark: SparkSession, store: str, with_ids: bool = False, only: l
                             raise ValueError(f"document {doc}: {len(ids)} ids instead of {n}")
                         rows.append((doc, row.shard, row.block, at, int(n), zlib.crc32(ids.tobytes())) + ((ids.astype(np.int64),) if with_ids else ()))
                     at += int(n)
-                yield pd.DataFrame(rows, columns=["doc_id", "shard", "block", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "shard", "block", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, shard int, block long, at long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids
     documents = blocks.mapInPandas(expand, schema)
