@@ -186,7 +186,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int
     targets = durable(source_targets(sizes, weights, max_passes), "mix-targets")
     slots = mix_slots(targets, block_words, seed=seed)
     pieces = document_blocks(sizes, targets, block_words).select("source_no", "block", "doc_id", "_tie", "start", "words")
-    return sizes, targets, slots.join(pieces, ["source_no", "block"])
+    # slots come from a short range, which would pass for a small table: both sides are shuffled
+    return sizes, targets, slots.hint("merge").join(pieces, ["source_no", "block"])
 
 
 def mix_taken(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int = 32, max_passes: int = 3, seed: int = 7) -> DataFrame:
@@ -208,18 +209,23 @@ def mix_taken(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int = 32, max_passes: int = 3, seed: int = 7) -> DataFrame:
     """The mix as documents: for every document and pass of which words are taken, a
     row with those words in order (the text itself where all are taken)."""
-    _, _, drawn = mix(docs, weights, block_words, max_passes, seed)
+    sizes, _, drawn = mix(docs, weights, block_words, max_passes, seed)
     parts = (
         drawn.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_of"), "pass_no")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "words"))).alias("_parts"))
-        .withColumn("_words", F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("_parts"), F.sum("words").alias("_words"))
     )
+    rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64("text").alias("_tie"), F.lit(False).alias("_shared"))
+    # rows equal in id and text have their pieces in common, which one of them brings
+    twice = durable(sizes.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_of"), "repeated-rows")
+    of = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_of"))
+    if twice.limit(1).count():
+        again = rows.join(twice, of, "left_semi").withColumn("_key", F.col("_doc.doc_id")).dropDuplicates(["_key", "_tie"]).drop("_key").withColumn("_shared", F.lit(True))
+        rows = rows.join(twice, of, "left_anti").unionByName(again)
     words = F.regexp_extract_all(F.col("_doc.text"), F.lit(f"({WORD})"), 1)
     cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_split"), (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
     return (
-        docs.select(F.struct("*").alias("_doc"), F.xxhash64("text").alias("_tie"))
-        .join(parts, (F.col("_doc.doc_id").eqNullSafe(F.col("_id"))) & (F.col("_tie") == F.col("_of")))
-        .withColumn("_split", F.when(F.col("_words") < word_count(F.col("_doc.text")), words))
+        rows.join(parts, of)
+        .withColumn("_split", F.when(F.col("_shared") | (F.col("_words") < word_count(F.col("_doc.text"))), words))
         .withColumn("_text", F.when(F.col("_split").isNull(), F.col("_doc.text")).otherwise(cut))
         .select(F.col("_doc").withField("text", F.col("_text")).withField("n_chars", F.length("_text").cast("long")).alias("_doc"))
         .select("_doc.*")
