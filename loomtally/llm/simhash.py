@@ -156,41 +156,46 @@ def _nearest(shard: list[int], radius: int, partners: int) -> Iterator[tuple[int
         tree.add(value)
 
 
-def _routed(nodes: DataFrame, routes: Sequence[int], column: str = "fp") -> DataFrame:
-    """One row for each fingerprint and route: shard (route number, agreed bits)."""
+def _routed(nodes: DataFrame, routes: Sequence[int]) -> DataFrame:
+    """fp, route, key for each fingerprint and route; key: a hash of the route and of the
+    bits that its shard agrees on (shards that share a hash are searched as one)."""
     masks = F.array(*[F.lit(signed(m)).cast("long") for m in routes])
-    return nodes.select(column, F.posexplode(masks).alias("route", "mask")).select(column, "route", F.col(column).bitwiseAND(F.col("mask")).alias("bits"))
+    bits = F.col("fp").bitwiseAND(F.col("mask"))
+    return nodes.select("fp", F.posexplode(masks).alias("route", "mask")).select("fp", "route", F.xxhash64("route", bits).alias("key"))
+
+
+def _dealt_again(routed: DataFrame, routes: Sequence[int], radius: int) -> DataFrame:
+    """fp, key of crowded shards dealt by the bits outside their route's mask, in `radius` + 2
+    parts (6 at most) of which two agree within the radius (or likely, beyond 4)."""
+    parts = min(radius, 4) + 2
+    masks = []
+    for mask in routes:
+        rest = [b for b in range(BITS) if not mask >> b & 1]
+        split = [sum(1 << b for b in rest[i::parts]) for i in range(parts)]
+        masks.append(F.array(*[F.lit(signed(x | y)).cast("long") for x, y in itertools.combinations(split, 2)]))
+    bits = F.col("fp").bitwiseAND(F.col("mask"))
+    return routed.select("fp", "key", F.posexplode(F.element_at(F.array(*masks), F.col("route") + 1)).alias("part", "mask")).select("fp", F.xxhash64("key", "part", bits).alias("key"))
 
 
 def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], partners: int | None = None, shard_limit: int = 4096) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` (column fp, durable):
     each node's root in every shard, or its nearest earlier `partners` there."""
     routed = _routed(nodes, routes)
-    full = routed.groupBy("route", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_limit).select("route", "bits")
-    marked = routed.join(full.select(F.col("route").alias("_r"), F.col("bits").alias("_b")), (F.col("route") == F.col("_r")) & (F.col("bits") == F.col("_b")), "left")
-    # within a crowded shard: the bits outside the route's mask, again in radius + 2 parts, agree on all but radius
-    again: dict[int, list[int]] = {}
-    for r, mask in enumerate(routes):
-        rest = [b for b in range(BITS) if not mask >> b & 1]
-        parts = [sum(1 << b for b in rest[i :: min(radius, 4) + 2]) for i in range(min(radius, 4) + 2)]
-        again[r] = [x | y for x, y in itertools.combinations(parts, 2)]
-    second = F.array(*[F.array(*[F.lit(signed(m)).cast("long") for m in again[r]]) for r in range(len(routes))])
-    dealt = (
-        marked.withColumn("_masks", F.when(F.col("_r").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.element_at(second, F.col("route") + 1)))
-        .select("fp", "route", "bits", F.posexplode("_masks").alias("part", "_mask"))
-        .withColumn("more", F.col("fp").bitwiseAND(F.col("_mask")))
-        .select("route", "part", "bits", "more", "fp")
-    )
+    full = durable(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_limit).select(F.col("key").alias("_full")), "crowded")
+    dealt = routed.select("fp", "key")
+    if full.limit(1).count():
+        crowded = F.col("key") == F.col("_full")
+        dealt = dealt.join(full, crowded, "left_anti").unionByName(_dealt_again(routed.join(full, crowded, "left_semi"), routes, radius))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] | None = None  # the rows of the last shard so far
 
         def links(rows: np.ndarray) -> list[tuple[int, int]]:
-            edge = np.nonzero(np.any(rows[1:, :4] != rows[:-1, :4], axis=1))[0] + 1
+            edge = np.nonzero(rows[1:, 0] != rows[:-1, 0])[0] + 1
             first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
             out: list[tuple[int, int]] = []
             for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
-                shard = [x & 0xFFFFFFFFFFFFFFFF for x in rows[a:b, 4].tolist()]
+                shard = [x & 0xFFFFFFFFFFFFFFFF for x in rows[a:b, 1].tolist()]
                 if b - a == 2 and (shard[0] ^ shard[1]).bit_count() > radius:
                     continue
                 out += _roots(shard, radius) if partners is None else _nearest(shard, radius, partners)
@@ -200,8 +205,10 @@ def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], partners:
             rows = batch.to_numpy(dtype=np.int64)
             if held is not None:
                 rows = np.concatenate([held, rows])
-            same = np.all(rows[:, :4] == rows[-1, :4], axis=1)
-            cut = int(len(rows) - np.argmin(same[::-1])) if not same.all() else 0
+            if not len(rows):
+                continue
+            same = rows[:, 0] == rows[-1, 0]
+            cut = 0 if same.all() else int(len(rows) - np.argmin(same[::-1]))
             held = rows[cut:]
             if cut:
                 yield _edges(links(rows[:cut]))
@@ -212,8 +219,7 @@ def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], partners:
         got = np.array([(signed(a), signed(b)) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    keys = ["route", "part", "bits", "more"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long").distinct()
+    return dealt.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(search, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -239,16 +245,17 @@ def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, recall: float = 0.97, sketch: int = 96, partners: int = 3) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, recall: float = 0.97, sketch: int = 64, partners: int = 1) -> DataFrame:
     """Groups of near-duplicate texts by shingle similarity: (doc_id, text_key, keep).
 
     Texts that are equal but for white space and ASCII case are one node. Candidates
-    come from BK-trees over wide-radius routes (two texts at the similarity differ in
-    about 10 of 64 bits; each shard offers a node's nearest `partners`, and a node is
-    in as many shards as there are routes). A candidate counts where the Jaccard
-    similarity, from the `sketch` least shingle hashes of both (exact for texts with
-    no more shingles in all), reaches `similarity`. keep marks the one document of each
-    group that stays, the least doc_id; of repeated rows of it, all are marked.
+    come from BK-trees over wide-radius routes: two texts at the similarity differ in
+    about 10 of 64 bits, and share one of the routes' shards with probability `recall`.
+    Each shard offers a node's nearest `partners`, so a node has candidates from every
+    route. A candidate counts where the Jaccard similarity, from the `sketch` least
+    shingle hashes of both (exact for texts with no more shingles in all), reaches
+    `similarity`. keep marks the one document of each group that stays, the least
+    doc_id; of repeated rows of it, all are marked.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,30 +267,33 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
                 hashes = shingle_hashes(t, width)
                 keys.append(signed(xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7)))
                 prints.append(signed(simhash(hashes)))
-                least.append(np.unique(hashes)[:sketch].view(np.int64))
+                least.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:sketch].view(np.int32))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "fp": np.array(prints, dtype=np.int64), "sketch": least})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, fp long, sketch array<bigint>"), "sketches")
-    # copies have equal sketches, of which any will do
-    texts = durable(prints.groupBy("text_key").agg(F.min("doc_id").alias("head"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, fp long, sketch array<int>"), "sketches")
+    texts = durable(prints.groupBy("text_key", "fp").agg(F.min("doc_id").alias("head")), "texts")
     nodes = durable(texts.select("fp").distinct(), "text-prints")
     links = shard_links(nodes, radius, sampled_routes(max(1, nodes.count()), 10, recall), partners)
     # a fingerprint stands for its least text; the others of the same fingerprint are candidates with it
     lead = texts.groupBy("fp").agg(F.min("text_key").alias("text_key"))
     by_print = links.join(lead.select(F.col("fp").alias("a"), F.col("text_key").alias("ka")), "a").join(lead.select(F.col("fp").alias("b"), F.col("text_key").alias("kb")), "b").select("ka", "kb")
     same = texts.select("fp", F.col("text_key").alias("ka")).join(lead.select("fp", F.col("text_key").alias("kb")), "fp").where("ka <> kb").select("ka", "kb")
-    pairs = by_print.unionByName(same).distinct()
-    sk = texts.select(F.col("text_key").alias("k"), F.col("sketch").alias("s"))
-    both = pairs.join(sk.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sk.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb")
-    # of the least hashes of both together, the share that both have
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    alike = both.where((shared / F.size(union)) >= similarity).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    pairs = durable(by_print.unionByName(same).distinct(), "candidates")
+    # the sketches of texts that are in a candidate; copies have equal ones, of which any will do
+    asked = pairs.select(F.explode(F.array("ka", "kb")).alias("text_key")).distinct()
+    sk = durable(prints.select("text_key", "sketch").join(asked, "text_key", "left_semi").groupBy("text_key").agg(F.first("sketch").alias("s")), "asked-sketches")
+    both = pairs.join(sk.select(F.col("text_key").alias("ka"), F.col("s").alias("sa")), "ka").join(sk.select(F.col("text_key").alias("kb"), F.col("s").alias("sb")), "kb")
+    # of the least hashes of both together, the share that both have; in unsigned order, as they were cut
+    order = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 31)).cast("int")))
+    union = F.slice(F.array_sort(order(F.array_union("sa", "sb"))), 1, sketch)
+    shared = F.size(F.array_intersect(order(F.array_intersect("sa", "sb")), union))
+    alike = both.where(((F.size(union) == 0) | ((shared / F.size(union)) >= similarity))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     found = components(alike)
-    least = found.join(texts, F.col("node") == F.col("text_key")).groupBy("label").agg(F.min("head").alias("least")).withColumnRenamed("label", "_label")
+    heads = texts.groupBy("text_key").agg(F.min("head").alias("head"))
+    least = found.join(heads, F.col("node") == F.col("text_key")).groupBy("label").agg(F.min("head").alias("least")).withColumnRenamed("label", "_label")
     named = found.join(least, F.col("label") == F.col("_label")).select("node", "least")
-    group = texts.select(F.col("text_key").alias("_key"), "head").join(named, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("least", "head").alias("group"))
+    group = heads.select(F.col("text_key").alias("_key"), "head").join(named, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("least", "head").alias("group"))
     return prints.select("doc_id", "text_key").join(group, F.col("text_key") == F.col("_key")).select("doc_id", "text_key", F.col("doc_id").eqNullSafe(F.col("group")).alias("keep"))
 
 
