@@ -166,8 +166,8 @@ def _routed(nodes: DataFrame, routes: Sequence[int]) -> DataFrame:
 
 def _dealt_again(routed: DataFrame, routes: Sequence[int], radius: int) -> DataFrame:
     """fp, key of crowded shards dealt by the bits outside their route's mask, in `radius` + 2
-    parts (6 at most) of which two agree within the radius (or likely, beyond 4)."""
-    parts = min(radius, 4) + 2
+    parts of which two agree within the radius."""
+    parts = radius + 2
     masks = []
     for mask in routes:
         rest = [b for b in range(BITS) if not mask >> b & 1]

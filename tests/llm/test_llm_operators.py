@@ -215,6 +215,16 @@ def test_routes_lose_no_link(spark, limit):
     assert all(got.get(v, v) == want[v] for v in want)
 
 
+def test_crowded_shards_lose_no_link_at_a_wide_radius(spark):
+    rnd = random.Random(5)
+    values = [rnd.getrandbits(64) for _ in range(40)]
+    pairs = [(v, v ^ sum(1 << b for b in rnd.sample(range(64), 14))) for v in values]
+    nodes = spark.createDataFrame([(simhash.signed(v),) for pair in pairs for v in pair], "fp long")
+    links = simhash.shard_links(nodes, 14, [0], shard_limit=1)  # one shard holds all, and is crowded
+    label = {r["node"]: r["label"] for r in simhash.components(links).collect()}
+    assert all(simhash.signed(a) in label and label[simhash.signed(a)] == label.get(simhash.signed(b)) for a, b in pairs)
+
+
 def test_bk_tree_finds_all_within_the_radius():
     rnd = random.Random(3)
     values, tree = [rnd.getrandbits(16) for _ in range(300)], simhash.BKTree()
