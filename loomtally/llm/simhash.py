@@ -18,6 +18,9 @@ of over `shard_limit` fingerprints is dealt again by routes over its other bits.
 A shard gives each node its root (the least node it reaches within the shard), at
 most one row a node, however dense; components are then found over all shards.
 
+The pipeline's near-duplicates (near_duplicate_groups) are decided by exact Jaccard
+similarity of shingle sets, with candidates from their prefixes and not from fingerprints.
+
 Defined results: null and empty texts have fingerprint 0, linked like any other;
 fewer words than a shingle are one shingle; equal ids or texts are rows of their
 own and share a component; an empty table gives no rows; other columns are ignored.
@@ -26,8 +29,8 @@ own and share a component; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -76,16 +79,6 @@ def exact_routes(radius: int) -> list[int]:
     return [a | b for a, b in itertools.combinations(blocks, 2)]
 
 
-def sampled_routes(nodes: int, distance: int, recall: float, load: int = 4, seed: int = 11) -> list[int]:
-    """Masks of random bits: about `load` of `nodes` random fingerprints share a shard, and
-    two at the given distance share one of the shards with probability `recall`."""
-    k = min(40, max(8, math.ceil(math.log2(max(2, nodes) / load))))
-    agree = math.prod((BITS - distance - i) / (BITS - i) for i in range(k))
-    tables = math.ceil(math.log(1 - recall) / math.log1p(-agree))
-    rng = np.random.default_rng([seed, k])
-    return [sum(1 << int(b) for b in rng.choice(BITS, k, replace=False)) for _ in range(tables)]
-
-
 class BKTree:
     """A tree of fingerprints; a child is keyed by its distance to its parent."""
 
@@ -147,15 +140,6 @@ def _roots(shard: list[int], radius: int) -> Iterator[tuple[int, int]]:
             yield value, tree.values[root]
 
 
-def _nearest(shard: list[int], radius: int, partners: int) -> Iterator[tuple[int, int]]:
-    """(node, nearest of the earlier nodes within the radius), `partners` of them."""
-    tree = BKTree()
-    for value in sorted(shard):
-        for _, i in sorted(tree.near(value, radius))[:partners]:
-            yield value, tree.values[i]
-        tree.add(value)
-
-
 def _routed(nodes: DataFrame, routes: Sequence[int]) -> DataFrame:
     """fp, route, key for each fingerprint and route; key: a hash of the route and of the
     bits that its shard agrees on (shards that share a hash are searched as one)."""
@@ -177,9 +161,9 @@ def _dealt_again(routed: DataFrame, routes: Sequence[int], radius: int) -> DataF
     return routed.select("fp", "key", F.posexplode(F.element_at(F.array(*masks), F.col("route") + 1)).alias("part", "mask")).select("fp", F.xxhash64("key", "part", bits).alias("key"))
 
 
-def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], partners: int | None = None, shard_limit: int = 4096) -> DataFrame:
+def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], shard_limit: int = 4096) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` (column fp, durable):
-    each node's root in every shard, or its nearest earlier `partners` there."""
+    each node's root in every shard."""
     routed = _routed(nodes, routes)
     full = durable(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_limit).select(F.col("key").alias("_full")), "crowded")
     dealt = routed.select("fp", "key")
@@ -198,7 +182,7 @@ def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], partners:
                 shard = [x & 0xFFFFFFFFFFFFFFFF for x in rows[a:b, 1].tolist()]
                 if b - a == 2 and (shard[0] ^ shard[1]).bit_count() > radius:
                     continue
-                out += _roots(shard, radius) if partners is None else _nearest(shard, radius, partners)
+                out += _roots(shard, radius)
             return out
 
         for batch in batches:
@@ -245,52 +229,241 @@ def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, recall: float = 0.97, sketch: int = 64, partners: int = 1) -> DataFrame:
+def _common_shingles(docs: DataFrame, width: int, share: int = 16, least: int = 8, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, level: the bits of their count) of shingles seen in at
+    least `least` texts of a `share`-th of them. They only order the others' prefixes: what is
+    sampled or cut here costs candidates, never a pair."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t, width)) for t in batch["text"].tolist()]
+            s, n = np.unique(np.concatenate(made), return_counts=True) if made else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            yield pd.DataFrame({"s": s.view(np.int64), "n": n})
+
+    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    got = part.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).toPandas()  # at most `most` rows
+    s = got["s"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(s)
+    return s[order], np.floor(np.log2(got["n"].to_numpy(dtype=np.float64)[order])).astype(np.int8) + 1
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column, in frames that cut no run of equal values."""
+    held: np.ndarray | None = None
+    for batch in batches:
+        rows = batch.to_numpy(dtype=np.int64)
+        if not len(rows):
+            continue
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        start = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if start:
+            yield rows[:start]
+        held = rows[start:]
+    if held is not None:
+        yield held
+
+
+def _fit(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether two sets (n << 32 | place) whose first common shingle stands at these places of
+    their prefixes can be alike in num / den."""
+    low = np.int64((1 << 32) - 1)
+    n, m = x >> 32, y >> 32
+    return np.minimum(n - (x & low), m - (y & low)) * (num + den) >= num * (n + m)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct pairs, the lesser first."""
+    return np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+
+
+def _candidates(prefixes: DataFrame, num: int, den: int, few: int) -> DataFrame:
+    """kind, a, b, c: of prefixes (s, key, place) the pairs (0, a, b, 0) of up to `few` texts that
+    share a shingle. Of more texts the pairs with the first of them, and the rows themselves
+    (1, s, key, place), of which _across makes the other pairs that are needed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _runs(batches):
+            s, key, place = rows.T
+            first = np.concatenate([[True], s[1:] != s[:-1]])
+            start = np.nonzero(first)[0]
+            size = np.diff(np.append(start, len(s)))
+            group = np.cumsum(first) - 1
+            big = size[group] > few
+            found = []
+            for step in range(1, few):
+                i = np.nonzero((s[:-step] == s[step:]) & ~big[:-step])[0] if step < len(s) else np.zeros(0, dtype=np.int64)
+                if not len(i):
+                    break
+                i = i[_fit(place[i], place[i + step], num, den)]
+                found.append(np.column_stack([key[i], key[i + step]]))
+            j = np.nonzero(big & ~first)[0]
+            i = start[group[j]]
+            ok = _fit(place[i], place[j], num, den)
+            found.append(np.column_stack([key[i[ok]], key[j[ok]]]))
+            pairs = np.concatenate(found)
+            pairs = _pairs(pairs[:, 0], pairs[:, 1])
+            none = np.zeros(len(pairs), dtype=np.int64)
+            yield pd.DataFrame({"kind": none.astype(np.int32), "a": pairs[:, 0], "b": pairs[:, 1], "c": none})
+            if big.any():
+                yield pd.DataFrame({"kind": np.ones(int(big.sum()), dtype=np.int32), "a": s[big], "b": key[big], "c": place[big]})
+
+    return prefixes.repartition("s").sortWithinPartitions("s", "key").mapInPandas(run, "kind int, a long, b long, c long")
+
+
+def _across(named: DataFrame, num: int, den: int, turn: int, most: int, last: bool) -> DataFrame:
+    """kind, a, b of groups (s, key, place, label): all pairs (0, a, b) of texts in unlike
+    components, where these are at most `most` a text or it is the last turn. Else the pairs
+    with one text, another each turn, and (1, s, 0): the group stays open."""
+
+    def of(s: int, key: np.ndarray, place: np.ndarray, label: np.ndarray, out: list[np.ndarray]) -> bool:
+        m = np.unique(label, return_counts=True)[1]
+        if len(m) < 2:
+            return False
+        if not last and len(key) ** 2 - (m**2).sum() > 2 * most * len(key):
+            i = int(np.argmin((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64(turn) * np.uint64(0xBF58476D1CE4E5B9))))
+            j = np.nonzero(label != label[i])[0]
+            j = j[_fit(place[i], place[j], num, den)]
+            out.append(np.column_stack([np.full(len(j), key[i]), key[j]]))
+            return True
+        for i in range(len(key) - 1):
+            j = np.nonzero(label[i + 1 :] != label[i])[0] + i + 1
+            j = j[_fit(place[i], place[j], num, den)]
+            out.append(np.column_stack([np.full(len(j), key[i]), key[j]]))
+        return False
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _runs(batches):
+            cuts = np.concatenate([[0], np.nonzero(rows[1:, 0] != rows[:-1, 0])[0] + 1, [len(rows)]])
+            out, still = [np.zeros((0, 2), dtype=np.int64)], []
+            for a, b in itertools.pairwise(cuts.tolist()):
+                if of(rows[a, 0], *rows[a:b, 1:].T.copy(), out):
+                    still.append(int(rows[a, 0]))
+                if sum(map(len, out)) > 1 << 20:
+                    pairs = np.concatenate(out)
+                    out = [_pairs(pairs[:, 0], pairs[:, 1])]
+                    if len(out[0]) > 1 << 19:
+                        yield pd.DataFrame({"kind": np.zeros(len(out[0]), dtype=np.int32), "a": out[0][:, 0], "b": out[0][:, 1]})
+                        out = [np.zeros((0, 2), dtype=np.int64)]
+            pairs = np.concatenate(out)
+            pairs = _pairs(pairs[:, 0], pairs[:, 1])
+            yield pd.DataFrame({"kind": np.zeros(len(pairs), dtype=np.int32), "a": pairs[:, 0], "b": pairs[:, 1]})
+            yield pd.DataFrame({"kind": np.ones(len(still), dtype=np.int32), "a": np.array(still, dtype=np.int64), "b": np.zeros(len(still), dtype=np.int64)})
+
+    return named.select("s", "key", "place", "label").repartition("s").sortWithinPartitions("s").mapInPandas(run, "kind int, a long, b long")
+
+
+def text_key(text: str | None) -> int:
+    """One for texts that are equal but for white space and ASCII case."""
+    from xxhash import xxh64_intdigest
+
+    return signed(xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7))
+
+
+def _asked_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """text_key, text of the texts in pairs (a, b). Before the shuffle most others are left
+    out by a table of 8 to 16 bits for each text that is asked for."""
+    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
+    size = 1 << max(10, (8 * asked.count()).bit_length())
+    slot = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = asked.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    table = np.zeros(size >> 6, dtype=np.int64)
+    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for batch in batches:
+            keys = np.array([text_key(t) for t in batch["text"].tolist()], dtype=np.int64)
+            at = keys & (size - 1)
+            hit = (held[at >> 6] >> (at & 63)) & 1 == 1
+            yield pd.DataFrame({"text_key": keys[hit], "text": batch["text"][hit]})
+
+    seen = docs.select("text").where("text is not null").mapInPandas(find, "text_key long, text string")
+    return durable(seen.join(asked, F.col("text_key") == F.col("key"), "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "asked-texts")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of text keys whose sets of shingles are alike in num / den."""
+    texts = _asked_texts(docs, pairs)
+    both = pairs.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(key: int, text: str) -> np.ndarray:
+            if key not in known:
+                if len(known) >= 2048:
+                    known.clear()
+                known[key] = np.unique(shingle_hashes(text, width))
+            return known[key]
+
+        for batch in batches:
+            keep = []
+            for a, b, ta, tb in zip(batch["a"].tolist(), batch["b"].tolist(), batch["ta"].tolist(), batch["tb"].tolist(), strict=True):
+                x, y = shingles(a, ta), shingles(b, tb)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * den >= num * (len(x) + len(y) - shared))
+            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    return durable(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "alike")
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4) -> DataFrame:
     """Groups of near-duplicate texts by shingle similarity: (doc_id, text_key, keep).
 
-    Texts that are equal but for white space and ASCII case are one node. Candidates
-    come from BK-trees over wide-radius routes: two texts at the similarity differ in
-    about 10 of 64 bits, and share one of the routes' shards with probability `recall`.
-    Each shard offers a node's nearest `partners`, so a node has candidates from every
-    route. A candidate counts where the Jaccard similarity, from the `sketch` least
-    shingle hashes of both (exact for texts with no more shingles in all), reaches
-    `similarity`. keep marks the one document of each group that stays, the least
-    doc_id; of repeated rows of it, all are marked.
+    Texts that are equal but for white space and ASCII case are one node. Two nodes are
+    linked where the Jaccard similarity of their sets of distinct shingles (as 64-bit hashes)
+    reaches `similarity`, and groups are the components of all such links. Two sets
+    alike in t share a shingle among the first n - ceil(t n) + 1 of each in any one
+    order; here common shingles come last. Up to `few` texts that share such a shingle
+    are all compared. Of more, each is first compared with one of them, and then, as
+    components are known, with those of other components: all at once if these pairs are
+    at most `most` a text, else with one other text each turn and with all in the
+    last of `turns`. So pairs within a component are left out and no others. keep marks the
+    one document of each group that stays, the least doc_id; of repeated rows of it, all
+    are marked.
     """
+    ratio = Fraction(similarity).limit_denominator(1000)
+    num, den = ratio.numerator, ratio.denominator
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh64_intdigest
-
+        often, levels = common.value
         for batch in batches:
-            keys, prints, least = [], [], []
+            keys, sizes, prefixes = [], [], []
             for t in batch["text"].tolist():
-                hashes = shingle_hashes(t, width)
-                keys.append(signed(xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7)))
-                prints.append(signed(simhash(hashes)))
-                least.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:sketch].view(np.int32))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "fp": np.array(prints, dtype=np.int64), "sketch": least})
+                h = np.unique(shingle_hashes(t, width))
+                if len(often) and len(h):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.argsort(np.where(often[at] == h, levels[at], 0), kind="stable")]
+                keys.append(text_key(t))
+                sizes.append(len(h))
+                prefixes.append(h[: len(h) + (-num * len(h)) // den + 1 if len(h) else 0].view(np.int64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, fp long, sketch array<int>"), "sketches")
-    texts = durable(prints.groupBy("text_key", "fp").agg(F.min("doc_id").alias("head")), "texts")
-    nodes = durable(texts.select("fp").distinct(), "text-prints")
-    links = shard_links(nodes, radius, sampled_routes(max(1, nodes.count()), 10, recall), partners)
-    # a fingerprint stands for its least text; the others of the same fingerprint are candidates with it
-    lead = texts.groupBy("fp").agg(F.min("text_key").alias("text_key"))
-    by_print = links.join(lead.select(F.col("fp").alias("a"), F.col("text_key").alias("ka")), "a").join(lead.select(F.col("fp").alias("b"), F.col("text_key").alias("kb")), "b").select("ka", "kb")
-    same = texts.select("fp", F.col("text_key").alias("ka")).join(lead.select("fp", F.col("text_key").alias("kb")), "fp").where("ka <> kb").select("ka", "kb")
-    pairs = durable(by_print.unionByName(same).distinct(), "candidates")
-    # the sketches of texts that are in a candidate; copies have equal ones, of which any will do
-    asked = pairs.select(F.explode(F.array("ka", "kb")).alias("text_key")).distinct()
-    sk = durable(prints.select("text_key", "sketch").join(asked, "text_key", "left_semi").groupBy("text_key").agg(F.first("sketch").alias("s")), "asked-sketches")
-    both = pairs.join(sk.select(F.col("text_key").alias("ka"), F.col("s").alias("sa")), "ka").join(sk.select(F.col("text_key").alias("kb"), F.col("s").alias("sb")), "kb")
-    # of the least hashes of both together, the share that both have; in unsigned order, as they were cut
-    order = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 31)).cast("int")))
-    union = F.slice(F.array_sort(order(F.array_union("sa", "sb"))), 1, sketch)
-    shared = F.size(F.array_intersect(order(F.array_intersect("sa", "sb")), union))
-    alike = both.where(((F.size(union) == 0) | ((shared / F.size(union)) >= similarity))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    found = components(alike)
-    heads = texts.groupBy("text_key").agg(F.min("head").alias("head"))
+    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>"), "prefixes")
+    sets = prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    single = sets.select("key", "n", F.posexplode("prefix").alias("at", "s")).select("s", "key", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    made = durable(_candidates(single, num, den, few), "candidates")
+    tried = durable(made.where("kind = 0").select("a", "b").distinct(), "pairs")
+    links = _alike(docs, tried, width, num, den)
+    found = durable(components(links), "text-components")
+    left = made.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("key"), F.col("c").alias("place"))
+    for turn in range(1, turns + 1):
+        if not left.limit(1).count():
+            break
+        named = left.join(found, F.col("key") == F.col("node"), "left").select("s", "key", "place", F.coalesce("label", "key").alias("label"))
+        more = durable(_across(named, num, den, turn, most, turn == turns), "across")
+        asked = durable(more.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if asked.limit(1).count():
+            fresh = _alike(docs, asked, width, num, den)
+            tried, links = tried.unionByName(asked), links.unionByName(fresh)
+            if fresh.limit(1).count():
+                found = durable(components(links), "text-components")
+        left = left.join(more.where("kind = 1").select(F.col("a").alias("s")).distinct(), "s", "left_semi")
+    heads = prints.groupBy("text_key").agg(F.min("doc_id").alias("head"))
     least = found.join(heads, F.col("node") == F.col("text_key")).groupBy("label").agg(F.min("head").alias("least")).withColumnRenamed("label", "_label")
     named = found.join(least, F.col("label") == F.col("_label")).select("node", "least")
     group = heads.select(F.col("text_key").alias("_key"), "head").join(named, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("least", "head").alias("group"))

@@ -246,6 +246,44 @@ def test_one_document_of_each_near_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 120, 10), 900, 902]
 
 
+def near_groups(texts, width=5):
+    """The component of each text by brute force over shingle sets, Jaccard 0.8."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if (not sets[a] and not sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return union(pairs, range(len(texts)))
+
+
+def kept_by_brute_force(texts):
+    root = near_groups(texts)
+    return sorted({r: min(i for i in root if root[i] == r) for r in root.values()}.values())
+
+
+def kept_of(spark, texts, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.near_duplicate_groups(rows, **more).where("keep").select("doc_id").distinct().collect())
+
+
+def edited(rnd, words, edits):
+    out = list(words)
+    for i in rnd.sample(range(len(out)), edits):
+        out[i] = f"e{rnd.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"few": 2, "most": 0}, {"few": 2, "most": 0, "turns": 1}])
+def test_no_partner_is_capped(spark, more):
+    """Texts around one long passage, many of them just below the similarity to each other."""
+    rnd = random.Random(17)
+    passage, texts = [f"p{i}" for i in range(150)], []
+    for _ in range(40):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(10, 40))]
+        texts += [" ".join(passage + own), " ".join(edited(rnd, passage + own, rnd.randrange(1, 5)))]
+    assert kept_of(spark, texts, **more) == kept_by_brute_force(texts)
+
+
 # -- 5 revisits -----------------------------------------------------------------------------------
 
 
