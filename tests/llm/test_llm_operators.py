@@ -284,6 +284,18 @@ def test_no_partner_is_capped(spark, more):
     assert kept_of(spark, texts, **more) == kept_by_brute_force(texts)
 
 
+def test_similarity_is_exact(spark):
+    """Pairs of 1,000 shingles within a hundredth of 0.8, on both sides."""
+    rnd, texts = random.Random(18), []
+    for n in [1004] * 30:
+        words = [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+        cut = rnd.randrange(190, 212)
+        texts += [" ".join(words), " ".join(words[: n - cut])]
+    want = kept_by_brute_force(texts)
+    assert 30 < len(want) < 60
+    assert kept_of(spark, texts) == want
+
+
 # -- 5 revisits -----------------------------------------------------------------------------------
 
 
