@@ -296,6 +296,16 @@ def test_similarity_is_exact(spark):
     assert kept_of(spark, texts) == want
 
 
+def test_pairs_right_at_the_similarity_are_all_found(spark):
+    """Near pairs with Jaccard from 0.8 to 0.83 in edits spread over the text."""
+    rnd, texts = random.Random(19), []
+    while len(texts) < 300:
+        words = [f"w{rnd.randrange(10**7)}" for _ in range(300)]
+        pair = [" ".join(words), " ".join(edited(rnd, words, 6))]
+        texts += pair if len(set(near_groups(pair).values())) == 1 else []
+    assert kept_of(spark, texts) == list(range(0, 300, 2))
+
+
 # -- 5 revisits -----------------------------------------------------------------------------------
 
 
