@@ -306,6 +306,18 @@ def test_pairs_right_at_the_similarity_are_all_found(spark):
     assert kept_of(spark, texts) == list(range(0, 300, 2))
 
 
+def test_texts_behind_an_unlike_lead_are_compared(spark):
+    """A repeated line decides the fingerprint; the texts differ in the rest, two and two alike."""
+    rnd, texts = random.Random(20), []
+    for _ in range(12):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        line = ["same", "old", "line", "over", "again"] * 3000
+        texts += [" ".join(line + own), " ".join(line + own + ["more"])]
+    prints = {simhash.simhash(simhash.shingle_hashes(t, 5)) for t in texts}
+    assert len(prints) == 1
+    assert kept_of(spark, texts) == kept_by_brute_force(texts) == list(range(0, 24, 2))
+
+
 # -- 5 revisits -----------------------------------------------------------------------------------
 
 
