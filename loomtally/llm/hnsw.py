@@ -7,9 +7,10 @@ double precision, so no link is below the threshold.
 
 A graph's layers are prefixes of its nodes, ordered by falling random level; nodes
 enter in batches, and neighbours are chosen for diversity. Searches run in step for a
-batch of queries. Before a shard is used, an audit compares `audit` of its own
-members with brute force and doubles the beam until `audit_recall` of their links are
-found (a shard that fails with the widest beam is searched by blocked products).
+batch of queries. Before a shard is used, an audit compares `audit` of its graph's nodes
+that have links to other nodes (all, if they are fewer) with brute force and doubles
+the beam until `audit_recall` of a node's links to other nodes are found on average (a
+shard that fails with the widest beam is searched by blocked products).
 A query whose beam holds nothing but links is searched again with a wider one.
 
 Dense neighbourhoods would need beams as wide as they are large. Where a sampled
@@ -248,9 +249,8 @@ def make_shard(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, threshold
     unit, ids, rows = unit[order], ids[order], rows[order]
     graph = Graph(unit[: int(free.sum())].astype(np.float32)).build(seed)
     shard = Shard(unit, ids, rows, graph, [(int(back[p]), back[m]) for p, m in groups], ef, False)
-    probe = rng.permutation(n)[:audit]
-    truth = sum(int((unit[probe] @ unit[a : a + 8192].T >= threshold).sum()) for a in range(0, n, 8192))
-    while sum(len(c) for _, c in shard.linked(unit[probe], threshold)) < audit_recall * truth:
+    probe, truth = _linked_nodes(unit[: len(graph.x)], threshold, audit, rng)
+    while len(probe) and _node_recall(shard, probe, truth, threshold) < audit_recall:
         if shard.ef >= max(1024, ef):
             shard.exact = True
             break
@@ -259,6 +259,29 @@ def make_shard(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, threshold
     return shard
 
 
+def _linked_nodes(nodes: np.ndarray, threshold: float, audit: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The first `audit` nodes in random order that have links to other nodes, and how many."""
+    order, probe, truth = rng.permutation(len(nodes)), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(order), 1024):
+        part = order[i : i + 1024]
+        links = sum((nodes[part] @ nodes[a : a + 8192].T >= threshold).sum(axis=1) for a in range(0, len(nodes), 8192))
+        links = links - (np.einsum("nd,nd->n", nodes[part], nodes[part]) >= threshold)  # without itself
+        probe.append(part[links > 0])
+        truth.append(links[links > 0])
+        if sum(map(len, probe)) >= audit:
+            break
+    return np.concatenate(probe)[:audit], np.concatenate(truth)[:audit]
+
+
+def _node_recall(shard: Shard, probe: np.ndarray, truth: np.ndarray, threshold: float) -> float:
+    """The share of a probe's links to other nodes of the graph that is found, each probe alike."""
+    found = np.zeros(len(probe))
+    for r, c in shard.linked(shard.unit[probe], threshold):
+        other = (c < len(shard.graph.x)) & (c != probe[r])
+        found += np.bincount(r[other], minlength=len(probe))
+    return float(np.minimum(found / truth, 1).mean())
+
+
 def _local_components(shard: Shard, threshold: float) -> np.ndarray:
     """The least class of each member's component within the shard."""
     n = len(shard.ids)

@@ -447,6 +447,22 @@ def test_graph_recall_on_larger_shards():
     assert sum(len(a) for a, _ in shard.linked(unit, 0.95)) >= 0.99 * truth
 
 
+def test_audit_sees_a_graph_that_loses_links_beside_a_dense_group(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = rng.normal(size=(1000, 32))
+    dense = rng.normal(size=32) + rng.normal(size=(1000, 32)) * 0.01
+    x = np.concatenate([pairs, pairs + rng.normal(size=pairs.shape) * 0.01, dense])
+    search = hnsw.Graph.search
+
+    def only_itself(self, q, ef, *level, **limit):
+        ids, sims = search(self, q, ef, *level, **limit)
+        return ids, sims if level or limit else np.where(sims > 0.999999, sims, -1)  # building passes them
+
+    monkeypatch.setattr(hnsw.Graph, "search", only_itself)
+    shard = hnsw.make_shard(np.arange(len(x)), np.ones(len(x), int), x, 0.95, 64, 256, 0.99, 32, 1)
+    assert shard.dense and shard.exact
+
+
 # -- 9 toxicity ------------------------------------------------------------------------------------------
 
 
