@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> list[int]:
 
 
 def range_of(key: Column, bounds: Sequence[int]) -> Column:
-    """Number of bounds that are <= key, by a binary tree of comparisons; null is 0."""
+    """Number of bounds that are <= key; null is 0. By a binary tree of comparisons, or by
+    bisecting an array where the tree would be too large to compile."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -32,7 +34,20 @@ def range_of(key: Column, bounds: Sequence[int]) -> Column:
         mid = (lo + hi) // 2
         return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+    if len(bounds) <= 256:
+        found = tree(0, len(bounds))
+    else:
+        at, n = F.lit(np.array(bounds, dtype=np.int64)), len(bounds)
+        steps = F.sequence(F.lit(n.bit_length() - 1), F.lit(0))
+        # the greatest place whose bound is <= key, built from its highest bit down
+        found = F.aggregate(steps, F.lit(0), lambda a, b: a + F.when(F.coalesce(F.get(at, a + F.call_function("shiftleft", F.lit(1), b) - 1) <= key, F.lit(False)), F.call_function("shiftleft", F.lit(1), b)).otherwise(0))
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
+
+
+def ranges_of_bytes(df: DataFrame, column: str, each: int = 16 << 20, most: int = 10_000) -> int:
+    """How many ranges of about `each` bytes of a text column there are; `most` of larger ones."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, min(most, -(-total // each)))
 
 
 def default_ranges(df: DataFrame) -> int:
