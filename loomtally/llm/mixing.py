@@ -3,12 +3,15 @@
 Each source is a stream: its documents in ascending id, their words one after
 another. The stream is packed into blocks of `block_words` words (the last block
 may be short). A source's target in words becomes slots: whole passes over all
-its blocks, and the rest of the target rounded to blocks. For every output shard
-the number of slots of each source is drawn multinomially, given what earlier
-shards have drawn (a split of the totals down a binary tree of shards, so each
-shard replays its own path and no shard waits for another). Slot j of a source is
-mapped by the pass's pseudorandom permutation (a keyed Feistel network) to a
-block, and blocks are joined by index.
+its blocks, and the rest of the target rounded to blocks. Every output shard draws
+its number of slots of each source multinomially, given the source's total: the
+slots of a source are halved down a binary tree of shards, each half a binomial
+draw (the set bits of as many hash bits; from `EXACT` slots on its normal limit,
+whose error is below a slot in a thousand). Slot j of a source is pass j div blocks,
+and its block is the image of j mod blocks under the pass's pseudorandom permutation
+(a swap-or-not shuffle, a bijection of any range without a table). Blocks are joined
+by index. All of it is column functions, so no Python worker runs and nothing but
+the number of all slots comes to the driver.
 
 Defined results: a null or empty text has size 0; rows that repeat are documents
 of their own; null sources form one source, last in order; an empty table gives an
@@ -17,10 +20,9 @@ empty mix. `taken` never exceeds passes x size, passes = `max_passes`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +30,13 @@ from loomtally.operators.ordered import running_before
 from loomtally.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
+EXACT = 1 << 22
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, source, size and a row number that tells rows of equal id apart."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), *keep)
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_passes: int = 3) -> DataFrame:
     """Per source: source_no (code point order, null last), source_size, weight and
     target: shares of the total by weight, none above max_passes x its size, the
@@ -64,168 +61,149 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_passes: int =
     )
 
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def permuted(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
-    """A pseudorandom permutation of range(n) at the given places: a Feistel network
-    on the next even number of bits, walked until it falls below n."""
-    if n <= 1:
-        return np.zeros(len(index), dtype=np.int64)
-    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
-    mask = np.uint64((1 << int(half)) - 1)
-    out, todo = index.astype(np.uint64), np.arange(len(index))
-    while len(todo):
-        left, right = out[todo] >> half, out[todo] & mask
-        for r in range(rounds):
-            with np.errstate(over="ignore"):
-                f = _mix64(right + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & int(_M))) & mask
-            left, right = right, left ^ f
-        out[todo] = (left << half) | right
-        todo = todo[out[todo] >= np.uint64(n)]
-    return out.astype(np.int64)
-
-
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Of n drawn from good+bad, the number of good; by its normal limit where numpy has no exact draw."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    total = good + bad
-    mean = n * (good / total)
-    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
-    return int(min(max(round(rng.normal(mean, var**0.5)), n - bad, 0), good, n))
-
-
-def shard_draw(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first slot, slots) of every source in one shard. All shards together draw `totals`."""
-    counts, first = [int(x) for x in totals], [0] * len(totals)
-    lo, hi, total = 0, shards, sum(counts)
-    slots = lambda a, b: total * b // shards - total * a // shards
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        want, rest = slots(lo, mid), sum(counts)
-        rng = np.random.default_rng([seed, lo, hi])
-        left = []
-        for c in counts:
-            rest -= c
-            k = _hypergeometric(rng, c, rest, want)
-            left.append(k)
-            want -= k
-        if shard < mid:
-            counts, hi = left, mid
-        else:
-            first = [f + k for f, k in zip(first, left, strict=True)]
-            counts, lo = [c - k for c, k in zip(counts, left, strict=True)], mid
-    return np.array(first, dtype=np.int64), np.array(counts, dtype=np.int64)
-
-
-def mix_slots(targets: DataFrame, block_words: int, slots_per_shard: int = 4096, max_shards: int = 4096, seed: int = 7) -> DataFrame:
-    """The plan of the mix: shard, place, source_no, pass_no, block. One row a slot.
-    The driver holds four numbers for each source (`source_targets` has a row a source)."""
-    spark = targets.sparkSession
-    rows = targets.orderBy("source_no").select("source_no", "source_size", "target").collect()
-    sizes = np.array([r["source_size"] or 0 for r in rows], dtype=np.int64)
-    want = np.array([r["target"] or 0.0 for r in rows])
-    blocks = -(-sizes // block_words)
-    passes = np.where(sizes > 0, np.floor(want / np.maximum(sizes, 1) + 1e-9), 0).astype(np.int64)
-    rest = np.where(sizes > 0, want - passes * sizes, 0.0)
-    totals = passes * blocks + np.minimum(blocks, np.rint(rest / block_words).astype(np.int64))
-    shards = int(min(max_shards, max(1, -(-int(totals.sum()) // slots_per_shard))))
-
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for shard in batch["id"].tolist():
-                first, count = shard_draw(totals, shards, shard, seed)
-                # the places of a shard are dealt in a shuffled order of its slots
-                place = np.random.default_rng([seed, shard]).permutation(int(count.sum()))
-                done = 0
-                for s in np.nonzero(count)[0]:
-                    for at in range(0, int(count[s]), 1 << 18):
-                        j = np.arange(first[s] + at, first[s] + min(int(count[s]), at + (1 << 18)), dtype=np.int64)
-                        turn, i = j // blocks[s], j % blocks[s]
-                        block = np.empty_like(i)
-                        for t in np.unique(turn):
-                            on = turn == t
-                            block[on] = permuted(i[on], int(blocks[s]), int(seed * 1_000_003 + s * 101 + t))
-                        yield pd.DataFrame({"shard": shard, "place": place[done : done + len(j)], "source_no": np.int32(s), "pass_no": turn.astype(np.int32), "block": block})
-                        done += len(j)
-
-    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    return spark.range(0, shards, 1, tasks).mapInPandas(slots, "shard long, place long, source_no int, pass_no int, block long")
+def _uniform(*key: Column) -> Column:
+    """Between 0 and 1, from a hash of the key."""
+    return (F.shiftrightunsigned(F.xxhash64(*key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def halved(n: Column, *key: Column) -> Column:
+    """Binomial(n, 1/2), drawn by a hash of the key."""
+    words = (n / 64).cast("long")
+    each = F.when(words > 0, F.sequence(F.lit(1).cast("long"), words)).otherwise(F.array().cast("array<bigint>"))
+    whole = F.aggregate(each, F.lit(0).cast("long"), lambda a, i: a + F.bit_count(F.xxhash64(*key, i)))
+    last = F.xxhash64(*key, F.lit(0).cast("long"))
+    rest = F.when(n % 64 > 0, F.bit_count(F.call_function("shiftrightunsigned", last, (64 - n % 64).cast("int")))).otherwise(0)
+    normal = F.sqrt(-2 * F.log(_uniform(*key, F.lit(1)))) * F.cos(F.lit(2 * math.pi) * _uniform(*key, F.lit(2)))
+    wide = F.least(n, F.greatest(F.lit(0).cast("long"), F.round(n / 2 + normal * F.sqrt(n.cast("double")) / 2).cast("long")))
+    return F.when(n <= EXACT, whole + rest).otherwise(wide).cast("long")
+
+
+def round_keys(n: Column, *key: Column, rounds: int = 32) -> Column:
+    """The keys of a permutation of range(n)."""
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.pmod(F.xxhash64(*key, r), n))
+
+
+def permuted(index: Column, n: Column, keys: Column) -> Column:
+    """The image of index in range(n). A round pairs x with k - x modulo n and swaps the two
+    by a bit that both share."""
+
+    def swap(x: Column, k: Column) -> Column:
+        mate = F.pmod(k - x, n)
+        return F.when(F.xxhash64(k, F.greatest(x, mate)).bitwiseAND(F.lit(1)) == 1, mate).otherwise(x)
+
+    return F.aggregate(keys, index, swap)
+
+
+def source_slots(targets: DataFrame, block_words: int) -> DataFrame:
+    """source_no, blocks, slots of every source."""
+    size, want = F.coalesce("source_size", F.lit(0)), F.coalesce("target", F.lit(0.0))
+    passes = F.floor(want / size + F.lit(1e-9))
+    return (
+        targets.where(size > 0)
+        .select("source_no", F.expr(f"(source_size + {block_words - 1}) div {block_words}").alias("blocks"), passes.alias("_passes"), F.rint((want - passes * size) / block_words).cast("long").alias("_rest"))
+        .select("source_no", "blocks", (F.col("_passes") * F.col("blocks") + F.least("blocks", "_rest")).alias("slots"))
+    )
+
+
+def shard_draws(slots: DataFrame, levels: int, seed: int) -> DataFrame:
+    """source_no, blocks, shard, first, count: the slots first, ..., first + count - 1 of a source
+    that each of 2 ** levels shards draws. All shards together draw every slot once."""
+    rows = slots.select("source_no", "blocks", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("first"), F.col("slots").alias("count")).where("count > 0")
+    for level in range(levels):
+        drawn = rows.withColumn("_left", halved(F.col("count"), F.lit(seed), F.col("source_no"), F.lit(level), F.col("shard")))
+        left = F.struct((F.col("shard") * 2).alias("shard"), "first", F.col("_left").alias("count"))
+        right = F.struct((F.col("shard") * 2 + 1).alias("shard"), (F.col("first") + F.col("_left")).alias("first"), (F.col("count") - F.col("_left")).alias("count"))
+        rows = drawn.select("source_no", "blocks", F.explode(F.array(left, right)).alias("_x")).select("source_no", "blocks", "_x.*").where("count > 0")
+        if level % 10 == 9:  # up to 1024 rows a source so far
+            rows = rows.repartition("source_no", "shard")
+    return rows
+
+
+def mix_slots(targets: DataFrame, block_words: int, slots_per_shard: int = 4096, seed: int = 7) -> DataFrame:
+    """The plan of the mix: shard, place (a shard is read in its order), source_no, pass_no,
+    block. One row a slot."""
+    slots = source_slots(targets, block_words)
+    total = int(slots.agg(F.sum("slots")).first()[0] or 0)
+    levels = max(0, math.ceil(math.log2(max(1, total) / slots_per_shard)))
+    draws = shard_draws(slots, levels, seed)
+    tasks = max(1, min(1 << levels, 4 * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    turns = (
+        draws.repartition(tasks, "source_no", "shard")
+        .withColumn("pass_no", F.explode(F.sequence(F.expr("first div blocks"), F.expr("(first + count - 1) div blocks"))))
+        .withColumn("_lo", F.greatest(F.lit(0), F.col("first") - F.col("pass_no") * F.col("blocks")))
+        .withColumn("_hi", F.least("blocks", F.col("first") + F.col("count") - F.col("pass_no") * F.col("blocks")) - 1)
+        .withColumn("_keys", round_keys(F.col("blocks"), F.lit(seed), F.col("source_no"), F.col("pass_no")))
+    )
+    made = turns.select("shard", "source_no", "pass_no", F.explode(F.transform(F.sequence("_lo", "_hi"), lambda i: permuted(i, F.col("blocks"), F.col("_keys")))).alias("block"))
+    return made.select("shard", F.xxhash64(F.lit(seed), "shard", "source_no", "pass_no", "block").alias("place"), "source_no", F.col("pass_no").cast("int").alias("pass_no"), "block")
+
+
+KEY = ("doc_id", "source", "_tie", "_row")
 
 
 def document_blocks(sizes: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
     """Which words of which document lie in which block of its source: one row for
     each document and block (start, words: places in the document). sizes must be durable."""
-    placed = running_before(sizes, "size", ["doc_id", "_tie"], ["source"], out="at")
-    keyed = placed.join(
-        F.broadcast(targets.select(F.col("source").alias("_source"), "source_no")) if _small(targets) else targets.select(F.col("source").alias("_source"), "source_no"),
-        F.col("source").eqNullSafe(F.col("_source")),
-    ).drop("_source")
+    placed = running_before(sizes.where("size > 0"), "size", ["doc_id", "_tie", "_row"], ["source"], out="at")
+    named = targets.select(F.col("source").alias("_source"), "source_no")
     return (
-        keyed.where("size > 0")
+        placed.join(named, F.col("source").eqNullSafe(F.col("_source")))
+        .drop("_source")
         .withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))))
         .withColumn("start", F.greatest(F.lit(0), F.col("block") * block_words - F.col("at")))
         .withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("at")) - F.col("start"))
     )
 
 
-def _small(targets: DataFrame, limit: int = 100_000) -> bool:
-    """Whether the table of sources has few enough rows to broadcast."""
-    return targets.limit(limit + 1).count() <= limit
-
-
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int = 32, max_passes: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes, targets, drawn): drawn has shard, place, pass_no and the document's
-    piece (doc_id, _tie, start, words) for every slot, joined by source and block."""
-    sizes = durable(sized(docs), "mix-sizes")
+def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int = 32, max_passes: int = 3, seed: int = 7, keep: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """(targets, drawn) of documents (durable: KEY, size; no two rows of one KEY): drawn has
+    shard, place, pass_no and the document's piece (keep, start, words) for every slot,
+    joined by source and block."""
     targets = durable(source_targets(sizes, weights, max_passes), "mix-targets")
     slots = mix_slots(targets, block_words, seed=seed)
-    pieces = document_blocks(sizes, targets, block_words).select("source_no", "block", "doc_id", "_tie", "start", "words")
-    # slots come from a short range, which would pass for a small table: both sides are shuffled
-    return sizes, targets, slots.hint("merge").join(pieces, ["source_no", "block"])
+    pieces = document_blocks(sizes, targets, block_words).select("source_no", "block", *keep, "start", "words")
+    # slots come from a short table, which would pass for small: both sides are shuffled
+    return targets, slots.hint("merge").join(pieces, ["source_no", "block"])
 
 
 def mix_taken(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int = 32, max_passes: int = 3, seed: int = 7) -> DataFrame:
     """Per document: size, its source's size and target, and the words that the mix takes."""
-    sizes, targets, drawn = mix(docs, weights, block_words, max_passes, seed)
-    taken = drawn.groupBy("doc_id", "_tie").agg(F.sum("words").alias("_taken"))
-    # rows that are equal in id and text share their count evenly, the odd words going to the first
-    same = Window.partitionBy("doc_id", "_tie").orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.withColumn("_row", F.row_number().over(same)).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "_tie")))
-    share = F.expr("_taken div _rows + if(_row <= _taken % _rows, 1, 0)")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+    sizes = durable(rows, "mix-sizes")
+    targets, drawn = mix(sizes, weights, block_words, max_passes, seed, ["_row"])
+    taken = drawn.groupBy(F.col("_row").alias("_of")).agg(F.sum("words").alias("_taken"))
     return (
-        rows.join(taken, (rows["doc_id"].eqNullSafe(taken["doc_id"])) & (rows["_tie"] == taken["_tie"]), "left")
-        .select(rows["doc_id"], rows["source"], "size", F.coalesce(share, F.lit(0)).cast("long").alias("taken"))
+        sizes.join(taken, F.col("_row") == F.col("_of"), "left")
         .join(targets.select(F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), block_words: int = 32, max_passes: int = 3, seed: int = 7) -> DataFrame:
     """The mix as documents: for every document and pass of which words are taken, a
     row with those words in order (the text itself where all are taken)."""
-    sizes, _, drawn = mix(docs, weights, block_words, max_passes, seed)
-    parts = (
-        drawn.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_of"), "pass_no")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("_parts"), F.sum("words").alias("_words"))
-    )
-    rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64("text").alias("_tie"), F.lit(False).alias("_shared"))
-    # rows equal in id and text have their pieces in common, which one of them brings
-    twice = durable(sizes.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_of"), "repeated-rows")
-    of = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_of"))
+    none = F.lit(-1).cast("long").alias("_row")
+    slim = durable(docs.select("doc_id", "source", F.xxhash64("text").alias("_tie"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64("text").alias("_tie"))
+    # rows that are equal in id, source and text get numbers of their own
+    twice = durable(slim.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_tie").alias("_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-rows")
     if twice.limit(1).count():
-        again = rows.join(twice, of, "left_semi").withColumn("_key", F.col("_doc.doc_id")).dropDuplicates(["_key", "_tie"]).drop("_key").withColumn("_shared", F.lit(True))
-        rows = rows.join(twice, of, "left_anti").unionByName(again)
+        same = lambda id_, source: id_.eqNullSafe(F.col("_i")) & source.eqNullSafe(F.col("_s")) & (F.col("_tie") == F.col("_t"))
+        of = same(F.col("_doc.doc_id"), F.col("_doc.source"))
+        again = durable(rows.join(twice, of, "left_semi").select("_doc", "_tie", F.monotonically_increasing_id().alias("_row")), "numbered-rows")
+        rows = rows.join(twice, of, "left_anti").select("_doc", "_tie", none).unionByName(again)
+        single = slim.join(twice, same(F.col("doc_id"), F.col("source")), "left_anti").select("*", none)
+        sizes = durable(single.unionByName(again.select("_doc.doc_id", "_doc.source", "_tie", word_count(F.col("_doc.text")).alias("size"), "_row")), "mix-sizes")
+    else:
+        rows, sizes = rows.select("_doc", "_tie", none), slim.select("*", none)
+    _, drawn = mix(sizes, weights, block_words, max_passes, seed)
+    parts = drawn.groupBy(*[F.col(c).alias(f"_of_{c}") for c in KEY], "pass_no").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("_parts"), F.sum("words").alias("_words"))
+    of = F.col("_doc.doc_id").eqNullSafe(F.col("_of_doc_id")) & F.col("_doc.source").eqNullSafe(F.col("_of_source")) & (F.col("_tie") == F.col("_of__tie")) & (F.col("_row") == F.col("_of__row"))
     words = F.regexp_extract_all(F.col("_doc.text"), F.lit(f"({WORD})"), 1)
     cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_split"), (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
     return (
         rows.join(parts, of)
-        .withColumn("_split", F.when(F.col("_shared") | (F.col("_words") < word_count(F.col("_doc.text"))), words))
+        .withColumn("_split", F.when(F.col("_words") < word_count(F.col("_doc.text")), words))
         .withColumn("_text", F.when(F.col("_split").isNull(), F.col("_doc.text")).otherwise(cut))
         .select(F.col("_doc").withField("text", F.col("_text")).withField("n_chars", F.length("_text").cast("long")).alias("_doc"))
         .select("_doc.*")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtally.llm import encoders, fingerprint, hnsw, hpylm, mixing, packing, simhash, token_store, toxicity, url_rules, warc
 from loomtally.llm.queries import vocabulary
@@ -88,13 +89,31 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert got == +taken
 
 
-def test_permutations_and_draws():
+def test_permutations_and_draws(spark):
     for n in (1, 2, 7, 64, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 9).tolist()) == list(range(n))
-    totals = np.array([50, 0, 7, 300])
-    drawn = [mixing.shard_draw(totals, 6, s, 1) for s in range(6)]
-    assert (sum(c for _, c in drawn) == totals).all()
-    assert all((a[0] + a[1] == b[0]).all() for a, b in zip(drawn, drawn[1:]))
+        places = spark.range(n).select(F.lit(n).cast("long").alias("n"), "id", F.lit(5).alias("s"))
+        got = [r[0] for r in places.select(mixing.permuted(F.col("id"), F.col("n"), mixing.round_keys(F.col("n"), F.col("s"), F.lit(9)))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 64 or got != sorted(got))
+    totals = {0: 50, 1: 7, 2: 300, 3: 6 << 20, **{i: i for i in range(4, 200)}}  # every remainder by 64
+    slots = spark.createDataFrame([(i, 9, n) for i, n in totals.items()], "source_no int, blocks long, slots long")
+    drawn = mixing.shard_draws(slots, 4, 1).collect()
+    for i, n in totals.items():
+        own = sorted((r["shard"], r["first"], r["count"]) for r in drawn if r["source_no"] == i)
+        assert own[0][1] == 0 and sum(c for _, _, c in own) == n
+        assert all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
+    # a shard's share of a source is multinomial: near a sixteenth, within six standard deviations
+    for i in (2, 3):
+        assert all(abs(r["count"] - totals[i] / 16) < 6 * (totals[i] * 15 / 256) ** 0.5 for r in drawn if r["source_no"] == i)
+
+
+def test_mix_keeps_rows_of_equal_id_and_text_apart(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (None, "a b c", "x"), (None, None, None), (2, "d " * 500, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = mixing.mix_taken(docs, (1, 1, 1))
+    assert sorted((r["doc_id"] or 0, r["source"] or "", r["size"]) for r in got.collect()) == sorted((i or 0, s or "", len(words(t))) for i, t, s in rows)
+    # source x has 9 words and a share above 27: each of its rows is taken three times
+    assert [r["taken"] for r in got.where("source = 'x'").collect()] == [9, 9, 9]
+    assert mixing.mixed_documents(docs, (1, 1, 1)).where("source = 'x'").count() == 9
 
 
 # -- 2 fingerprints ------------------------------------------------------------------------
