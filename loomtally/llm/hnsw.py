@@ -1,8 +1,9 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs.
 
-Equal vectors are one class. Classes are dealt by a hash to shards of at most
+Equal vectors are one class (told by 128 bits of hash), with a number of its own, so
+ids of rows may be null or repeat. Classes are dealt by a hash to shards of about
 `shard_rows` (eight shards at least), each shard gets a graph of its own, and every
-class is searched in every shard. All candidates are verified by their cosine in
+class is searched in every shard. The vectors are shuffled once, for all graphs. All candidates are verified by their cosine in
 double precision, so no link is below the threshold.
 
 A graph's layers are prefixes of its nodes, ordered by falling random level; nodes
@@ -21,8 +22,10 @@ A search returns the number of links and, for components, the least class of eac
 of the shard's own components that it meets, never the list of links.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite
-component links with nothing, and vectors of different length don't link; equal
-vec_ids are rows of their own; an empty table gives no rows.
+component links with nothing, and vectors of different length don't link; rows of equal
+or null vec_id are vectors of their own, linked by what they hold; component_id is null
+where no vec_id is reachable, least vec_id otherwise; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -314,21 +317,22 @@ def near_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    good = rows.where(sound)
-    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    classes = durable(classes.withColumn("dim", F.size("embedding")), "vector-classes")
+    rows = vectors.select("vec_id", "embedding", sound.alias("_sound"), F.xxhash64("embedding").alias("_h"), F.xxhash64(F.lit(seed), "embedding").alias("_g"))
+    classes = rows.where("_sound").groupBy("_h", "_g").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("n"))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    classes = durable(classes.repartition(tasks).withColumn("dim", F.size("embedding")).withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     total = classes.count()
     shards = max(least_shards, -(-total // shard_rows))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "_g"], ignore_index=True)
         made = make_shard(pdf["id"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64), np.stack(pdf["embedding"].to_numpy()), threshold, dense, audit, audit_recall, ef, seed)
         return pd.DataFrame({"dim": [np.int32(pdf["dim"].iloc[0])], "shard": [np.int32(pdf["shard"].iloc[0])], "graph": [pickle.dumps(made, protocol=5)]})
 
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int"))
-    graphs = durable(dealt.groupBy("dim", "shard").applyInPandas(lambda pdf: build(pdf.sort_values("id", ignore_index=True)), "dim int, shard int, graph binary"), "graphs")
+    dealt = classes.select("id", "n", "embedding", "dim", "_h", "_g", F.pmod(F.col("_g"), F.lit(shards)).cast("int").alias("shard"))
+    graphs = durable(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
     sizes = graphs.select("dim", "shard", F.octet_length("graph").alias("b")).orderBy("dim", "shard").collect()  # a row for each graph
     groups: list[list] = []
     for r in sizes:
@@ -363,7 +367,7 @@ def near_vectors(
                 yield pd.DataFrame({"id": ids, "links": links, "label": ids})
                 yield pd.DataFrame({"id": pairs[:, 0], "links": np.zeros(len(pairs), dtype=np.int64), "label": pairs[:, 1]})
 
-        part = durable(classes.select("id", "dim", "embedding").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(ask, "id long, links long, label long"), "links")
+        part = durable(classes.select("id", "dim", "embedding").mapInPandas(ask, "id long, links long, label long"), "links")
         shared.destroy()
         found = part if found is None else found.unionByName(part)
 
@@ -371,15 +375,17 @@ def near_vectors(
         found = spark.createDataFrame([], "id long, links long, label long")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
-    named = (
-        classes.select("id", "n", "embedding")
-        .join(links.withColumnRenamed("id", "_l"), F.col("id") == F.col("_l"), "left")
+    slim = classes.select("id", "n", "head", "_h", "_g")
+    grouped = (
+        slim.join(links.withColumnRenamed("id", "_l"), F.col("id") == F.col("_l"), "left")
         .join(labels, F.col("id") == F.col("node"), "left")
-        .select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("label", "id").alias("_label"))
+        .select("_h", "_g", "head", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("label", "id").alias("_label"))
     )
+    least = grouped.groupBy(F.col("_label").alias("_of")).agg(F.min("head").alias("_least"))
+    named = grouped.join(least, F.col("_label") == F.col("_of")).select(F.col("_h").alias("_h2"), F.col("_g").alias("_g2"), "_links", "_least")
     return (
-        rows.withColumn("_sound", sound)
-        .join(named, F.col("_sound") & (F.col("embedding") == F.col("_e")), "left")
-        .select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_label", "vec_id").alias("component_id"))
+        rows.drop("embedding")
+        .join(named, F.col("_sound") & (F.col("_h") == F.col("_h2")) & (F.col("_g") == F.col("_g2")), "left")
+        .select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_links").isNull(), F.col("vec_id")).otherwise(F.col("_least")).alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
