@@ -34,13 +34,15 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtally.llm.components import components
 from loomtally.session import durable
 
 BITS = 64
+#: Bits of the table that marks the texts to be compared: 32 MB, broadcast and held by the driver.
+MARK_BITS = 1 << 28
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -218,15 +220,22 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal), component_id: the least doc_id reachable."""
+    """doc_id, fingerprint (hexadecimal), component_id: the least doc_id reachable (null if all
+    reachable ids are)."""
     prints = durable(fingerprints(docs, width), "fingerprints")
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-nodes")
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
     found = components(shard_links(nodes, radius, exact_routes(radius)))
     heads = found.join(nodes, F.col("node") == F.col("fp"))
     least = heads.groupBy("label").agg(F.min("head").alias("least")).withColumnRenamed("label", "_label")
     linked = found.join(least, F.col("label") == F.col("_label")).select("node", "least")
-    named = nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "head").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = durable(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "head").alias("component_id"), "n"), "named-fingerprints")
+    # fingerprints of a large share of the rows (at most 4 for each shuffle partition) are looked
+    # up where the rows are, so that no task gets all rows of one
+    bound = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = named.where(F.col("n") * (4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))) > bound)
+    same = F.col("fp") == F.col("_fp")
+    out = prints.join(F.broadcast(hot), same).unionByName(prints.join(F.broadcast(hot), same, "left_anti").join(named, same))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _common_shingles(docs: DataFrame, width: int, share: int = 16, least: int = 8, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
@@ -279,8 +288,9 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _candidates(prefixes: DataFrame, num: int, den: int, few: int) -> DataFrame:
     """kind, a, b, c: of prefixes (s, key, place) the pairs (0, a, b, 0) of up to `few` texts that
-    share a shingle. Of more texts the pairs with the first of them, and the rows themselves
-    (1, s, key, place), of which _across makes the other pairs that are needed."""
+    share a shingle. Of more texts the pairs with one of them, and the rows themselves
+    (1, s, key, place), of which _across makes the other pairs that are needed. The one is
+    that with the fewest rarer shingles before the shared one: of copies, the least edited."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _runs(batches):
@@ -308,36 +318,58 @@ def _candidates(prefixes: DataFrame, num: int, den: int, few: int) -> DataFrame:
             if big.any():
                 yield pd.DataFrame({"kind": np.ones(int(big.sum()), dtype=np.int32), "a": s[big], "b": key[big], "c": place[big]})
 
-    return prefixes.repartition("s").sortWithinPartitions("s", "key").mapInPandas(run, "kind int, a long, b long, c long")
+    return prefixes.repartition("s").sortWithinPartitions("s", F.col("place").bitwiseAND((1 << 32) - 1), "key").mapInPandas(run, "kind int, a long, b long, c long")
 
 
 def _across(named: DataFrame, num: int, den: int, turn: int, most: int, last: bool) -> DataFrame:
-    """kind, a, b of groups (s, key, place, label): all pairs (0, a, b) of texts in unlike
+    """kind, a, b of groups (s, key, place, label, parity): all pairs (0, a, b) of texts in unlike
     components, where these are at most `most` a text or it is the last turn. Else the pairs
-    with one text, another each turn, and (1, s, 0): the group stays open."""
+    with one text, another each turn, and (1, s, 0): the group stays open. Pairs that cannot be
+    alike by their places or parities are left out."""
 
-    def of(s: int, key: np.ndarray, place: np.ndarray, label: np.ndarray, out: list[np.ndarray]) -> bool:
+    def of(s: int, key: np.ndarray, place: np.ndarray, label: np.ndarray, made: list[bytes], out: list[np.ndarray]) -> bool:
         m = np.unique(label, return_counts=True)[1]
         if len(m) < 2:
             return False
-        if not last and len(key) ** 2 - (m**2).sum() > 2 * most * len(key):
-            i = int(np.argmin((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64(turn) * np.uint64(0xBF58476D1CE4E5B9))))
-            j = np.nonzero(label != label[i])[0]
+        n, bits = place >> 32, _Parities(made)
+
+        def add(i: int, j: np.ndarray) -> None:
             j = j[_fit(place[i], place[j], num, den)]
+            # alike in num / den: the sets differ in at most (den - num) / (den + num) of both sizes
+            j = j[bits.differ(i, j) * (den + num) <= (den - num) * (n[i] + n[j])]
             out.append(np.column_stack([np.full(len(j), key[i]), key[j]]))
+
+        if not last and len(key) ** 2 - (m**2).sum() > 2 * most * len(key):
+            i = int(np.argmin((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64(turn) * np.uint64(0xBF58476D1CE4E5B9))))
+            add(i, np.nonzero(label != label[i])[0])
             return True
         for i in range(len(key) - 1):
-            j = np.nonzero(label[i + 1 :] != label[i])[0] + i + 1
-            j = j[_fit(place[i], place[j], num, den)]
-            out.append(np.column_stack([np.full(len(j), key[i]), key[j]]))
+            add(i, np.nonzero(label[i + 1 :] != label[i])[0] + i + 1)
         return False
 
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames of whole groups."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            s = batch["s"].to_numpy(dtype=np.int64)
+            if not len(s):
+                continue
+            start = int(np.searchsorted(s, s[-1]))
+            if start or (held and held[-1]["s"].iloc[-1] != s[-1]):
+                yield pd.concat([*held, batch.iloc[:start]], ignore_index=True)
+                held = []
+            held.append(batch.iloc[start:])
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches):
+        for frame in groups(batches):
+            rows = frame[["s", "key", "place", "label"]].to_numpy(dtype=np.int64)
+            made = frame["parity"].tolist()
             cuts = np.concatenate([[0], np.nonzero(rows[1:, 0] != rows[:-1, 0])[0] + 1, [len(rows)]])
             out, still = [np.zeros((0, 2), dtype=np.int64)], []
             for a, b in itertools.pairwise(cuts.tolist()):
-                if of(rows[a, 0], *rows[a:b, 1:].T.copy(), out):
+                if of(rows[a, 0], *rows[a:b, 1:].T.copy(), made[a:b], out):
                     still.append(int(rows[a, 0]))
                 if sum(map(len, out)) > 1 << 20:
                     pairs = np.concatenate(out)
@@ -350,21 +382,71 @@ def _across(named: DataFrame, num: int, den: int, turn: int, most: int, last: bo
             yield pd.DataFrame({"kind": np.zeros(len(pairs), dtype=np.int32), "a": pairs[:, 0], "b": pairs[:, 1]})
             yield pd.DataFrame({"kind": np.ones(len(still), dtype=np.int32), "a": np.array(still, dtype=np.int64), "b": np.zeros(len(still), dtype=np.int64)})
 
-    return named.select("s", "key", "place", "label").repartition("s").sortWithinPartitions("s").mapInPandas(run, "kind int, a long, b long")
+    return named.select("s", "key", "place", "label", "parity").repartition("s").sortWithinPartitions("s").mapInPandas(run, "kind int, a long, b long")
 
 
 def text_key(text: str | None) -> int:
     """One for texts that are equal but for white space and ASCII case."""
     from xxhash import xxh64_intdigest
 
-    return signed(xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7))
+    return signed(xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 42))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def text_key_column(text: Column) -> Column:
+    """text_key as a column function."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.xxhash64(F.trim(F.regexp_replace(lowered, "[ \\t-\\r]+", " ")))
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """For each of 2 n bits or more, whether an odd number of the n hashes falls on it. Two
+    sets differ in at least as many hashes as their parities differ in bits."""
+    width = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+class _Parities:
+    """The parities of a group's members, compared at the lesser of two widths."""
+
+    def __init__(self, made: list[bytes]):
+        self.width = np.array([len(m) for m in made], dtype=np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(made), dtype=np.int64)
+        for w in np.unique(self.width).tolist():
+            at = np.nonzero(self.width == w)[0]
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.frombuffer(b"".join([made[i] for i in at.tolist()]), dtype=np.uint8).reshape(len(at), w)
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def _at(self, w: int, to: int) -> np.ndarray:
+        """The parities of width w, folded to `to` bytes."""
+        if w == to:
+            return self.rows[w]
+        if (w, to) not in self.folded:
+            self.folded[w, to] = np.bitwise_xor.reduce(self.rows[w].reshape(len(self.rows[w]), w // to, to), axis=1)
+        return self.folded[w, to]
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which i differs from each of others: no more than their sets differ in hashes."""
+        out, own = np.zeros(len(others), dtype=np.int64), int(self.width[i])
+        for w in np.unique(self.width[others]).tolist():
+            to, on = min(w, own), self.width[others] == w
+            mine = self._at(own, to)[self.place[i]]
+            there = self._at(w, to)[self.place[others[on]]]
+            out[on] = np.bitwise_count(there ^ mine).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _asked_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """text_key, text of the texts in pairs (a, b). Before the shuffle most others are left
-    out by a table of 8 to 16 bits for each text that is asked for."""
+    out by a table of 8 to 16 bits for each text that is asked for, of MARK_BITS at most
+    (with more texts it leaves out fewer, and right it stays)."""
     asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "asked")
-    size = 1 << max(10, (8 * asked.count()).bit_length())
+    size = min(MARK_BITS, 1 << max(10, (8 * asked.count()).bit_length()))
     slot = F.col("key").bitwiseAND(F.lit(size - 1))
     words = asked.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
     table = np.zeros(size >> 6, dtype=np.int64)
@@ -409,8 +491,9 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return durable(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "alike")
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4) -> DataFrame:
-    """Groups of near-duplicate texts by shingle similarity: (doc_id, text_key, keep).
+def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(prints: doc_id, text_key of every row; texts: text_key, label, head): texts of one label
+    are near-duplicates of each other, head is the least doc_id of a text.
 
     Texts that are equal but for white space and ASCII case are one node. Two nodes are
     linked where the Jaccard similarity of their sets of distinct shingles (as 64-bit hashes)
@@ -420,9 +503,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     are all compared. Of more, each is first compared with one of them, and then, as
     components are known, with those of other components: all at once if these pairs are
     at most `most` a text, else with one other text each turn and with all in the
-    last of `turns`. So pairs within a component are left out and no others. keep marks the
-    one document of each group that stays, the least doc_id; of repeated rows of it, all
-    are marked.
+    last of `turns`. Before their texts are read, pairs whose parities of hashes differ in
+    more bits than alike sets differ in shingles are ruled out. So pairs within a
+    component and pairs that cannot be alike are left out and no others.
     """
     ratio = Fraction(similarity).limit_denominator(1000)
     num, den = ratio.numerator, ratio.denominator
@@ -431,19 +514,20 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, levels = common.value
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, parities = [], [], [], []
             for t in batch["text"].tolist():
                 h = np.unique(shingle_hashes(t, width))
+                parities.append(parity(h))
                 if len(often) and len(h):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     h = h[np.argsort(np.where(often[at] == h, levels[at], 0), kind="stable")]
                 keys.append(text_key(t))
                 sizes.append(len(h))
                 prefixes.append(h[: len(h) + (-num * len(h)) // den + 1 if len(h) else 0].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes, "parity": parities})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>"), "prefixes")
+    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary"), "prefixes")
     sets = prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     single = sets.select("key", "n", F.posexplode("prefix").alias("at", "s")).select("s", "key", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
     made = durable(_candidates(single, num, den, few), "candidates")
@@ -451,10 +535,14 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     links = _alike(docs, tried, width, num, den)
     found = durable(components(links), "text-components")
     left = made.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("key"), F.col("c").alias("place"))
+    if left.limit(1).count():
+        asked = left.select("key").distinct()
+        parities = prints.where("n > 0").join(asked, F.col("text_key") == F.col("key"), "left_semi").groupBy(F.col("text_key").alias("_key")).agg(F.first("parity").alias("parity"))
+        left = durable(left.join(parities, F.col("key") == F.col("_key")).select("s", "key", "place", "parity"), "crowded-prefixes")
     for turn in range(1, turns + 1):
         if not left.limit(1).count():
             break
-        named = left.join(found, F.col("key") == F.col("node"), "left").select("s", "key", "place", F.coalesce("label", "key").alias("label"))
+        named = left.join(found, F.col("key") == F.col("node"), "left").select("s", "key", "place", F.coalesce("label", "key").alias("label"), "parity")
         more = durable(_across(named, num, den, turn, most, turn == turns), "across")
         asked = durable(more.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if asked.limit(1).count():
@@ -464,16 +552,27 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
                 found = durable(components(links), "text-components")
         left = left.join(more.where("kind = 1").select(F.col("a").alias("s")).distinct(), "s", "left_semi")
     heads = prints.groupBy("text_key").agg(F.min("doc_id").alias("head"))
-    least = found.join(heads, F.col("node") == F.col("text_key")).groupBy("label").agg(F.min("head").alias("least")).withColumnRenamed("label", "_label")
-    named = found.join(least, F.col("label") == F.col("_label")).select("node", "least")
-    group = heads.select(F.col("text_key").alias("_key"), "head").join(named, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("least", "head").alias("group"))
-    return prints.select("doc_id", "text_key").join(group, F.col("text_key") == F.col("_key")).select("doc_id", "text_key", F.col("doc_id").eqNullSafe(F.col("group")).alias("keep"))
+    texts = heads.join(found, F.col("text_key") == F.col("node"), "left").select("text_key", F.coalesce("label", "text_key").alias("label"), "head")
+    return prints.select("doc_id", "text_key"), durable(texts, "texts")
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4) -> DataFrame:
+    """Groups of near-duplicates: (doc_id, text_key, group: the least doc_id of the group, null if
+    all its ids are; keep: whether doc_id is that)."""
+    prints, texts = near_duplicate_texts(docs, width, similarity, few, most, turns)
+    least = texts.groupBy(F.col("label").alias("_label")).agg(F.min("head").alias("group"))
+    named = texts.join(least, F.col("label") == F.col("_label")).select(F.col("text_key").alias("_key"), "group")
+    return prints.join(named, F.col("text_key") == F.col("_key")).select("doc_id", "text_key", "group", F.col("doc_id").eqNullSafe(F.col("group")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the near-duplicates: one document of each group stays, whole."""
-    groups = near_duplicate_groups(docs, width, similarity)
-    keep = durable(groups.where("keep").select("doc_id").distinct(), "kept-ids").withColumnRenamed("doc_id", "_kept")
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    """docs without the near-duplicates: one document of each group stays, whole: that of the
+    least doc_id (null last), of several texts of this id the one of the least text key. Rows
+    of one id whose texts are no near-duplicates all stay."""
+    prints, texts = near_duplicate_texts(docs, width, similarity)
+    first = F.struct(F.col("head").isNull().alias("none"), "head", "text_key")
+    kept = durable(texts.groupBy("label").agg(F.min(first).alias("k")).select(F.col("k.head").alias("_kept"), F.col("k.text_key").alias("_key")), "kept-texts")
+    keyed = docs.withColumn("_text_key", text_key_column(F.col("text")))
+    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    twice = prints.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates(["doc_id", "_text_key"]) if twice else out).drop("_text_key")
