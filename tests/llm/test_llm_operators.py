@@ -160,7 +160,7 @@ def test_chunks_follow_the_rolling_hash():
 
 
 def test_scores(docs, empty):
-    rows = hpylm.score_documents(docs, shortlist=20, lexicon=30).collect()
+    rows = hpylm.score_documents(docs, lexicon=30).collect()
     tok = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [""]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, t, _ in corpus() if not held(i) for w in tok(t))
@@ -171,19 +171,10 @@ def test_scores(docs, empty):
         want[i, held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(base, 6)] += 1
     got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows)
     assert got == want and all(r["score"] < 0 for r in rows)
-    nothing = hpylm.score_documents(docs.where("doc_id = 201"), shortlist=5).collect()
+    nothing = hpylm.score_documents(docs.where("doc_id = 201")).collect()
     assert len(nothing) == 1 and hpylm.score_documents(empty).count() == 0
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    u, w = np.divmod(np.unique(rng.integers(0, 400, 150)), 20)
-    p = hpylm.sample_contexts(u, w, rng.integers(1, 90, len(u)), 20, 2, 3, 0.6, 5.0, 0.3, 5.0, 1)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    t = hpylm.seat(np.array([0, 1, 2, 1000, 100_000]), np.full(5, 3.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 <= t[4] <= 100_000
-
-
 # -- 4 SimHash -----------------------------------------------------------------------------------
 
 
