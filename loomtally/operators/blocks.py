@@ -62,47 +62,47 @@ def block_rollup(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def chunk_windows(tokens: DataFrame, length: int, bos: int) -> DataFrame:
     """pos, win, inputs, labels: a document's targets cut every `length`; inputs are the
-    targets shifted by one behind bos."""
-    inputs = F.concat(F.array(F.lit(bos)), F.slice("token_ids", 1, F.greatest(F.size("token_ids") - 1, F.lit(0))))
-    starts = F.sequence(F.lit(0), F.expr(f"(size(token_ids) - 1) div {length}"))
-    return (
-        tokens.where(F.size("token_ids") > 0)
-        .select("pos", "token_ids", inputs.alias("_in"), F.explode(starts).alias("win"))
-        .select("pos", F.col("win").cast("long").alias("win"), F.slice("_in", (F.col("win") * length + 1).cast("int"), length).alias("inputs"), F.slice("token_ids", (F.col("win") * length + 1).cast("int"), length).alias("labels"))
-    )
+    targets shifted by one behind bos. Windows are cut within the row, so a document's
+    tokens are not copied for each of them."""
+    n = F.size("token_ids")
+    first = lambda w: (w * length + 1).cast("int")
+    # a window's inputs begin with the token before its first target
+    inputs = lambda w: F.when(w == 0, F.concat(F.array(F.lit(bos)), F.slice("token_ids", 1, F.least(n, F.lit(length)) - 1))).otherwise(F.slice("token_ids", first(w) - 1, F.least(n - w * length, F.lit(length)).cast("int")))
+    made = F.transform(F.sequence(F.lit(0), F.expr(f"(size(token_ids) - 1) div {length}").cast("int")), lambda w: F.struct(w.cast("long").alias("win"), inputs(w).alias("inputs"), F.slice("token_ids", first(w), length).alias("labels")))
+    return tokens.where(n > 0).select("pos", F.explode(made).alias("w")).select("pos", "w.win", "w.inputs", "w.labels")
 
 
 def rolling_windows(tokens: DataFrame, length: int, bos: int) -> DataFrame:
     """pos, win, inputs, label: one window for each target, with up to `length` inputs that
-    end right before it; only the target is scored."""
-    inputs = F.concat(F.array(F.lit(bos)), F.slice("token_ids", 1, F.greatest(F.size("token_ids") - 1, F.lit(0))))
-    first = F.greatest(F.lit(0), F.col("win") + 1 - length)
-    return (
-        tokens.where(F.size("token_ids") > 0)
-        .select("pos", inputs.alias("_in"), F.posexplode("token_ids").alias("win", "label"))
-        .select("pos", F.col("win").cast("long").alias("win"), F.slice("_in", (first + 1).cast("int"), (F.col("win") + 1 - first).cast("int")).alias("inputs"), "label")
-    )
+    end right before it; only the target is scored. A window is cut when its row is made."""
+    i = F.col("win")
+    inputs = F.when(i < length, F.concat(F.array(F.lit(bos)), F.slice("token_ids", 1, i))).otherwise(F.slice("token_ids", i - length + 1, length))
+    return tokens.where(F.size("token_ids") > 0).select("pos", "token_ids", F.posexplode("token_ids").alias("win", "label")).select("pos", i.cast("long").alias("win"), inputs.alias("inputs"), "label")
 
 
 def packed_stream(tokens: DataFrame, bos: int, eos: int) -> DataFrame:
-    """gpos, token: bos, then each document's tokens and eos, in order of pos. Places come
-    from running sums of lengths, so no task holds the stream."""
-    sized = durable(tokens.select("pos", "token_ids").withColumn("_n", (F.size("token_ids") + 1).cast("long")), "stream")
+    """at, ids: runs of the stream bos, then each document's tokens and eos, in order of pos,
+    with the place of their first token. Places come from running sums of lengths, so no task
+    holds the stream."""
+    sized = durable(tokens.select("pos", F.concat("token_ids", F.array(F.lit(eos))).alias("ids")).withColumn("_n", F.size("ids").cast("long")), "stream")
     placed = running_before(sized, "_n", ["pos"], out="_before")
-    body = placed.select((F.col("_before") + 1).alias("_at"), F.posexplode(F.concat("token_ids", F.array(F.lit(eos)))).alias("_i", "token")).select((F.col("_at") + F.col("_i")).alias("gpos"), "token")
-    first = tokens.sparkSession.range(1).select(F.lit(0).cast("long").alias("gpos"), F.lit(bos).alias("token"))
-    return first.unionByName(body)
+    first = tokens.sparkSession.range(1).select(F.lit(0).cast("long").alias("at"), F.array(F.lit(bos)).alias("ids"))
+    return first.unionByName(placed.select((F.col("_before") + 1).alias("at"), "ids"))
 
 
 def packed_windows(tokens: DataFrame, length: int, bos: int, eos: int) -> DataFrame:
     """win, inputs, labels of all floor((stream - 1) / length) windows; a window's labels are
-    its inputs moved by one, and its last label is the next window's first input."""
-    stream = packed_stream(tokens, bos, eos)
-    # the token that ends a window's labels is also the first input of the next
-    both = stream.select(F.expr(f"gpos div {length}").alias("win"), (F.col("gpos") % length).alias("i"), "token")
-    last = stream.where((F.col("gpos") > 0) & (F.col("gpos") % length == 0)).select((F.expr(f"gpos div {length}") - 1).alias("win"), F.lit(length).cast("long").alias("i"), "token")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"])
-    return both.unionByName(last).groupBy("win").agg(ids.alias("_ids")).where(F.size("_ids") == length + 1).select("win", F.slice("_ids", 1, length).alias("inputs"), F.slice("_ids", 2, length).alias("labels"))
+    its inputs moved by one, and its last label is the next window's first input. Documents
+    are cut at window borders, and pieces are shuffled, not tokens."""
+    last = F.col("at") + F.size("ids") - 1
+    # window w holds the places w L, ..., w L + L: the last is also the first of the next
+    wins = F.sequence(F.greatest(F.lit(0).cast("long"), F.expr(f"(at - 1) div {length}")), (last / length).cast("long"))
+    lo = lambda w: F.greatest(F.col("at"), w * length)
+    hi = lambda w: F.least(last, w * length + length)
+    pieces = F.transform(wins, lambda w: F.struct(w.alias("win"), lo(w).alias("at"), F.slice("ids", (lo(w) - F.col("at") + 1).cast("int"), (hi(w) - lo(w) + 1).cast("int")).alias("ids")))
+    cut = packed_stream(tokens, bos, eos).select(F.explode(pieces).alias("p")).select("p.win", F.struct("p.at", "p.ids").alias("piece"))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["ids"]))
+    return cut.groupBy("win").agg(ids.alias("_ids")).where(F.size("_ids") == length + 1).select("win", F.slice("_ids", 1, length).alias("inputs"), F.slice("_ids", 2, length).alias("labels"))
 
 
 def completed_characters(text: str, widths: list[int]) -> list[int]:

@@ -4,22 +4,81 @@ vocabulary use, and a hook for external scorers."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtally.functions.codes import byte_ids
+from loomtally.session import durable
 
 LN2 = math.log(2)
 
 
-def byte_documents(docs: DataFrame) -> DataFrame:
-    """pos, characters, utf8_bytes, token_ids of the byte tokenizer."""
+def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts of an Arrow string column, ends of each text). A null is empty."""
+    filled = pc.cast(pc.fill_null(column, ""), pa.large_binary())
+    offsets = np.frombuffer(filled.buffers()[1], dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    data = filled.buffers()[2]
+    whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _over_bytes(docs: DataFrame, keep: Sequence[str], make: Callable[[np.ndarray, np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
+    """pos, keep, characters, utf8_bytes and what make gives of each text's bytes, by Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = _utf8(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(data, ends)], names=[*batch.schema.names[:-1], name])
+
     text = F.coalesce("text", F.lit(""))
-    return docs.select("pos", F.length(text).cast("long").alias("characters"), F.octet_length(text).cast("long").alias("utf8_bytes"), byte_ids(text).alias("token_ids"))
+    rows = docs.select("pos", *keep, F.length(text).cast("long").alias("characters"), F.octet_length(text).cast("long").alias("utf8_bytes"), text.alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{fields}, {name} {kind}")
+
+
+def byte_documents(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """pos, keep, characters, utf8_bytes, token_ids of the byte tokenizer."""
+
+    def ids(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data.astype(np.int32)))
+
+    return _over_bytes(docs, keep, ids, "token_ids", "array<int>")
+
+
+def byte_histograms(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """pos, keep, characters, utf8_bytes, histogram (token, m) of each text's byte tokens: as many
+    entries as it has distinct bytes, however long it is."""
+
+    def count(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+        n = len(ends) - 1
+        cells = np.bincount(np.repeat(np.arange(n) * 256, np.diff(ends)) + data, minlength=n * 256)
+        at = np.nonzero(cells)[0]
+        entries = pa.StructArray.from_arrays([pa.array((at % 256).astype(np.int32)), pa.array(cells[at].astype(np.int64))], names=["token", "m"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1) * 256).astype(np.int32)), entries)
+
+    return _over_bytes(docs, keep, count, "histogram", "array<struct<token:int,m:bigint>>")
+
+
+def histograms(encoded: DataFrame) -> DataFrame:
+    """encoded with token_ids replaced by their histogram, counted within each document."""
+    if "histogram" in encoded.columns:
+        return encoded
+    kept = [f for f in encoded.schema.fields if f.name != "token_ids"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [np.unique(np.asarray(ids, dtype=np.int64), return_counts=True) for ids in batch["token_ids"]]
+            out = batch.drop(columns=["token_ids"])
+            out["histogram"] = [[{"token": int(t), "m": int(m)} for t, m in zip(*x, strict=True)] for x in made]
+            yield out
+
+    return encoded.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", histogram array<struct<token:int,m:bigint>>")
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -58,15 +117,11 @@ def lossless(docs: DataFrame, path: str) -> DataFrame:
 
 
 def token_counts(encoded: DataFrame, eos: int | None = None) -> DataFrame:
-    """token, count over all documents; with eos, one end for each document."""
-    ids = F.col("token_ids") if eos is None else F.concat("token_ids", F.array(F.lit(eos)))
-    return encoded.select(F.explode(ids).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-
-
-def document_counts(encoded: DataFrame, eos: int | None = None) -> DataFrame:
-    """pos, token, m: how often a token stands in a document."""
-    ids = F.col("token_ids") if eos is None else F.concat("token_ids", F.array(F.lit(eos)))
-    return encoded.select("pos", F.explode(ids).alias("token")).groupBy("pos", "token").agg(F.count(F.lit(1)).alias("m"))
+    """token, count over all documents (histogram or token_ids); with eos, one end for each
+    document. Counted within documents first, so no row for each token is made."""
+    each = histograms(encoded).select("histogram")
+    ends = F.col("histogram") if eos is None else F.concat("histogram", F.array(F.struct(F.lit(eos).alias("token"), F.lit(1).cast("long").alias("m"))))
+    return each.select(F.explode(ends).alias("x")).groupBy("x.token").agg(F.sum("x.m").alias("count"))
 
 
 def check_alpha(alpha: float) -> float:
@@ -75,27 +130,43 @@ def check_alpha(alpha: float) -> float:
     return float(alpha)
 
 
-def unigram_nll(train: DataFrame, evaluation: DataFrame, vocab_size: int, alpha: float = 1.0, eos: int | None = None) -> DataFrame:
-    """pos, scored_tokens, text_tokens, characters, utf8_bytes, nll_nats, uniform_nats of the
+def unigram_nll(train: DataFrame, evaluation: DataFrame, vocab_size: int, alpha: float = 1.0, eos: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """pos, keep, scored_tokens, text_tokens, characters, utf8_bytes, nll_nats, uniform_nats of the
     evaluation documents under the add-alpha unigram of the training documents."""
     a = check_alpha(alpha)
-    return score_counts(token_counts(train, eos), evaluation, vocab_size, a, eos)
+    return score_counts(token_counts(train, eos), evaluation, vocab_size, a, eos, keep)
 
 
-def score_counts(counts: DataFrame, evaluation: DataFrame, vocab_size: int, alpha: float = 1.0, eos: int | None = None) -> DataFrame:
-    """As unigram_nll, from a table of counts (token, count; at most vocab_size rows, hence broadcast)."""
+#: Largest vocabulary whose costs are put into the plan (doubles); beyond it they are joined.
+COSTS_IN_PLAN = 1 << 18
+
+
+def score_counts(counts: DataFrame, evaluation: DataFrame, vocab_size: int, alpha: float = 1.0, eos: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """As unigram_nll, from a table of counts (token, count). A document's cost is the sum over
+    its histogram, so documents are not shuffled; the vocabulary's costs go with the plan."""
     a = check_alpha(alpha)
-    if counts.where((F.col("token") < 0) | (F.col("token") >= vocab_size)).limit(1).count():
+    rows = counts.limit(COSTS_IN_PLAN + 1).toPandas()  # at most a row for each token of the vocabulary, and bounded
+    token, count = rows["token"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
+    if counts.where(~F.col("token").between(0, vocab_size - 1)).limit(1).count() if len(rows) > COSTS_IN_PLAN else ((token < 0) | (token >= vocab_size)).any():
         raise ValueError("a token id lies outside the vocabulary")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    cost = F.lit(math.log(total + a * vocab_size)) - F.log(F.coalesce("count", F.lit(0)) + F.lit(a))
-    costs = document_counts(evaluation, eos).join(F.broadcast(counts.select("token", "count")), "token", "left").groupBy(F.col("pos").alias("_p")).agg(F.sum(F.col("m") * cost).alias("_nll"))
-    scored = F.size("token_ids") + (0 if eos is None else 1)
-    return (
-        evaluation.select("pos", scored.cast("long").alias("scored_tokens"), F.size("token_ids").cast("long").alias("text_tokens"), "characters", "utf8_bytes")
-        .join(costs, F.col("pos") == F.col("_p"), "left")
-        .select("pos", "scored_tokens", "text_tokens", "characters", "utf8_bytes", F.coalesce("_nll", F.lit(0.0)).alias("nll_nats"), (F.col("scored_tokens") * F.lit(math.log(vocab_size))).alias("uniform_nats"))
-    )
+    held = histograms(evaluation)
+    tokens = F.aggregate("histogram", F.lit(0).cast("long"), lambda s, x: s + x["m"])
+    if vocab_size <= COSTS_IN_PLAN:
+        total = float(count.sum()) + a * vocab_size
+        cost = np.full(vocab_size, math.log(total) - math.log(a))
+        cost[token] = math.log(total) - np.log(count + a)
+        at = F.lit(cost)
+        price = F.aggregate("histogram", F.lit(0.0), lambda s, x: s + x["m"] * F.get(at, x["token"]))
+        priced = held.withColumn("_nll", price + (F.lit(0.0) if eos is None else F.lit(float(cost[eos]))))
+    else:
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        cost = F.lit(math.log(total + a * vocab_size)) - F.log(F.coalesce("count", F.lit(0)) + F.lit(a))
+        ends = F.col("histogram") if eos is None else F.concat("histogram", F.array(F.struct(F.lit(eos).alias("token"), F.lit(1).cast("long").alias("m"))))
+        single = held.select(F.col("pos").alias("_p"), F.explode_outer(ends).alias("x")).select("_p", "x.token", "x.m")
+        sums = single.join(counts, "token", "left").groupBy("_p").agg(F.coalesce(F.sum(F.col("m") * cost), F.lit(0.0)).alias("_nll"))
+        priced = held.join(sums, F.col("pos") == F.col("_p"))
+    scored = tokens + (0 if eos is None else 1)
+    return priced.select("pos", *keep, scored.alias("scored_tokens"), tokens.alias("text_tokens"), "characters", "utf8_bytes", F.col("_nll").alias("nll_nats"), (scored * F.lit(math.log(vocab_size))).alias("uniform_nats"))
 
 
 def summarize(scores: DataFrame, nll: str = "nll_nats", by: tuple[str, ...] = ()) -> DataFrame:
@@ -119,7 +190,7 @@ def summarize(scores: DataFrame, nll: str = "nll_nats", by: tuple[str, ...] = ()
 
 def vocabulary_usage(encoded: DataFrame, vocab_size: int, controls: tuple[int, ...]) -> DataFrame:
     """One row: totals, compression, used share of the vocabulary, entropy of the tokens."""
-    counts = token_counts(encoded)
+    counts = durable(token_counts(encoded), "token-counts")
     if controls and counts.where(F.col("token").isin(*controls)).limit(1).count():
         raise ValueError("a control token stands in ordinary text")
     whole = encoded.agg(F.count(F.lit(1)).alias("d"), F.sum("characters").alias("c"), F.sum("utf8_bytes").alias("b")).first()

@@ -1,7 +1,7 @@
 """The operators as queries over the shared tables, and DuckDB SQL for the same rows.
 
-In all of them pos is doc_id, a document's family its source, path `*.py` its being
-English, and every query reads whole tables and whole texts.
+In all of them pos is doc_id, a document's family its source (or language and source), path
+`*.py` its being English, and every query reads whole tables and whole texts.
 """
 
 from __future__ import annotations
@@ -60,10 +60,13 @@ def select_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidate_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates are non-French documents, references the French ones of sources src3 and src4."""
-    docs = _files(documents(spark, folder).where("lang <> 'fr'"))
-    refs = documents(spark, folder).where("lang = 'fr' and source in ('src3', 'src4')").select("text", F.col("source").alias("family"))
-    return select.candidate_reasons(docs, refs).groupBy("reason").agg(F.count(F.lit(1)).alias("documents"), F.min("pos").alias("first_doc"))
+    """All documents as candidates, a (language, source) pair their family; references are the
+    documents labelled of low quality and toxic."""
+    docs = documents(spark, folder)
+    files = _files(docs).join(docs.select("pos", F.concat_ws("/", "lang", "source").alias("_family")), "pos").withColumn("family", F.col("_family")).drop("_family")
+    bad = table(spark, folder, "labels").where("quality = 0 and toxic = 1").select("doc_id")
+    refs = docs.join(bad, "doc_id", "left_semi").select("text", F.concat_ws("/", "lang", "source").alias("family"))
+    return select.candidate_reasons(files, refs).groupBy("reason").agg(F.count(F.lit(1)).alias("documents"), F.min("pos").alias("first_doc"))
 
 
 def family_exclusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,9 +123,20 @@ def shingle_stats(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("pos", F.size(lexemes(F.col("text"))).alias("lexemes")).join(sets, "pos").select(F.col("pos").alias("doc_id"), "lexemes", F.col("n").alias("shingles"))
 
 
+def _near_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sets = durable(dedup.shingle_sets(documents(spark, folder)).withColumn("anchor", F.lit(False)), "shingle-sets")
+    return dedup.near_pairs(sets, THRESHOLD)
+
+
 def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = dedup.similar_pairs(dedup.shingle_sets(documents(spark, folder)), THRESHOLD)
-    return pairs.select("earlier", "later", F.round(dedup.jaccard(), _R).alias("jaccard"))
+    """Pairs between the first documents of classes of equal sets."""
+    return _near_sets(spark, folder)[1].select("earlier", "later", F.round(dedup.jaccard(), _R).alias("jaccard"))
+
+
+def near_dup_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every document: the first document with an equal set of shingles."""
+    sets = durable(dedup.shingle_sets(documents(spark, folder)).withColumn("anchor", F.lit(False)), "shingle-sets")
+    return dedup.set_classes(sets).select(F.col("pos").alias("doc_id"), F.col("n").alias("shingles"), F.col("rep").alias("class_id"))
 
 
 def near_dup_survivors(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,10 +175,13 @@ def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rolling_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rolling windows of 16 over the benchmark's passages."""
-    passages = table(spark, folder, "benchmark").select(F.col("item_id").alias("pos"), "text")
-    made = blocks.rolling_windows(score.byte_documents(passages), 16, BOS)
-    return made.select(F.col("pos").alias("item_id"), "win", F.size("inputs").alias("context"), "label", _joined("inputs").alias("inputs_md5"))
+    """Rolling windows of CONTEXT over all documents: what each document's hold."""
+    made = blocks.rolling_windows(score.byte_documents(documents(spark, folder)), CONTEXT, BOS)
+    inputs = F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x)
+    each = made.select("pos", "win", F.size("inputs").alias("context"), "label", inputs.alias("sum"))
+    return each.groupBy(F.col("pos").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("context").alias("context"), F.sum(F.col("label") * (F.col("win") + 1)).alias("labels"), F.sum(F.col("sum") * (F.col("win") % 1000 + 1)).alias("inputs")
+    )
 
 
 def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,30 +193,30 @@ def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _arms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(training, validation, all with split): byte documents by the source split."""
+    """(training, validation, all with split): byte histograms by the source split, made once."""
     docs = documents(spark, folder)
-    named = docs.join(_families(docs).select(F.col("family").alias("source"), "split"), "source")
-    coded = score.byte_documents(named).join(named.select("pos", "split", "lang", "source"), "pos")
+    named = docs.join(F.broadcast(_families(docs).select(F.col("family").alias("source"), "split")), "source")  # a row for each source
+    coded = durable(score.byte_histograms(named.withColumn("sha256", text_sha256(F.col("text"))), ("split", "lang", "source", "sha256")), "histograms")
     return coded.where("split = 'train'"), coded.where("split = 'validation'"), coded
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return score.token_counts(score.byte_documents(documents(spark, folder)))
+    return score.token_counts(score.byte_histograms(documents(spark, folder)))
 
 
 def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return score.top_tokens(score.byte_documents(documents(spark, folder)), 20)
+    return score.top_tokens(score.byte_histograms(documents(spark, folder)), 20)
 
 
 def vocab_usage(spark: SparkSession, folder: str) -> DataFrame:
-    used = score.vocabulary_usage(score.byte_documents(documents(spark, folder)), BYTE_VOCABULARY, (BOS, PAD, EOS))
+    used = score.vocabulary_usage(score.byte_histograms(documents(spark, folder)), BYTE_VOCABULARY, (BOS, PAD, EOS))
     return _rounded(used, "characters_per_token", "bytes_per_token", "tokens_per_byte", "fraction_vocabulary", "fraction_noncontrol", "entropy_bits", "effective_vocabulary")
 
 
 def unseen_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Byte tokens of documents in other languages that the English ones lack."""
     docs = documents(spark, folder)
-    return _rounded(score.unseen_tokens(score.byte_documents(docs.where("lang = 'en'")), score.byte_documents(docs.where("lang <> 'en'"))), "unseen_fraction")
+    return _rounded(score.unseen_tokens(score.byte_histograms(docs.where("lang = 'en'")), score.byte_histograms(docs.where("lang <> 'en'"))), "unseen_fraction")
 
 
 def unigram_baseline(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,9 +243,8 @@ def _pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(paired arms over validation documents, source of each): unigrams of English and of
     other training documents."""
     train, valid, _ = _arms(spark, folder)
-    sha = documents(spark, folder).select("pos", text_sha256(F.col("text")).alias("sha256"))
-    arms = [durable(score.unigram_nll(t, valid, BYTE_VOCABULARY).join(sha, "pos"), "arm") for t in (train.where("lang = 'en'"), train.where("lang <> 'en'"))]
-    return durable(compare.paired(*arms), "paired"), valid.select("pos", F.col("source").alias("group"))
+    arms = [score.unigram_nll(t, valid, BYTE_VOCABULARY, keep=("sha256",)) for t in (train.where("lang = 'en'"), train.where("lang <> 'en'"))]
+    return durable(compare.paired(*[durable(a, "arm") for a in arms]), "paired"), valid.select("pos", F.col("source").alias("group"))
 
 
 def paired_difference(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,10 +276,9 @@ def seed_summary(spark: SparkSession, folder: str) -> DataFrame:
     under the unigrams of English and of other training documents."""
     train, _, coded = _arms(spark, folder)
     held = coded.where("split <> 'train'")
-    of = held.select("pos", "source", "split")
     arms = []
     for name, t in (("fit_bpb", train.where("lang = 'en'")), ("general_bpb", train.where("lang <> 'en'"))):
-        s = score.unigram_nll(t, held, BYTE_VOCABULARY).join(of, "pos")
+        s = score.unigram_nll(t, held, BYTE_VOCABULARY, keep=("split", "source"))
         arms.append(s.groupBy("split", "source").agg((F.sum("nll_nats") / (F.sum("utf8_bytes") * score.LN2)).alias(name)))
     values = arms[0].join(arms[1], ["split", "source"]).select(F.col("split").alias("regime"), F.col("source").alias("seed"), "fit_bpb", "general_bpb")
     doubles = ("fit_mean_bpb", "general_mean_bpb", "paired_mean_bpb", "paired_sd", "paired_min", "paired_max", "relative_mean_difference")
@@ -278,7 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         partition_stats, ordered_hash, exact_dedup, whitespace_dedup, select_reasons, candidate_reasons, family_exclusion, document_split, group_split,
-        character_prefix, overlap_audit, shingle_stats, near_dup_pairs, near_dup_survivors, anchor_contamination, raw_blocks, block_rollup, chunk_windows,
+        character_prefix, overlap_audit, shingle_stats, near_dup_pairs, near_dup_classes, near_dup_survivors, anchor_contamination, raw_blocks, block_rollup, chunk_windows,
         rolling_windows, packed_windows, token_counts, top_tokens, vocab_usage, unseen_tokens, unigram_baseline, uniform_baseline, paired_difference,
         document_bootstrap, group_bootstrap, seed_summary, model_size_search,
     )
@@ -328,6 +343,9 @@ v AS (SELECT r, sum(delta) / sum(utf8_bytes) / ln(2) AS v FROM draws JOIN u USIN
 SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, (SELECT n FROM n) AS units FROM v"""
 
 
+_LOW = "(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1))"
+
+
 def _reasons(source: str, checks: str, exact: str, space: str, taken: str | None) -> str:
     old = f"old AS (SELECT sha256(text) AS s, sha256({_NORM}) AS w FROM ({taken}))," if taken else ""
     first = (f"WHEN f.sha IN (SELECT s FROM old) THEN '{exact}' WHEN f.norm IN (SELECT w FROM old) THEN '{space}' " if taken else "")
@@ -338,12 +356,35 @@ named AS (SELECT doc_id, CASE {first}WHEN k = 1 THEN 'selected' WHEN sha = fs TH
 SELECT reason, count(*) AS documents, min(doc_id) AS first_doc FROM named GROUP BY reason"""
 
 
-_SETS = f"""
-lex AS (SELECT doc_id, {_LEX} AS t FROM documents),
+def _sets(source: str) -> str:
+    return f"""
+lex AS (SELECT doc_id, {_LEX} AS t FROM {source}),
 sh AS (SELECT DISTINCT doc_id, s FROM (
   SELECT doc_id, unnest(CASE WHEN len(t) < 5 THEN [hash(array_to_string(t, chr(1)))]
     ELSE list_transform(range(1, len(t) - 3), lambda i: hash(array_to_string(t[i:i+4], chr(1)))) END) AS s FROM lex)),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s::varchar, ',' ORDER BY s)) AS key FROM sh GROUP BY doc_id)"""
+
+
+def _near(source: str, first: str, order: str, free: str = "true") -> str:
+    """m: doc_id, n, rep; p: pairs between the first documents of classes of equal sets."""
+    return f"""{_sets(source)},
+m AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY key ORDER BY {first}) AS rep FROM n),
+f AS (SELECT s FROM sh JOIN m USING (doc_id) WHERE doc_id = rep GROUP BY s HAVING count(*) > 1),
+q AS (SELECT doc_id, s, n FROM sh JOIN f USING (s) JOIN m USING (doc_id) WHERE doc_id = rep),
+o AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM q a JOIN q b ON a.s = b.s AND {order} AND {free} AND least(a.n, b.n) * 20 >= greatest(a.n, b.n) * 17 GROUP BY ALL),
+p AS (SELECT earlier, later, nb, o / (na + nb - o) AS j FROM o WHERE o * 20 >= 17 * (na + nb - o))"""
+
+
+_SETS = _sets("documents")
+_NEAR = _near("documents", "doc_id", "(a.n, a.doc_id) < (b.n, b.doc_id)")
+_NEAR_ANCHORED = _near("(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)", "doc_id >= 0, doc_id", "(a.doc_id >= 0, a.doc_id) < (b.doc_id >= 0, b.doc_id)", "b.doc_id >= 0")
+_WALK_BY = """
+k AS (SELECT later AS id, list(earlier) AS nb, row_number() OVER (ORDER BY {order}) AS i FROM p GROUP BY later),
+walk(i, gone) AS (SELECT 0::bigint, []::bigint[] UNION ALL
+  SELECT k.i, CASE WHEN len(list_filter(nb, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM walk w JOIN k ON k.i = w.i + 1),
+gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1))"""
+_WALK = _WALK_BY.format(order="any_value(nb), later")
 _WINDOWS = """coded AS (SELECT {key} AS id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: cast('0x' || h AS int)) AS ids FROM {table})"""
 
 ORACLES: dict[str, str] = {
@@ -353,11 +394,11 @@ ORACLES: dict[str, str] = {
     "whitespace_dedup": f"SELECT sha256({_NORM}) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "select_reasons": _reasons("SELECT * FROM documents", "CASE WHEN length(text) NOT BETWEEN 200 AND 20000 THEN 'outside_size_bounds' WHEN lang <> 'en' THEN 'non_python_path' END", "exact_duplicates", "whitespace_duplicates", None),
     "candidate_reasons": _reasons(
-        "SELECT * FROM documents WHERE lang <> 'fr'",
-        "CASE WHEN source IN (SELECT source FROM documents WHERE lang = 'fr' AND source IN ('src3', 'src4')) THEN 'excluded_reference_family' WHEN length(text) NOT BETWEEN 200 AND 20000 THEN 'outside_size_bounds' WHEN lang <> 'en' THEN 'non_python_path' END",
+        "SELECT * FROM documents",
+        f"CASE WHEN lang || '/' || source IN (SELECT lang || '/' || source FROM {_LOW}) THEN 'excluded_reference_family' WHEN length(text) NOT BETWEEN 200 AND 20000 THEN 'outside_size_bounds' WHEN lang <> 'en' THEN 'non_python_path' END",
         "exact_duplicate",
         "whitespace_duplicate",
-        "SELECT text FROM documents WHERE lang = 'fr' AND source IN ('src3', 'src4')",
+        f"SELECT text FROM {_LOW}",
     ),
     "family_exclusion": """SELECT doc_id, lang || '/' || source AS family FROM documents
 WHERE lang || '/' || source NOT IN (SELECT lang || '/' || source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND toxic = 1)
@@ -372,10 +413,20 @@ SELECT doc_id, length(t) AS kept, sha256(t) AS sha256 FROM c""",
     "overlap_audit": f"""WITH {_FAMILIES}, t AS (SELECT DISTINCT split, sha256(text) AS s FROM documents JOIN families USING (source))
 SELECT a.split AS first, b.split AS second, count(*) AS texts FROM t a JOIN t b ON a.s = b.s AND a.split < b.split GROUP BY ALL""",
     "shingle_stats": f"WITH {_SETS} SELECT doc_id, len(t) AS lexemes, n AS shingles FROM lex JOIN n USING (doc_id)",
-    "near_dup_pairs": f"""WITH {_SETS}, f AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1), r AS (SELECT doc_id, s, n FROM sh JOIN f USING (s) JOIN n USING (doc_id)),
-o AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM r a JOIN r b ON a.s = b.s AND (a.n, a.doc_id) < (b.n, b.doc_id) AND a.n * 20 >= b.n * 17 GROUP BY ALL)
-SELECT earlier, later, round(o / (na + nb - o), 6) AS jaccard FROM o WHERE o * 20 >= 17 * (na + nb - o)""",
+    "near_dup_pairs": f"WITH {_NEAR} SELECT earlier, later, round(j, 6) AS jaccard FROM p",
+    "near_dup_classes": f"WITH {_NEAR} SELECT doc_id, n AS shingles, rep AS class_id FROM m",
+    "near_dup_survivors": f"""WITH RECURSIVE {_NEAR}, {_WALK},
+y AS (SELECT rep AS rep_of, rep AS near, 1.0::double AS j FROM m UNION SELECT later, earlier, j FROM p UNION SELECT earlier, later, j FROM p),
+x AS (SELECT m.doc_id, m.doc_id = m.rep AND m.rep NOT IN (SELECT id FROM gone) AS kept, m.n, m.rep FROM m),
+r AS (SELECT x.doc_id, min(near) AS retained_id, arg_min(j, near) AS j FROM x JOIN y ON y.rep_of = x.rep JOIN m k ON k.doc_id = near
+  WHERE NOT kept AND near NOT IN (SELECT id FROM gone) AND (k.n, near) < (x.n, x.doc_id) GROUP BY x.doc_id)
+SELECT x.doc_id, kept, retained_id, round(j, 6) AS jaccard FROM x LEFT JOIN r USING (doc_id)""",
+    "anchor_contamination": f"""WITH RECURSIVE {_NEAR_ANCHORED}, {_WALK_BY.format(order='later')},
+y AS (SELECT rep AS rep_of, rep AS near, 1.0::double AS j FROM m UNION SELECT later, earlier, j FROM p UNION SELECT earlier, later, j FROM p),
+x AS (SELECT m.doc_id, m.doc_id = m.rep AND m.rep NOT IN (SELECT id FROM gone) AS kept, m.rep FROM m WHERE doc_id >= 0),
+r AS (SELECT x.doc_id, arg_min(near, (near >= 0, near)) AS retained, arg_min(j, (near >= 0, near)) AS j FROM x JOIN y ON y.rep_of = x.rep
+  WHERE NOT kept AND near NOT IN (SELECT id FROM gone) AND (near >= 0, near) < (true, x.doc_id) GROUP BY x.doc_id)
+SELECT x.doc_id, kept, retained, round(j, 6) AS jaccard, retained < 0 AS anchor_is_reference FROM x LEFT JOIN r USING (doc_id)""",
     "raw_blocks": f"""WITH RECURSIVE cut(doc_id, block_pos, block, rest) AS (
   SELECT doc_id, -1::bigint, '', text FROM documents
   UNION ALL
@@ -386,9 +437,10 @@ SELECT doc_id, block_pos, length(block) AS characters, md5(block) AS block_md5 F
 w AS (SELECT id, ids, [{BOS}] || ids[:len(ids) - 1] AS inp, unnest(range((len(ids) - 1) // {CONTEXT} + 1)) AS win FROM coded WHERE len(ids) > 0)
 SELECT id AS doc_id, win, len(ids[win * {CONTEXT} + 1:(win + 1) * {CONTEXT}]) AS scored, md5(array_to_string(inp[win * {CONTEXT} + 1:(win + 1) * {CONTEXT}], ',')) AS inputs_md5,
   md5(array_to_string(ids[win * {CONTEXT} + 1:(win + 1) * {CONTEXT}], ',')) AS labels_md5 FROM w""",
-    "rolling_windows": f"""WITH {_WINDOWS.format(key='item_id', table='benchmark')},
-w AS (SELECT id, ids, [{BOS}] || ids[:len(ids) - 1] AS inp, unnest(range(len(ids))) AS win FROM coded WHERE len(ids) > 0)
-SELECT id AS item_id, win, len(inp[greatest(0, win - 15) + 1:win + 1]) AS context, ids[win + 1] AS label, md5(array_to_string(inp[greatest(0, win - 15) + 1:win + 1], ',')) AS inputs_md5 FROM w""",
+    "rolling_windows": f"""WITH {_WINDOWS.format(key='doc_id', table='documents')},
+w AS (SELECT id, unnest(range(len(ids))) AS win, unnest(ids) AS label, unnest([{BOS}] || ids[:len(ids) - 1]) AS x FROM coded WHERE len(ids) > 0),
+e AS (SELECT id, win, label, count(*) OVER f AS context, sum(x) OVER f AS s FROM w WINDOW f AS (PARTITION BY id ORDER BY win ROWS BETWEEN {CONTEXT - 1} PRECEDING AND CURRENT ROW))
+SELECT id AS doc_id, count(*) AS windows, sum(context)::bigint AS context, sum(label * (win + 1))::bigint AS labels, sum(s * (win % 1000 + 1))::bigint AS inputs FROM e GROUP BY id""",
     "packed_windows": f"""WITH {_WINDOWS.format(key='doc_id', table='documents')},
 s AS (SELECT 0::bigint AS g, {BOS} AS token UNION ALL
   SELECT row_number() OVER (ORDER BY id, i), token FROM (SELECT id, unnest(range(len(ids) + 1)) AS i, unnest(ids || [{EOS}]) AS token FROM coded)),
