@@ -1,21 +1,25 @@
-"""Encoding by a tokenizer file of the tokenizers library, with a bounded cache.
+"""Encoding by a tokenizer file of the tokenizers library, with a cache bounded in bytes.
 
 Both byte-level vocabularies cut a text before they merge: no merge crosses a
 single space or line feed that stands between two characters that are not white
 space. A text is cut there, each distinct word is encoded once by the library
 and the ids are strung together, so that a known word costs a dictionary look-up.
 Texts with other white space are cut only where that is safe, and what is left
-together goes to the library as it is.
+together goes to the library as it is. Words of over LONGEST characters are never kept.
 """
 
 from __future__ import annotations
 
 import os
+import sys
 from array import array
 from collections.abc import Sequence
 
-#: Distinct words that a worker keeps in each table; beyond it the table starts anew.
-CACHE_WORDS = 500_000
+#: Bytes of words and ids in a generation of a worker's table (two tables for each file, two generations
+#: each): a full generation becomes the old one, of which the words still in use move to the next.
+CACHE_BYTES = 96 << 20
+#: Longest word that is kept; a longer one is encoded each time.
+LONGEST = 64
 #: White space other than the space and the line feed, as the vocabularies' patterns and str.split know it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -38,15 +42,27 @@ class WordCache(dict):
     def __init__(self, tokenizer, before: str, lower: bool):
         super().__init__()
         self.tokenizer, self.model, self.before, self.lower = tokenizer, tokenizer.model, before, lower
+        self.lead = before.translate(_LETTERS)
+        self.held, self.old = 0, {}
         self.marks = {m: self.whole(m) for m in ",."}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None) or self.made(word)
+        if len(word) <= LONGEST:
+            self.held += sys.getsizeof(word) + sys.getsizeof(ids) + 100
+            if self.held > CACHE_BYTES:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[word] = ids
+        return ids
+
+    def made(self, word: str) -> bytes:
         core, mark = word, b""
         if word[-1] in self.marks and word[:-1].isalpha():
             # a comma or full stop behind letters is a unit of its own
             core, mark = word[:-1], self.marks[word[-1]]
         ids = (self.get(core) if mark else None) or self.letters(core) or self.whole(self.before + core)
-        self[word] = ids + mark
         return ids + mark
 
     def letters(self, word: str) -> bytes | None:
@@ -54,12 +70,17 @@ class WordCache(dict):
         normalizing and cutting (most of its time); None for other words."""
         if not word.isalpha():
             return None
-        try:
-            word.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        data = (self.before + (word.lower() if self.lower else word)).encode()
-        return array("I", [t.id for t in self.model.tokenize(data.decode("latin-1").translate(_LETTERS))]).tobytes()
+        ascii_only = word.isascii()
+        if not ascii_only:
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        if self.lower:
+            word = word.lower()
+        # ASCII letters stand for themselves
+        data = self.lead + word if ascii_only else (self.before + word).encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(data)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -86,9 +107,6 @@ class WordEncoder:
         bare, after = self.bare, self.after_space
         word, out = after.__getitem__, []
         for text in texts:
-            if len(bare) > CACHE_WORDS or len(after) > CACHE_WORDS:
-                bare.clear()
-                after.clear()
             lines = self._lines(text)
             if self.spaced:
                 out.append(self.feed.join([b"".join([bare[line[0]], *map(word, line[1:])]) for line in lines]))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtally.operators.ordered import default_ranges, range_bounds, range_of
+from loomtally.operators.ordered import range_bounds, range_of, ranges_of_bytes
 
 WINDOW, CHUNKS, LEAST = 7, 64, 3
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -132,10 +132,11 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text dealt to ranges of doc_id and sorted there, each range followed by
     the first row of the next one (the last by the first of all) with _ahead = 1, so
     that every document meets its successor in one task and texts move once.
-    Rows of equal id are ordered by a hash of their texts."""
-    n = ranges or 2 * default_ranges(docs)
+    Rows of equal id are ordered by a hash of their texts. A range holds about 16 MB of text."""
+    n = ranges or ranges_of_bytes(docs, "text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    dealt = rows.withColumn("_range", range_of(F.col("doc_id"), range_bounds(rows, "doc_id", n)))
+    bounds = range_bounds(rows, "doc_id", n)
+    dealt = rows.withColumn("_range", range_of(F.col("doc_id"), bounds))
     firsts = dealt.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "_tie")).alias("f")).orderBy("_range").collect()  # a row for each range
     before = [(int(r["f"]["doc_id"]) if r["f"]["doc_id"] is not None else None, r["f"]["_tie"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)]
     ahead = docs.sparkSession.createDataFrame(before, "_fd long, _ft long, _before int")
@@ -143,7 +144,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         dealt.join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("_tie") == F.col("_ft")), "left")
         .withColumn("_p", F.explode(F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("ahead")))).otherwise(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("ahead")), F.struct(F.col("_before").alias("range"), F.lit(1).alias("ahead"))))))
         .select(F.col("_p.range").alias("_range"), F.col("_p.ahead").alias("_ahead"), "doc_id", "_tie", "text")
-        .repartition(max(1, default_ranges(docs)), "_range")
+        .repartitionById(len(bounds) + 1, "_range")
         .sortWithinPartitions("_range", "_ahead", F.col("doc_id").asc_nulls_first(), "_tie")
     )
 

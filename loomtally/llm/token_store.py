@@ -9,8 +9,9 @@ document is read by decompressing its frame only. Shards are ranges of doc_id in
 ascending order, blocks follow each other within a shard.
 
 The dictionary is trained on serialized id arrays of a bounded sample
-(`sample_docs` documents by the least hash of their id, `sample_bytes` at most);
-it alters sizes only, never contents.
+(`sample_docs` documents by the least hash of id and text, `sample_bytes` at most), of
+which only rows below a hash bound leave their tasks; it alters sizes only, never
+contents. Ranges hold about 16 MB of text, however large the corpus.
 
 Defined results: a null or empty text is the end id alone; rows of equal doc_id
 are kept each, ordered by a hash of their texts; null ids come first; an empty
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtally.llm.encoders import encoder
-from loomtally.operators.ordered import default_ranges, range_bounds, range_of
+from loomtally.operators.ordered import range_bounds, range_of, ranges_of_bytes
 
 BLOCK_BYTES = 1 << 20
 _EMPTY = "shard int, block long, dictionary_sha256 string, doc_ids array<bigint>, offsets array<int>, n_tokens array<int>, data binary"
@@ -54,7 +55,9 @@ def train_dictionary(docs: DataFrame, path: str, spaced: bool, end_id: int, widt
             made = b"".join(samples)[:size]
         yield pd.DataFrame({"dictionary": [made]})
 
-    sample = docs.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs).select("text")
+    n, rank = docs.count(), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    bound = min((1 << 63) - 1, 4 * sample_docs * ((1 << 63) // max(1, n)))  # about four samples pass
+    sample = docs.where(rank <= bound).orderBy(rank).limit(sample_docs).select("text")
     rows = sample.coalesce(1).mapInPandas(train, "dictionary binary").collect()
     return b"".join(bytes(r["dictionary"]) for r in rows)
 
@@ -115,10 +118,9 @@ def write_tokens(
         if ids:
             yield flush()
 
-    ranges = default_ranges(docs)
-    bounds = range_bounds(rows, "doc_id", ranges)
+    bounds = range_bounds(rows, "doc_id", ranges_of_bytes(rows, "text"))
     frames = rows.withColumn("_tie", F.xxhash64("text")).mapInPandas(compress, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _tie long, n int, frame binary")
-    dealt = frames.withColumn("shard", range_of(F.col("doc_id"), bounds)).repartition(max(1, ranges), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "_tie")
+    dealt = frames.withColumn("shard", range_of(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "_tie")
     dealt.select("shard", "doc_id", "n", "frame").mapInPandas(assemble, _EMPTY).write.parquet(f"{out}/blocks")
 
 
