@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.functions.text import text_sha256
+from loomtally.functions.codes import file_digest
+from loomtally.functions.text import is_blank, normalized, repository_family, text_sha256
+from loomtally.operators.select import character_prefix
+
+AUDIT = "audit string, key string, detail string"
 
 
 def finding(df: DataFrame, audit: str, key, detail) -> DataFrame:
@@ -90,4 +95,63 @@ def totals_audit(total: DataFrame, parts: DataFrame, keys: list[str]) -> DataFra
     """Fields of a one-row total that are not the sum over parts (relative 1e-12, absolute 1e-8)."""
     got, want = parts.agg(*[F.sum(k).alias(k) for k in keys]).first(), total.first()
     bad = [("totals", k, f"{want[k]} is not {got[k]}") for k in keys if abs(want[k] - (got[k] or 0)) > max(1e-12 * max(abs(want[k]), abs(got[k] or 0)), 1e-8)]
-    return total.sparkSession.createDataFrame(bad, "audit string, key string, detail string")
+    return total.sparkSession.createDataFrame(bad, AUDIT)
+
+
+def blank_audit(docs: DataFrame) -> DataFrame:
+    """Documents (pos, text) whose text is missing or holds white space only."""
+    return finding(docs.where(is_blank(F.col("text"))), "blank", F.col("pos"), F.coalesce(F.length("text").cast("string"), F.lit("null")))
+
+
+def distinct_counts(metadata: DataFrame, by: str) -> DataFrame:
+    """by, repositories, families: distinct names, repositories without regard to case; exact."""
+    return metadata.groupBy(by).agg(F.count_distinct(F.lower("repo")).alias("repositories"), F.count_distinct("family").alias("families"))
+
+
+def metadata_counts_audit(metadata: DataFrame, by: str, recorded: dict[str, dict[str, int]]) -> DataFrame:
+    """Recorded counts (partition: repositories, families) that the metadata does not give."""
+    got = {r[by]: {k: r[k] for k in ("repositories", "families")} for r in distinct_counts(metadata, by).collect()}  # a row for each partition
+    bad = [("counts", p, f"recorded {recorded.get(p)}, found {got.get(p)}") for p in sorted(recorded.keys() | got.keys()) if recorded.get(p) != got.get(p)]
+    return metadata.sparkSession.createDataFrame(bad, AUDIT)
+
+
+def scored_once_audit(targets: DataFrame, scored: DataFrame) -> DataFrame:
+    """Documents whose targets (pos, n) are not scored just once each (scored: pos, scored_tokens;
+    rows of a document are summed)."""
+    sums = scored.groupBy(F.col("pos").alias("_p")).agg(F.sum("scored_tokens").alias("_s"))
+    both = targets.join(sums, F.col("pos") == F.col("_p"), "full_outer")
+    wrong = both.where(F.coalesce("n", F.lit(0)) != F.coalesce("_s", F.lit(0)))
+    return finding(wrong, "scored once", F.coalesce("pos", "_p"), F.concat(F.coalesce("_s", F.lit(0)).cast("string"), F.lit(" of "), F.coalesce("n", F.lit(0)).cast("string")))
+
+
+def disjoint_audit(training: DataFrame, full: DataFrame, metadata: DataFrame, references: DataFrame, budget: int) -> DataFrame:
+    """What a tokenizer corpus shares with the language model's, or gets wrong.
+
+    training, full (pos, text, sha256): the corpus as cut to `budget` characters and its whole
+    sources; metadata (pos, repo, family, sha256, full_sha256); references (text, family)."""
+    out = checksum_audit(training).unionByName(checksum_audit(full))
+    wrong = metadata.where(~repository_family(F.col("repo")).eqNullSafe(F.col("family")))
+    out = out.unionByName(finding(wrong, "family name", F.col("pos"), F.col("family")))
+    taken = references.select(F.col("family").alias("_f")).distinct()
+    out = out.unionByName(finding(metadata.join(taken, F.col("family") == F.col("_f")), "family overlap", F.col("pos"), F.col("family")))
+    # by normalized text: equal texts are among them
+    old = references.select(text_sha256(normalized(F.col("text"))).alias("_n")).distinct()
+    same = full.withColumn("_own", text_sha256(normalized(F.col("text")))).join(old, F.col("_own") == F.col("_n"))
+    out = out.unionByName(finding(same, "text overlap", F.col("pos"), F.col("sha256")))
+    named = lambda d, name, has: d.select(F.col("pos").alias(f"_{name}"), F.col("sha256").alias(has))
+    sides = metadata.join(named(training, "t", "_ts"), F.col("pos") == F.col("_t"), "full_outer").join(named(full, "u", "_us"), F.coalesce("pos", "_t") == F.col("_u"), "full_outer")
+    apart = sides.where(~F.col("sha256").eqNullSafe(F.col("_ts")) | ~F.col("full_sha256").eqNullSafe(F.col("_us")))
+    out = out.unionByName(finding(apart, "alignment", F.coalesce("pos", "_t", "_u"), F.lit("texts and metadata")))
+    want = character_prefix(full.select("pos", "text"), budget, strict=False).select(F.col("pos").alias("_w"), text_sha256(F.col("text")).alias("_ws"))
+    cut = training.select("pos", "sha256").join(want, F.col("pos") == F.col("_w"), "full_outer").where(~F.col("sha256").eqNullSafe(F.col("_ws")))
+    return out.unionByName(finding(cut, "prefix", F.coalesce("pos", "_w"), F.lit(f"not the first {budget} characters")))
+
+
+def tokenizer_pair_audit(spark: SparkSession, folder: str, manifest: dict[str, Any], snapshot_manifest: str, vocabulary_size: Callable[[str], int]) -> DataFrame:
+    """What a pair of tokenizer files (fit.json, general.json of a folder) does not share with its
+    manifest or with each other. vocabulary_size: of a tokenizer file."""
+    facts = [("snapshot", manifest.get("snapshot_sha256"), file_digest(spark, snapshot_manifest)), ("budgets", *[manifest[a].get("training_chars") for a in ("fit", "general")])]
+    for arm in ("fit", "general"):
+        file = f"{folder}/{arm}.json"
+        facts += [(f"{arm} file", manifest[arm].get("sha256"), file_digest(spark, file)), (f"{arm} vocabulary", manifest.get("vocab_size"), vocabulary_size(file))]
+    return spark.createDataFrame([("tokenizer", what, f"{a} is not {b}") for what, a, b in facts if a != b or a is None], AUDIT)

@@ -80,31 +80,48 @@ def rolling_windows(tokens: DataFrame, length: int, bos: int) -> DataFrame:
     return tokens.where(F.size("token_ids") > 0).select("pos", "token_ids", F.posexplode("token_ids").alias("win", "label")).select("pos", i.cast("long").alias("win"), inputs.alias("inputs"), "label")
 
 
-def packed_stream(tokens: DataFrame, bos: int, eos: int) -> DataFrame:
+def packed_stream(tokens: DataFrame, bos: int | None, eos: int | None) -> DataFrame:
     """at, ids: runs of the stream bos, then each document's tokens and eos, in order of pos,
-    with the place of their first token. Places come from running sums of lengths, so no task
-    holds the stream."""
-    sized = durable(tokens.select("pos", F.concat("token_ids", F.array(F.lit(eos))).alias("ids")).withColumn("_n", F.size("ids").cast("long")), "stream")
-    placed = running_before(sized, "_n", ["pos"], out="_before")
+    with the place of their first token; a control that is None is left out. Places come from
+    running sums of lengths, so no task holds the stream."""
+    ids = F.col("token_ids") if eos is None else F.concat("token_ids", F.array(F.lit(eos)))
+    sized = durable(tokens.select("pos", ids.alias("ids")).withColumn("_n", F.size("ids").cast("long")), "stream")
+    placed = running_before(sized.where("_n > 0"), "_n", ["pos"], out="_before")
+    if bos is None:
+        return placed.select(F.col("_before").alias("at"), "ids")
     first = tokens.sparkSession.range(1).select(F.lit(0).cast("long").alias("at"), F.array(F.lit(bos)).alias("ids"))
     return first.unionByName(placed.select((F.col("_before") + 1).alias("at"), "ids"))
 
 
-def packed_windows(tokens: DataFrame, length: int, bos: int, eos: int) -> DataFrame:
-    """win, inputs, labels of all floor((stream - 1) / length) windows; a window's labels are
-    its inputs moved by one, and its last label is the next window's first input. Documents
-    are cut at window borders, and pieces are shuffled, not tokens."""
+def _windows(stream: DataFrame, length: int) -> DataFrame:
+    """win, inputs, labels of all whole windows of a stream (at, ids); a window's labels are its
+    inputs moved by one, and its last label is the next window's first input. Runs are cut at
+    window borders, and pieces are shuffled, not tokens."""
     last = F.col("at") + F.size("ids") - 1
     # window w holds the places w L, ..., w L + L: the last is also the first of the next
     wins = F.sequence(F.greatest(F.lit(0).cast("long"), F.expr(f"(at - 1) div {length}")), (last / length).cast("long"))
     lo = lambda w: F.greatest(F.col("at"), w * length)
     hi = lambda w: F.least(last, w * length + length)
     pieces = F.transform(wins, lambda w: F.struct(w.alias("win"), lo(w).alias("at"), F.slice("ids", (lo(w) - F.col("at") + 1).cast("int"), (hi(w) - lo(w) + 1).cast("int")).alias("ids")))
-    cut = packed_stream(tokens, bos, eos).select(F.explode(pieces).alias("p")).select("p.win", F.struct("p.at", "p.ids").alias("piece"))
+    cut = stream.select(F.explode(pieces).alias("p")).select("p.win", F.struct("p.at", "p.ids").alias("piece"))
     ids = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["ids"]))
     return cut.groupBy("win").agg(ids.alias("_ids")).where(F.size("_ids") == length + 1).select("win", F.slice("_ids", 1, length).alias("inputs"), F.slice("_ids", 2, length).alias("labels"))
 
 
+def packed_windows(tokens: DataFrame, length: int, bos: int, eos: int) -> DataFrame:
+    """win, inputs, labels of all floor((stream - 1) / length) windows of the packed stream."""
+    return _windows(packed_stream(tokens, bos, eos), length)
+
+
+def flat_windows(tokens: DataFrame, length: int, most: int | None = None) -> DataFrame:
+    """win, inputs, labels over the documents' tokens one after another, without controls; of the
+    first `most` tokens, where a budget is to be equal for two tokenizers."""
+    stream = packed_stream(tokens, None, None)
+    if most is not None:
+        stream = stream.where(F.col("at") < most).withColumn("ids", F.slice("ids", 1, F.least(F.size("ids"), (F.lit(most) - F.col("at")).cast("int"))))
+    return _windows(stream, length)
+
+
 def completed_characters(text: str, widths: list[int]) -> list[int]:
     """Code points completed by each token, whose byte widths in order make up the text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")

@@ -3,10 +3,11 @@ and audits of run pairs."""
 
 from __future__ import annotations
 
+import json
 import math
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LN2 = math.log(2)
@@ -38,20 +39,31 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(1e-12 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-8))
 
 
+#: Most units whose numbers are put into the plan; more are joined to the draws.
+UNITS_IN_PLAN = 1 << 18
+
+
 def bootstrap(units: DataFrame, replicates: int, seed: int) -> DataFrame:
     """low, high: 2.5 and 97.5 percentiles of the ratio of resampled sums in bits per byte.
 
     units: unit (0, 1, ... without gaps), delta, utf8_bytes; in portable mode draw (r, s) is
-    the unit md5('seed|r|s')[:8] modulo their number. Draws are generated where they are
-    used; units (documents or groups of an evaluation set) are joined by number."""
-    n = units.count()
+    the unit md5('seed|r|s')[:8] modulo their number. A replicate is a row that draws its units
+    from arrays of them (documents or groups of an evaluation set), so nothing is shuffled;
+    more than UNITS_IN_PLAN units are joined by number instead."""
     spark = units.sparkSession
-    draws = (
-        spark.range(replicates * n)
-        .select(F.expr(f"id div {n}").alias("r"), (F.col("id") % n).alias("s"))
-        .select("r", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("s").cast("string"))), 1, 8), 16, 10).cast("long") % n).alias("unit"))
-    )
-    sums = draws.groupBy("r", "unit").agg(F.count(F.lit(1)).alias("m")).hint("merge").join(units, "unit").groupBy("r").agg((F.sum(F.col("m") * F.col("delta")) / F.sum(F.col("m") * F.col("utf8_bytes")) / LN2).alias("v"))
+    n = units.count()
+    digits = lambda r, s: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), r.cast("string"), s.cast("string"))), 1, 8)
+    unit = lambda r, s: F.conv(digits(r, s), 16, 10).cast("long") % n
+    if 0 < n <= UNITS_IN_PLAN:
+        rows = units.orderBy("unit").select("delta", "utf8_bytes").toPandas()  # at most UNITS_IN_PLAN rows
+        delta, size = F.lit(rows["delta"].to_numpy(dtype=float)), F.lit(rows["utf8_bytes"].to_numpy(dtype=float))
+        tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: unit(F.col("r"), s).cast("int"))
+        total = lambda of: F.aggregate("_units", F.lit(0.0), lambda a, u: a + F.get(of, u))
+        sums = spark.range(0, replicates, 1, tasks).select(F.col("id").alias("r")).withColumn("_units", drawn).select((total(delta) / total(size) / LN2).alias("v"))
+    else:
+        draws = spark.range(replicates * n).select(F.expr(f"id div {max(1, n)}").alias("r"), (F.col("id") % max(1, n)).alias("s")).select("r", unit(F.col("r"), F.col("s")).alias("unit"))
+        sums = draws.groupBy("r", "unit").agg(F.count(F.lit(1)).alias("m")).hint("merge").join(units, "unit").groupBy("r").agg((F.sum(F.col("m") * F.col("delta")) / F.sum(F.col("m") * F.col("utf8_bytes")) / LN2).alias("v"))
     return sums.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).withColumn("units", F.lit(n).cast("long"))
 
 
@@ -87,22 +99,60 @@ def missing_pairs(runs: DataFrame, regimes: list[str], seeds: list[int]) -> Data
     return wanted.join(have, ["regime", "seed"], "left_anti")
 
 
-def audit_pair(fit: dict[str, Any], general: dict[str, Any]) -> list[str]:
-    """What two runs (small JSON objects) fail to share; empty if they are a fair pair."""
-    bad = [f"{n} is not complete" for n, r in (("fit", fit), ("general", general)) if r.get("status") != "complete"]
-    bad += [f"config {k}" for k in sorted(fit["config"]) if k not in ("label", "tokenizer_sha256") and fit["config"][k] != general["config"].get(k)]
-    bad += [k for k in ("initial_weights_sha256", "parameters") if fit[k] != general[k]]
-    matched = ["padded_positions", *(["raw_bytes", "raw_chars"] if fit["config"]["regime"] == "raw" else ["target_tokens"])]
-    bad += [f"exposure {k}" for k in matched if fit["exposure"][k] != general["exposure"][k]]
-    if len(fit["history"]) != len(general["history"]):
-        return [*bad, "history length"]
-    for a, b in zip(fit["history"], general["history"], strict=True):
-        bad += [f"exposure {k} at step {a['step']}" for k in matched if a["exposure"][k] != b["exposure"][k]]
-        bad += ["step"] * (a["step"] != b["step"])
-        bad += [f"{k} at step {a['step']}" for k in ("utf8_bytes", "characters") if a["validation"][k] != b["validation"][k]]
-        hashes = [[d["sha256"] for d in x["validation"]["source_documents"]] for x in (a, b)]
-        bad += [f"documents at step {a['step']}"] * (hashes[0] != hashes[1])
-    return bad
+#: Which facts of two runs must agree. where: `run` (once a run) or `step` (at each of them);
+#: regime: the only regime that a rule holds for. Facts are named by their place in a run's JSON.
+PAIR_RULES: tuple[tuple[str, str, str | None], ...] = (
+    ("run", "status", None),
+    ("run", "parameters", None),
+    ("run", "initial_weights_sha256", None),
+    ("run", "config.*", None),
+    ("run", "steps_recorded", None),
+    ("both", "exposure.padded_positions", None),
+    ("both", "exposure.raw_bytes", "raw"),
+    ("both", "exposure.raw_chars", "raw"),
+    ("both", "exposure.target_tokens", "token"),
+    ("step", "step", None),
+    ("step", "validation.utf8_bytes", None),
+    ("step", "validation.characters", None),
+    ("step", "validation.source_documents", None),
+)
+#: What may differ between the arms.
+FREE = ("config.label", "config.tokenizer_sha256")
+
+
+def _facts(value: Any, prefix: str = "") -> dict[str, str]:
+    """A JSON value's leaves by dotted names; lists of objects by their hashes."""
+    if isinstance(value, dict):
+        return {k: v for name, x in value.items() for k, v in _facts(x, f"{prefix}{name}.").items()}
+    if isinstance(value, list):
+        value = [x.get("sha256") if isinstance(x, dict) else x for x in value]
+    return {prefix[:-1]: json.dumps(value, sort_keys=True)}
+
+
+def run_facts(spark: SparkSession, run: dict[str, Any]) -> DataFrame:
+    """place (0 for the run, i for its i-th recorded step), fact, value: a run as rows."""
+    whole = _facts({k: v for k, v in run.items() if k != "history"}) | {"steps_recorded": str(len(run["history"]))}
+    rows = [(0, k, v) for k, v in whole.items()]
+    rows += [(i, k, v) for i, step in enumerate(run["history"], 1) for k, v in _facts({**step, "validation": {k: v for k, v in step["validation"].items() if k != "documents"}}).items()]
+    return spark.createDataFrame(rows, "place long, fact string, value string")
+
+
+def pair_audit(fit: DataFrame, general: DataFrame) -> DataFrame:
+    """Audit rows (audit, key, detail) of two runs' facts (run_facts): one for each fact that
+    PAIR_RULES want equal and that is not, or that one of them lacks, or for a run that is not complete."""
+    spark = fit.sparkSession
+    rules = F.broadcast(spark.createDataFrame([(w, f.replace("*", "%"), r) for w, f, r in PAIR_RULES], "_where string, _like string, _regime string"))
+    named = fit.where("place = 0 and fact = 'config.regime'").select("value").first()
+    regime = json.loads(named["value"]) if named else None
+    g = general.select(F.col("place").alias("_p"), F.col("fact").alias("_f"), F.col("value").alias("_v"))
+    both = fit.join(g, (F.col("place") == F.col("_p")) & (F.col("fact") == F.col("_f")), "full_outer").select(F.coalesce("place", "_p").alias("place"), F.coalesce("fact", "_f").alias("fact"), "value", "_v")
+    here = F.when(F.col("place") == 0, F.col("_where").isin("run", "both")).otherwise(F.col("_where").isin("step", "both"))
+    asked = both.where(~F.col("fact").isin(*FREE)).join(rules, here & F.expr("fact LIKE _like")).where(F.col("_regime").isNull() | F.lit(regime).eqNullSafe(F.col("_regime")))
+    text = lambda c: F.coalesce(c, F.lit("nothing"))
+    unlike = asked.where(~F.col("value").eqNullSafe(F.col("_v"))).select(F.lit("pair").alias("audit"), F.concat_ws("@", "fact", F.col("place").cast("string")).alias("key"), F.concat(text(F.col("value")), F.lit(" is not "), text(F.col("_v"))).alias("detail"))
+    arms = fit.withColumn("_arm", F.lit("fit")).unionByName(general.withColumn("_arm", F.lit("general"))).where("place = 0 and fact = 'status'")
+    open_ = arms.where("value <> '\"complete\"'").select(F.lit("incomplete").alias("audit"), F.col("_arm").alias("key"), F.col("value").alias("detail"))
+    return unlike.distinct().unionByName(open_)
 
 
 def parameter_count(vocab: Column | int, dim: Column | int, layers: int, length: int):

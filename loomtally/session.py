@@ -26,14 +26,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests,
-    one-machine sessions) a temporary folder is chosen and set on the context."""
+    """The folder named by spark.checkpoint.dir. Only where it is unset and the session runs on one
+    machine (tests) a temporary folder is chosen and set on the context."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loomtally-")
     spark.sparkContext.setCheckpointDir(made)
     return "file://" + os.path.abspath(made)

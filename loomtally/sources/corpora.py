@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +32,17 @@ def register(name: str, corpus: Corpus) -> None:
     REGISTRY[name] = corpus
 
 
-def load_corpus(spark: SparkSession, name: str, max_samples: int | None = None, min_chars: int = 50, streaming: bool = False) -> DataFrame:
+def load_corpus(spark: SparkSession, name: str, max_samples: int | None = None, min_chars: int = 50) -> DataFrame:
     """pos, text of a corpus: texts with at least min_chars code points between white space at
-    their ends, the first max_samples. streaming: a lazy read that needs max_samples."""
-    if name not in REGISTRY:
-        raise KeyError(f"unknown corpus {name!r}; known: {sorted(REGISTRY)}")
-    if streaming and not max_samples:
-        raise ValueError("streaming needs max_samples")
-    spec = REGISTRY[name]
-    rows = spark.read.format(spec.format).load(spec.path)
+    their ends, the first max_samples. Without an order column pos only tells rows apart."""
+    spec = REGISTRY.get(name)
+    if spec is None:
+        raise KeyError(f"no corpus is registered as {name!r}")
     pos = F.col(spec.order).cast("long") if spec.order else F.monotonically_increasing_id()
-    texts = rows.select(pos.alias("pos"), F.col(spec.text_column).alias("text")).where(stripped_length(F.col("text")) >= min_chars)
-    if not max_samples:
+    rows = spark.read.format(spec.format).load(spec.path).select(pos.alias("pos"), F.col(spec.text_column).alias("text"))
+    texts = rows.where(stripped_length(F.col("text")) >= min_chars)
+    if max_samples is None:
         return texts
-    if streaming:
-        return texts.orderBy("pos").limit(max_samples)
     ranked = running_before(durable(texts.withColumn("_one", F.lit(1)), "corpus"), "_one", ["pos"], out="_before")
     return ranked.where(F.col("_before") < max_samples).drop("_before", "_one")
 
@@ -56,26 +50,21 @@ def load_corpus(spark: SparkSession, name: str, max_samples: int | None = None,
 def jsonl_shards(spark: SparkSession, paths: list[str], fields: str) -> DataFrame:
     """Rows of gzip JSON-lines files with source_shard (file name) and source_line (from 1).
 
-    A gzip file is one task; it is decompressed as a stream and parsed line by line. A line
-    ends at a line feed alone, so other line separators within texts do no harm."""
-    names = [f.split()[0].strip("`") for f in fields.split(",")]
+    A gzip file is one task, read as a stream of lines that end at a line feed alone, so other
+    line separators within texts do no harm and a file may be larger than a worker's memory."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, line = None, 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                shard, rows = path.rsplit("/", 1)[-1], []
-                with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
-                    for n, line in enumerate(stream, 1):
-                        row = json.loads(line)
-                        rows.append([*[row.get(k) for k in names], shard, n])
-                        if len(rows) == 5000:
-                            yield pd.DataFrame(rows, columns=[*names, "source_shard", "source_line"])
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=[*names, "source_shard", "source_line"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content").repartition(max(1, len(paths)))
-    return files.mapInPandas(read, f"{fields}, source_shard string, source_line long")
+            lines = np.empty(len(batch), dtype=np.int64)
+            for i, path in enumerate(batch["_path"].tolist()):
+                line = line + 1 if path == at else 1
+                at, lines[i] = path, line
+            yield pd.DataFrame({"value": batch["value"], "source_shard": batch["_path"], "source_line": lines})
+
+    read = spark.read.option("lineSep", "\n").text(paths).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_path"))
+    rows = read.mapInPandas(number, "value string, source_shard string, source_line long")
+    return rows.select(F.from_json("value", fields).alias("_r"), "source_shard", "source_line").select("_r.*", "source_shard", "source_line")
 
 
 def text_column(spark: SparkSession, path: str, column: str = "text", min_chars: int = 50) -> DataFrame:

@@ -93,16 +93,23 @@ def test_splits_are_disjoint_and_seeded(spark):
         split.document_split(docs, 30, 30)
 
 
-def test_blocks_keep_code_points_whole(spark):
-    docs = frame(spark, ["a🧬bc漢é\n", "short", ""])
-    got = blocks.raw_blocks(docs, 5).orderBy("pos", "block_pos").collect()
-    assert all(len(r["block"].encode()) <= 5 for r in got)
-    for pos, text in enumerate(["a🧬bc漢é\n", "short", ""]):
-        assert "".join(r["block"] for r in got if r["pos"] == pos) == text
-    rolled = {r["pos"]: (r["blocks"], r["matches"]) for r in blocks.block_rollup(docs, blocks.raw_blocks(docs, 5)).collect()}
-    assert rolled[2] == (0, True) and all(m for _, m in rolled.values())
+@pytest.mark.parametrize("most", [4, 7, 64])
+def test_blocks_keep_code_points_whole(spark, most):
+    rnd = random.Random(most)
+    texts = ["".join(rnd.choice("xyz \nßøж中文字😀🚀") for _ in range(rnd.randrange(1, 90))) for _ in range(12)] + ["", "plain ascii only"]
+    docs = frame(spark, texts)
+    made = [[] for _ in texts]
+    for r in blocks.raw_blocks(docs, most).orderBy("pos", "block_pos").collect():
+        assert r["block_pos"] == len(made[r["pos"]])
+        made[r["pos"]].append(r["block"])
+    for text, own in zip(texts, made):
+        assert "".join(own) == text
+        # greedy: no block had room for the next one's first code point
+        assert all(len(a.encode()) <= most < len(a.encode()) + len(b[0].encode()) for a, b in zip(own, own[1:]))
+    rolled = {r["pos"]: (r["blocks"], r["matches"]) for r in blocks.block_rollup(docs, blocks.raw_blocks(docs, most)).collect()}
+    assert rolled == {i: (len(own), True) for i, own in enumerate(made)}
     with pytest.raises(ValueError):
-        blocks.greedy_blocks("a", 3)
+        blocks.greedy_blocks("too small", 3)
 
 
 def test_windows(spark):
@@ -164,24 +171,38 @@ def test_seed_summary(spark):
     assert got["token"]["paired_sd"] is None
 
 
-def run(label):
-    doc = {"sha256": "d"}
-    return {
-        "status": "complete", "config": {"label": label, "tokenizer_sha256": label, "regime": "raw", "steps": 5}, "parameters": 9, "initial_weights_sha256": "w",
-        "exposure": {"raw_bytes": 1, "raw_chars": 1, "padded_positions": 2},
-        "history": [{"step": 5, "exposure": {"raw_bytes": 1, "raw_chars": 1, "padded_positions": 2}, "validation": {"utf8_bytes": 3, "characters": 3, "source_documents": [doc]}}],
-    }
-
-
-def test_run_pairs_must_share_everything_but_the_tokenizer():
-    assert compare.audit_pair(run("fit"), run("general")) == []
-    for change in (
-        lambda r: r.update(status="failed"), lambda r: r["config"].update(steps=6), lambda r: r.update(parameters=8), lambda r: r["exposure"].update(raw_bytes=2),
-        lambda r: r["history"][0].update(step=6), lambda r: r["history"][0]["validation"].update(characters=4), lambda r: r["history"][0]["validation"].update(source_documents=[{"sha256": "e"}]),
-    ):
-        other = run("general")
-        change(other)
-        assert compare.audit_pair(run("fit"), other)
+def made_run(label, **facts):
+    """A run of two recorded steps; facts overwrite places by their dotted names."""
+    step = lambda n: {"step": n, "exposure": {"padded_positions": 32 * n, "raw_bytes": 20 * n, "raw_chars": 19 * n, "target_tokens": 9 * n + len(label)}, "validation": {"utf8_bytes": 70, "characters": 66, "nll_nats": 5.0 / n, "source_documents": [{"sha256": s} for s in ("p", "q")], "documents": [n]}}
+    made = {"status": "complete", "parameters": 1234, "initial_weights_sha256": "seeded", "exposure": step(2)["exposure"], "history": [step(1), step(2)], "config": {"label": label, "tokenizer_sha256": f"of {label}", "regime": "raw", "seed": 3, "dim": 8}}
+    for place, value in facts.items():
+        at, *path = place.split("__")
+        holder = made
+        for name in [at, *path][:-1]:
+            holder = holder[int(name) if isinstance(holder, list) else name]
+        holder[[at, *path][-1]] = value
+    return made
+
+
+UNFAIR = {
+    "status": "running", "parameters": 1235, "initial_weights_sha256": "other", "config__dim": 9, "config__seed": 4, "exposure__raw_bytes": 41, "exposure__padded_positions": 1,
+    "history__0__step": 7, "history__1__exposure__raw_chars": 0, "history__0__validation__characters": 65, "history__1__validation__source_documents": [{"sha256": "q"}, {"sha256": "p"}], "config__extra": 1,
+}
+
+
+def test_run_pairs_must_share_what_the_rules_name(spark):
+    facts = lambda r: compare.run_facts(spark, r)
+    assert compare.pair_audit(facts(made_run("fit")), facts(made_run("general"))).count() == 0
+    found = {place: compare.pair_audit(facts(made_run("fit")), facts(made_run("general", **{place: value}))).count() for place, value in UNFAIR.items()}
+    assert all(found.values()), found
+    shorter = made_run("general")
+    shorter["history"].pop()
+    assert {"steps_recorded@0", "step@2"} <= {r["key"] for r in compare.pair_audit(facts(made_run("fit")), facts(shorter)).collect()}
+    # packed runs share their target tokens and not their bytes
+    packed = [made_run(x, config__regime="token", exposure__raw_bytes=i, exposure__target_tokens=7, history__0__exposure__target_tokens=7, history__1__exposure__target_tokens=7) for i, x in enumerate(("fit", "general"))]
+    assert compare.pair_audit(*map(facts, packed)).count() == 0
+    packed[1]["exposure"]["target_tokens"] = 8
+    assert [r["key"] for r in compare.pair_audit(*map(facts, packed)).collect()] == ["exposure.target_tokens@0"]
 
 
 def test_audits(spark):
