@@ -536,8 +536,8 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
     found = durable(components(links), "text-components")
     left = made.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("key"), F.col("c").alias("place"))
     if left.limit(1).count():
-        asked = left.select("key").distinct()
-        parities = prints.where("n > 0").join(asked, F.col("text_key") == F.col("key"), "left_semi").groupBy(F.col("text_key").alias("_key")).agg(F.first("parity").alias("parity"))
+        # aggregated before the join: a text of many copies is a row a task
+        parities = prints.where("n > 0").groupBy(F.col("text_key").alias("_key")).agg(F.first("parity").alias("parity"))
         left = durable(left.join(parities, F.col("key") == F.col("_key")).select("s", "key", "place", "parity"), "crowded-prefixes")
     for turn in range(1, turns + 1):
         if not left.limit(1).count():
