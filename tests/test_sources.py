@@ -59,16 +59,29 @@ def test_named_corpus_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20
 
 
-def test_evidence_and_runs(spark, tmp_path):
-    metrics = {"status": "complete", "config": {"label": "fit", "regime": "raw", "seed": 1}, "history": [{"step": 1, "validation": {"utf8_bytes": 3, "nll_nats": 2.0, "bits_per_utf8_byte": 1.0, "documents": [1], "source_documents": [{"utf8_bytes": 3, "nll_nats": 2.0}]}}]}
-    slim = snapshot.export_evidence(metrics, "h")
-    assert "documents" not in slim["history"][0]["validation"]
-    metrics["history"][0]["validation"]["nll_nats"] = 3.0
-    with pytest.raises(ValueError):
-        snapshot.export_evidence(metrics, "h")
+RUN = "struct<status:string,metrics_sha256:string,history:array<struct<step:bigint,validation:struct<utf8_bytes:bigint,nll_nats:double,documents:array<bigint>,source_documents:array<struct<utf8_bytes:bigint,nll_nats:double>>>>>>"
+
+
+def test_evidence_leaves_blocks_out_and_checks_totals(spark):
+    step = lambda n, cost: {"step": n, "validation": {"utf8_bytes": 30, "nll_nats": cost, "documents": [1, 2], "source_documents": [{"utf8_bytes": 10, "nll_nats": 4.5}, {"utf8_bytes": 20, "nll_nats": 5.0}]}}
+    table = lambda *steps: spark.createDataFrame([(json.dumps({"status": "complete", "metrics_sha256": "m", "history": steps}),)], "j string").select(F.from_json("j", RUN).alias("r")).select("r.*")
+    row = snapshot.evidence(table(step(0, 9.5), step(8, 9.5))).first()
+    assert row["evidence_export"]["original_metrics_sha256"] == "m" and [h["step"] for h in row["history"]] == [0, 8]
+    assert all("documents" not in h["validation"].asDict() for h in row["history"])
+    with pytest.raises(ValueError, match="nll_nats total: m@8"):
+        snapshot.evidence(table(step(0, 9.5), step(8, 9.6)))
+
+
+def test_metrics_come_before_evidence_and_attempts_are_logged(spark, tmp_path):
     (tmp_path / "r").mkdir()
-    snapshot.write_json(spark, f"file://{tmp_path}/r/evidence.json", slim)
-    snapshot.write_json(spark, f"file://{tmp_path}/r/metrics.json", dict(slim, status="failed"))
-    assert snapshot.newest_runs(spark, f"file://{tmp_path}") == []
-    snapshot.append_attempt(spark, f"file://{tmp_path}/log", "failed", error="e")
-    assert json.loads(spark.read.text(f"file://{tmp_path}/log").first()[0])["status"] == "failed"
+    at = f"file://{tmp_path}"
+    snapshot.write_json(spark, f"{at}/r/evidence.json", {"status": "complete", "from": "evidence"})
+    assert [r["from"] for r in snapshot.newest_runs(spark, at)] == ["evidence"]
+    snapshot.write_json(spark, f"{at}/r/metrics.json", {"status": "failed"})
+    assert snapshot.newest_runs(spark, at) == []
+    snapshot.write_json(spark, f"{at}/r/metrics.json", {"status": "complete", "from": "metrics"})  # renamed over
+    assert [r["from"] for r in snapshot.newest_runs(spark, at)] == ["metrics"]
+    with pytest.raises(ValueError):
+        snapshot.write_json(spark, f"{at}/x.json", {"n": float("nan")})
+    snapshot.append_attempt(spark, f"{at}/log", "failed", error="e")
+    assert json.loads(spark.read.text(f"{at}/log").first()[0])["status"] == "failed"
