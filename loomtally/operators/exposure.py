@@ -18,6 +18,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from loomtally.functions.text import portable_key
 from loomtally.operators.audit import AUDIT
 from loomtally.operators.blocks import completed_characters, raw_blocks, seeded_batches
 from loomtally.operators.ordered import running_before
+from loomtally.operators.score import byte_documents, encoded_documents, utf8_bytes
 from loomtally.session import durable
 
 
@@ -32,28 +34,37 @@ def token_extents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """pos, ids, widths, chars: a document's tokens, the bytes each stands for and the code points
     it completes. Without a tokenizer file tokens are bytes."""
 
-    def of(text: str, tok) -> tuple[list[int], list[int]]:
-        if tok is None:
-            data = text.encode()
-            return list(data), [1] * len(data)
-        found = tok.encode(text, add_special_tokens=False)
-        return found.ids, [len(symbol) for symbol in found.tokens]  # a byte-level symbol is a letter for each byte
+    if path is None:
+        return _byte_extents(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = None
-        if path is not None:
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
         for batch in batches:
             texts = [t or "" for t in batch["text"].tolist()]
-            made = [of(t, tok) for t in texts]
-            yield pd.DataFrame({"pos": batch["pos"], "ids": [i for i, _ in made], "widths": [w for _, w in made], "chars": [completed_characters(t, w) for t, (_, w) in zip(texts, made, strict=True)]})
+            found = [tok.encode(t, add_special_tokens=False) for t in texts]
+            widths = [[len(symbol) for symbol in e.tokens] for e in found]  # a byte-level symbol is a letter for each byte
+            yield pd.DataFrame({"pos": batch["pos"], "ids": [e.ids for e in found], "widths": widths, "chars": [completed_characters(t, w) for t, w in zip(texts, widths, strict=True)]})
 
     return docs.select("pos", "text").mapInPandas(run, "pos long, ids array<int>, widths array<int>, chars array<int>")
 
 
+def _byte_extents(docs: DataFrame) -> DataFrame:
+    """token_extents of bytes, a whole Arrow batch at a time: a byte completes a code point where
+    no continuation byte follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = utf8_bytes(batch.column(1))
+            last = (np.append(data[1:], 0)[: len(data)] & 0xC0) != 0x80
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (data, np.ones(len(data)), last)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["pos", "ids", "widths", "chars"])
+
+    return docs.select("pos", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, "pos long, ids array<int>, widths array<int>, chars array<int>")
+
+
 def _total(column) -> F.Column:
     return F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -61,10 +72,9 @@ def _total(column) -> F.Column:
 def raw_examples(docs: DataFrame, length: int, path: str | None = None) -> DataFrame:
     """example, ids, raw_bytes, raw_chars of all raw blocks, numbered in order."""
     made = durable(raw_blocks(docs, length).withColumn("_one", F.lit(1).cast("long")), "blocks")
-    numbered = running_before(made, "_one", ["pos", "block_pos"], out="example")
-    sizes = durable(numbered.select("example", F.col("block").alias("text"), F.octet_length("block").cast("long").alias("raw_bytes"), F.length("block").cast("long").alias("raw_chars")), "numbered-blocks")
-    tokens = token_extents(sizes.select(F.col("example").alias("pos"), "text"), path).select(F.col("pos").alias("example"), "ids")
-    return tokens.join(sizes.drop("text"), "example")
+    numbered = running_before(made, "_one", ["pos", "block_pos"], out="example").select(F.col("example").alias("pos"), F.col("block").alias("text"))
+    coded = byte_documents(numbered) if path is None else encoded_documents(numbered, path)
+    return coded.select(F.col("pos").alias("example"), F.col("token_ids").alias("ids"), F.col("utf8_bytes").alias("raw_bytes"), F.col("characters").alias("raw_chars"))
 
 
 def packed_examples(docs: DataFrame, length: int, bos: int, eos: int, path: str | None = None) -> tuple[DataFrame, int]:

@@ -19,7 +19,7 @@ from loomtally.session import durable
 LN2 = math.log(2)
 
 
-def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts of an Arrow string column, ends of each text). A null is empty."""
     filled = pc.cast(pc.fill_null(column, ""), pa.large_binary())
     offsets = np.frombuffer(filled.buffers()[1], dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
@@ -33,7 +33,7 @@ def _over_bytes(docs: DataFrame, keep: Sequence[str], make: Callable[[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = _utf8(batch.column(batch.num_columns - 1))
+            data, ends = utf8_bytes(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(data, ends)], names=[*batch.schema.names[:-1], name])
 
     text = F.coalesce("text", F.lit(""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomtally.functions.codes import BOS, BYTE_VOCABULARY, EOS
 from loomtally.functions.text import is_blank, text_sha256
 from loomtally.operators import audit, blocks, compare, diagnose, evaluate, exposure, report, score, select
-from loomtally.plans.registry import _BYTES, _FAMILIES, _NORM, _R, _WINDOWS, BLOCK_BYTES, CONTEXT, REPLICATES, _arms, _families, _key, _rounded, _scores, documents
+from loomtally.plans.registry import _BYTES, _FAMILIES, _NORM, _R, _WINDOWS, BLOCK_BYTES, CONTEXT, REPLICATES, _arms, _families, _key, _rounded, _scores, documents, heavy_documents
 from loomtally.session import durable, scratch_path
 from loomtally.sources.tables import table
 
@@ -24,7 +24,7 @@ SEEDS = (1, 2, 3)
 
 
 def _training(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
+    docs = heavy_documents(spark, folder)
     split = F.broadcast(_families(docs).where("split = 'train'").select(F.col("family").alias("source")))  # a row for each source
     return durable(docs.join(split, "source").select("pos", "text"), "training")
 
@@ -56,7 +56,7 @@ def exposure_unigram(spark: SparkSession, folder: str) -> DataFrame:
 
 def completed_characters(spark: SparkSession, folder: str) -> DataFrame:
     """Code points and bytes that each document's byte tokens complete."""
-    each = exposure.token_extents(documents(spark, folder))
+    each = exposure.token_extents(heavy_documents(spark, folder))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     firsts = F.size(F.filter("chars", lambda x: x > 0)).cast("long")
     return each.select(F.col("pos").alias("doc_id"), F.size("ids").cast("long").alias("tokens"), total("widths").alias("utf8_bytes"), total("chars").alias("characters"), firsts.alias("completing"))
@@ -97,7 +97,7 @@ def _halves(docs: DataFrame) -> DataFrame:
 
 
 def _diagnosis(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = documents(spark, folder)
+    docs = heavy_documents(spark, folder)
     named = durable(docs.join(F.broadcast(_families(docs).select(F.col("family").alias("source"), "split")), "source").select("pos", "text", "split"), "named")
     arms = {"fit": score.byte_histograms, "general": _halves}
     return diagnose.diagnose(named.where("split = 'train'"), named.where("split = 'validation'"), arms, BYTE_VOCABULARY, (BOS, EOS), BLOCK_BYTES)

@@ -16,7 +16,7 @@ from loomtally.functions.codes import BOS, BYTE_VOCABULARY, EOS, PAD
 from loomtally.functions.text import SPACE_RE2, lexemes, portable_key, text_sha256
 from loomtally.operators import audit, blocks, compare, dedup, score, select, split
 from loomtally.session import durable
-from loomtally.sources.tables import table
+from loomtally.sources.tables import spread, table
 
 BLOCK_BYTES, CONTEXT, SHORT, THRESHOLD = 128, 128, 2000, Fraction(17, 20)
 SEED, REPLICATES = 2026, 400
@@ -27,6 +27,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").withColumn("pos", F.col("doc_id"))
 
 
+def heavy_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for stages that cost much for each document."""
+    return spread(table(spark, folder, "documents")).withColumn("pos", F.col("doc_id"))
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.round(c, _R).alias(c) if c in names else F.col(c) for c in df.columns])
 
@@ -47,7 +52,7 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def whitespace_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.whitespace_dedup(documents(spark, folder)).withColumnRenamed("pos", "doc_id")
+    return dedup.whitespace_dedup(heavy_documents(spark, folder)).withColumnRenamed("pos", "doc_id")
 
 
 def _files(docs: DataFrame) -> DataFrame:
@@ -55,14 +60,14 @@ def _files(docs: DataFrame) -> DataFrame:
 
 
 def select_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    reasons = select.file_reasons(_files(documents(spark, folder)))
+    reasons = select.file_reasons(_files(heavy_documents(spark, folder)))
     return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("documents"), F.min("pos").alias("first_doc"))
 
 
 def candidate_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as candidates, a (language, source) pair their family; references are the
     documents labelled of low quality and toxic."""
-    docs = documents(spark, folder)
+    docs = heavy_documents(spark, folder)
     files = _files(docs).join(docs.select("pos", F.concat_ws("/", "lang", "source").alias("_family")), "pos").withColumn("family", F.col("_family")).drop("_family")
     bad = table(spark, folder, "labels").where("quality = 0 and toxic = 1").select("doc_id")
     refs = docs.join(bad, "doc_id", "left_semi").select("text", F.concat_ws("/", "lang", "source").alias("family"))
@@ -118,13 +123,13 @@ def overlap_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shingle_stats(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
+    docs = heavy_documents(spark, folder)
     sets = dedup.shingle_sets(docs).select("pos", "n")
     return docs.select("pos", F.size(lexemes(F.col("text"))).alias("lexemes")).join(sets, "pos").select(F.col("pos").alias("doc_id"), "lexemes", F.col("n").alias("shingles"))
 
 
 def _near_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sets = durable(dedup.shingle_sets(documents(spark, folder)).withColumn("anchor", F.lit(False)), "shingle-sets")
+    sets = durable(dedup.shingle_sets(heavy_documents(spark, folder)).withColumn("anchor", F.lit(False)), "shingle-sets")
     return dedup.near_pairs(sets, THRESHOLD)
 
 
@@ -135,19 +140,19 @@ def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def near_dup_classes(spark: SparkSession, folder: str) -> DataFrame:
     """The class of every document: the first document with an equal set of shingles."""
-    sets = durable(dedup.shingle_sets(documents(spark, folder)).withColumn("anchor", F.lit(False)), "shingle-sets")
+    sets = durable(dedup.shingle_sets(heavy_documents(spark, folder)).withColumn("anchor", F.lit(False)), "shingle-sets")
     return dedup.set_classes(sets).select(F.col("pos").alias("doc_id"), F.col("n").alias("shingles"), F.col("rep").alias("class_id"))
 
 
 def near_dup_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    state, removals = dedup.near_dedup(documents(spark, folder), THRESHOLD)
+    state, removals = dedup.near_dedup(heavy_documents(spark, folder), THRESHOLD)
     return state.join(removals, "pos", "left").select(F.col("pos").alias("doc_id"), "kept", F.col("retained").alias("retained_id"), F.round("jaccard", _R).alias("jaccard"))
 
 
 def anchor_contamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents against the benchmark's passages, which are never removed (positions below 0)."""
     refs = table(spark, folder, "benchmark").select((-1 - F.col("item_id")).alias("pos"), "text")
-    cands = documents(spark, folder).select("pos", "text")
+    cands = heavy_documents(spark, folder).select("pos", "text")
     state, rejected = dedup.anchored_dedup(refs, cands, THRESHOLD)
     return state.join(rejected, "pos", "left").select(F.col("pos").alias("doc_id"), "kept", "retained", F.round("jaccard", _R).alias("jaccard"), "anchor_is_reference")
 
@@ -156,12 +161,12 @@ def anchor_contamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    made = blocks.raw_blocks(documents(spark, folder), BLOCK_BYTES)
+    made = blocks.raw_blocks(heavy_documents(spark, folder), BLOCK_BYTES)
     return made.select(F.col("pos").alias("doc_id"), "block_pos", F.length("block").alias("characters"), F.md5("block").alias("block_md5"))
 
 
 def block_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
+    docs = heavy_documents(spark, folder)
     return blocks.block_rollup(docs, blocks.raw_blocks(docs, BLOCK_BYTES)).withColumnRenamed("pos", "doc_id")
 
 
@@ -170,13 +175,13 @@ def _joined(ids: str) -> F.Column:
 
 
 def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
-    made = blocks.chunk_windows(score.byte_documents(documents(spark, folder)), CONTEXT, BOS)
+    made = blocks.chunk_windows(score.byte_documents(heavy_documents(spark, folder)), CONTEXT, BOS)
     return made.select(F.col("pos").alias("doc_id"), "win", F.size("labels").alias("scored"), _joined("inputs").alias("inputs_md5"), _joined("labels").alias("labels_md5"))
 
 
 def rolling_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Rolling windows of CONTEXT over all documents: what each document's hold."""
-    made = blocks.rolling_windows(score.byte_documents(documents(spark, folder)), CONTEXT, BOS)
+    made = blocks.rolling_windows(score.byte_documents(heavy_documents(spark, folder)), CONTEXT, BOS)
     inputs = F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x)
     each = made.select("pos", "win", F.size("inputs").alias("context"), "label", inputs.alias("sum"))
     return each.groupBy(F.col("pos").alias("doc_id")).agg(
@@ -185,7 +190,7 @@ def rolling_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
-    made = blocks.packed_windows(score.byte_documents(documents(spark, folder)), CONTEXT, BOS, EOS)
+    made = blocks.packed_windows(score.byte_documents(heavy_documents(spark, folder)), CONTEXT, BOS, EOS)
     return made.select("win", _joined("inputs").alias("inputs_md5"), F.element_at("labels", -1).alias("last_label"))
 
 
