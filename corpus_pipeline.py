@@ -20,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is alike in 0.8 of its five-word shingles."""
+    """One document of each group that is alike in 0.8 of its five-word shingles: by SimHash
+    fingerprints in BK-trees, their pairs checked exactly, and an exact join for what they miss."""
     return simhash.drop_near_duplicates(docs, width=5, similarity=0.8)
 
 

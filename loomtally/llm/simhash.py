@@ -18,8 +18,11 @@ of over `shard_limit` fingerprints is dealt again by routes over its other bits.
 A shard gives each node its root (the least node it reaches within the shard), at
 most one row a node, however dense; components are then found over all shards.
 
-The pipeline's near-duplicates (near_duplicate_groups) are decided by exact Jaccard
-similarity of shingle sets, with candidates from their prefixes and not from fingerprints.
+The pipeline's near-duplicates (near_duplicate_groups) are found by the same fingerprints and
+trees, at a wider radius: each fingerprint asks for the nearest one before it in each of its
+shards, and the pairs are then decided by exact Jaccard similarity of shingle sets. Alike texts
+whose fingerprints differ in more bits, or whose nearest is another, are found by an exact join on the prefixes of
+the sets, which compares no pair again that the fingerprints have brought.
 
 Defined results: null and empty texts have fingerprint 0, linked like any other;
 fewer words than a shingle are one shingle; equal ids or texts are rows of their
@@ -29,7 +32,7 @@ own and share a component; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -142,6 +145,16 @@ def _roots(shard: list[int], radius: int) -> Iterator[tuple[int, int]]:
             yield value, tree.values[root]
 
 
+def _nearest(shard: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """(node, the nearest of the lesser ones within the radius) of every node of the shard that has one."""
+    tree = BKTree()
+    for value in sorted(shard):
+        found = tree.near(value, radius)
+        if found:
+            yield value, tree.values[min(found)[1]]
+        tree.add(value)
+
+
 def _routed(nodes: DataFrame, routes: Sequence[int]) -> DataFrame:
     """fp, route, key for each fingerprint and route; key: a hash of the route and of the
     bits that its shard agrees on (shards that share a hash are searched as one)."""
@@ -163,9 +176,9 @@ def _dealt_again(routed: DataFrame, routes: Sequence[int], radius: int) -> DataF
     return routed.select("fp", "key", F.posexplode(F.element_at(F.array(*masks), F.col("route") + 1)).alias("part", "mask")).select("fp", F.xxhash64("key", "part", bits).alias("key"))
 
 
-def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], shard_limit: int = 4096) -> DataFrame:
+def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], shard_limit: int = 4096, of_shard: Callable[[list[int], int], Iterator[tuple[int, int]]] = _roots) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` (column fp, durable):
-    each node's root in every shard."""
+    each node's root in every shard, or what else of_shard gives."""
     routed = _routed(nodes, routes)
     full = durable(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_limit).select(F.col("key").alias("_full")), "crowded")
     dealt = routed.select("fp", "key")
@@ -184,7 +197,7 @@ def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], shard_limi
                 shard = [x & 0xFFFFFFFFFFFFFFFF for x in rows[a:b, 1].tolist()]
                 if b - a == 2 and (shard[0] ^ shard[1]).bit_count() > radius:
                     continue
-                out += _roots(shard, radius)
+                out += of_shard(shard, radius)
             return out
 
         for batch in batches:
@@ -491,14 +504,27 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return durable(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "alike")
 
 
-def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4) -> tuple[DataFrame, DataFrame]:
+def _fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, of text keys that the fingerprints bring, from prints (text_key, n, fp): texts of
+    one fingerprint with its least, and the least ones of fingerprints that the trees link."""
+    texts = durable(prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("fp").alias("fp")), "text-fingerprints")
+    nodes = durable(texts.groupBy("fp").agg(F.min("key").alias("lead")), "fingerprint-leads")
+    links = shard_links(nodes, radius, exact_routes(radius), of_shard=_nearest)
+    lead = lambda fp, name: nodes.select(F.col("fp").alias(fp), F.col("lead").alias(name))
+    near = links.join(lead("a", "x"), "a").join(lead("b", "y"), "b").select("x", "y")
+    same = texts.join(nodes, "fp").where("key <> lead").select(F.col("lead").alias("x"), F.col("key").alias("y"))
+    return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4, radius: int = 4) -> tuple[DataFrame, DataFrame]:
     """(prints: doc_id, text_key of every row; texts: text_key, label, head): texts of one label
     are near-duplicates of each other, head is the least doc_id of a text.
 
     Texts that are equal but for white space and ASCII case are one node. Two nodes are
     linked where the Jaccard similarity of their sets of distinct shingles (as 64-bit hashes)
-    reaches `similarity`, and groups are the components of all such links. Two sets
-    alike in t share a shingle among the first n - ceil(t n) + 1 of each in any one
+    reaches `similarity`, and groups are the components of all such links. First the pairs
+    that SimHash fingerprints within `radius` bits bring are compared. Then those that the
+    fingerprints have missed: two sets alike in t share a shingle among the first n - ceil(t n) + 1 of each in any one
     order; here common shingles come last. Up to `few` texts that share such a shingle
     are all compared. Of more, each is first compared with one of them, and then, as
     components are known, with those of other components: all at once if these pairs are
@@ -514,9 +540,11 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, levels = common.value
         for batch in batches:
-            keys, sizes, prefixes, parities = [], [], [], []
+            keys, sizes, prefixes, parities, prints = [], [], [], [], []
             for t in batch["text"].tolist():
-                h = np.unique(shingle_hashes(t, width))
+                h = shingle_hashes(t, width)
+                prints.append(signed(simhash(h)))
+                h = np.unique(h)
                 parities.append(parity(h))
                 if len(often) and len(h):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
@@ -524,15 +552,18 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
                 keys.append(text_key(t))
                 sizes.append(len(h))
                 prefixes.append(h[: len(h) + (-num * len(h)) // den + 1 if len(h) else 0].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes, "parity": parities})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes, "parity": parities, "fp": np.array(prints, dtype=np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary"), "prefixes")
+    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary, fp long"), "prefixes")
+    near = durable(_fingerprint_pairs(prints, radius), "fingerprint-pairs")
+    links = _alike(docs, near, width, num, den)
+    # what the fingerprints have missed
     sets = prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     single = sets.select("key", "n", F.posexplode("prefix").alias("at", "s")).select("s", "key", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
     made = durable(_candidates(single, num, den, few), "candidates")
-    tried = durable(made.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = _alike(docs, tried, width, num, den)
+    asked = durable(made.where("kind = 0").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs")
+    tried, links = near.unionByName(asked), links.unionByName(_alike(docs, asked, width, num, den))
     found = durable(components(links), "text-components")
     left = made.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("key"), F.col("c").alias("place"))
     if left.limit(1).count():

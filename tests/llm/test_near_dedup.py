@@ -99,3 +99,35 @@ def test_parities_differ_in_no_more_bits_than_sets_in_hashes():
     for i in range(40):
         exact = np.array([len(np.setxor1d(sets[i], s)) for s in sets])
         assert (made.differ(i, others) <= exact).all() and made.differ(i, others)[i] == 0
+
+
+def test_near_copies_are_asked_of_the_trees_and_then_checked(spark, monkeypatch):
+    """Without the join of prefixes the fingerprints' links still stand; with it no pair is compared twice."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(20):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+        rows.append(" ".join(words))
+        words[300 + i] = "edited"
+        rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    prints = [simhash.simhash(simhash.shingle_hashes(t, 5)) for t in rows]
+    close = [i for i in range(0, 40, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 4]
+    assert len(close) >= 15 and all((a, a + 1) in linked(rows) for a in close)
+    compared, alike = [], simhash._alike
+
+    def spy(docs, pairs, *more):
+        compared.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return alike(docs, pairs, *more)
+
+    monkeypatch.setattr(simhash, "_alike", spy)
+    keys = [simhash.text_key(t) for t in rows]
+    whole = {r["doc_id"]: r["group"] for r in simhash.near_duplicate_groups(docs).collect()}
+    assert whole == {i: i - i % 2 for i in range(40)}
+    assert {tuple(sorted((keys[a], keys[a + 1]))) for a in close} <= compared[0] and not any(compared[0] & c for c in compared[1:])
+    candidates = simhash._candidates
+    monkeypatch.setattr(simhash, "_candidates", lambda *a: candidates(*a).where("false"))
+    alone = {r["doc_id"]: r["group"] for r in simhash.near_duplicate_groups(docs).collect()}
+    assert all(alone[i] == alone[i + 1] == i for i in close)
+    far = {r["doc_id"]: r["group"] for r in simhash.near_duplicate_groups(docs, similarity=0.999).collect()}
+    assert far == {i: i for i in range(40)}  # close fingerprints of texts that are not alike link nothing
