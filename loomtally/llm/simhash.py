@@ -41,11 +41,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtally.llm.components import components
-from loomtally.session import durable
+from loomtally.llm.encoders import forget
+from loomtally.session import durable, release_memory
 
 BITS = 64
 #: Bits of the table that marks the texts to be compared: 32 MB, broadcast and held by the driver.
 MARK_BITS = 1 << 28
+#: Texts, and pairs of texts, that a Python worker is handed at a time.
+TEXT_ROWS, PAIR_ROWS = 2048, 512
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -330,6 +333,7 @@ def _candidates(prefixes: DataFrame, num: int, den: int, few: int) -> DataFrame:
             yield pd.DataFrame({"kind": none.astype(np.int32), "a": pairs[:, 0], "b": pairs[:, 1], "c": none})
             if big.any():
                 yield pd.DataFrame({"kind": np.ones(int(big.sum()), dtype=np.int32), "a": s[big], "b": key[big], "c": place[big]})
+        release_memory()
 
     return prefixes.repartition("s").sortWithinPartitions("s", F.col("place").bitwiseAND((1 << 32) - 1), "key").mapInPandas(run, "kind int, a long, b long, c long")
 
@@ -394,6 +398,7 @@ def _across(named: DataFrame, num: int, den: int, turn: int, most: int, last: bo
             pairs = _pairs(pairs[:, 0], pairs[:, 1])
             yield pd.DataFrame({"kind": np.zeros(len(pairs), dtype=np.int32), "a": pairs[:, 0], "b": pairs[:, 1]})
             yield pd.DataFrame({"kind": np.ones(len(still), dtype=np.int32), "a": np.array(still, dtype=np.int64), "b": np.zeros(len(still), dtype=np.int64)})
+        release_memory()
 
     return named.select("s", "key", "place", "label", "parity").repartition("s").sortWithinPartitions("s").mapInPandas(run, "kind int, a long, b long")
 
@@ -467,6 +472,7 @@ def _asked_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         held = shared.value
         for batch in batches:
             keys = np.array([text_key(t) for t in batch["text"].tolist()], dtype=np.int64)
@@ -475,7 +481,7 @@ def _asked_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"text_key": keys[hit], "text": batch["text"][hit]})
 
     seen = docs.select("text").where("text is not null").mapInPandas(find, "text_key long, text string")
-    return durable(seen.join(asked, F.col("text_key") == F.col("key"), "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "asked-texts")
+    return durable(seen.join(asked, F.col("text_key") == F.col("key"), "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "asked-texts", batch_rows=TEXT_ROWS)
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -484,6 +490,7 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     both = pairs.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         known: dict[int, np.ndarray] = {}
 
         def shingles(key: int, text: str) -> np.ndarray:
@@ -500,8 +507,10 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared * den >= num * (len(x) + len(y) - shared))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+        known.clear()
+        release_memory()
 
-    return durable(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "alike")
+    return durable(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "alike", batch_rows=PAIR_ROWS)
 
 
 def _fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
@@ -538,6 +547,7 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         often, levels = common.value
         for batch in batches:
             keys, sizes, prefixes, parities, prints = [], [], [], [], []
@@ -555,7 +565,7 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes, "parity": parities, "fp": np.array(prints, dtype=np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary, fp long"), "prefixes")
+    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary, fp long"), "prefixes", batch_rows=TEXT_ROWS)
     near = durable(_fingerprint_pairs(prints, radius), "fingerprint-pairs")
     links = _alike(docs, near, width, num, den)
     # what the fingerprints have missed
