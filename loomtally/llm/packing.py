@@ -30,6 +30,8 @@ from loomtally.session import durable
 
 #: Sequence numbers: batch * 2**20 + window within it; the batches of whole windows come after them.
 WINDOWS_PER_BATCH = 1 << 20
+#: Documents whose texts and ids are held at a time.
+SLICE = 1024
 
 
 def cut_lengths(n: int, window: int, piece: int) -> list[int]:
@@ -113,7 +115,7 @@ def document_pieces(docs: DataFrame, path: str, window: int = 1024, piece: int =
 
 def pack(docs: DataFrame, path: str, window: int = 1024, piece: int = 256, end_id: int = 0, spaced: bool = True, batch_windows: int = 384, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    pieces = durable(document_pieces(docs, path, window, piece, end_id, spaced, with_ids), "pack-pieces")
+    pieces = durable(document_pieces(docs, path, window, piece, end_id, spaced, with_ids), "pack-pieces", batch_rows=SLICE)
     loose = pieces.where(F.col("length") < window)
     total = loose.agg(F.sum("length").alias("n")).first()["n"] or 0
     batches = max(1, round(total / (window * batch_windows)))

@@ -28,3 +28,15 @@ def test_a_full_table_starts_anew(monkeypatch):
     want = b"".join(i.to_bytes(4, "little") for i in enc.tokenizer.encode(text, add_special_tokens=False).ids)
     assert enc.encode([text, text]) == [want, want]
     assert enc.bare.held <= 20_000 and enc.after_space.held <= 20_000 and len(enc.after_space) < 300
+
+
+def test_both_tables_share_one_bound(monkeypatch):
+    # before, each table had the bound to itself, and a worker held twice as much
+    monkeypatch.setattr(encoders, "CACHE_BYTES", 40_000)
+    enc = encoders.WordEncoder(vocabulary("byte_bpe_50k.json"), True)
+    text = "\n".join(f"b{i} s{i} t{i}" for i in range(2000))
+    want = b"".join(i.to_bytes(4, "little") for i in enc.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert enc.encode([text]) == [want]
+    tables = (enc.bare, enc.after_space)
+    for of in (lambda t: t, lambda t: t.old):
+        assert 0 < sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for t in tables for k, v in of(t).items()) <= 40_000
