@@ -40,3 +40,15 @@ def test_both_tables_share_one_bound(monkeypatch):
     tables = (enc.bare, enc.after_space)
     for of in (lambda t: t, lambda t: t.old):
         assert 0 < sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for t in tables for k, v in of(t).items()) <= 40_000
+
+
+@pytest.mark.parametrize("text", ["The THE\nthe, Cat's\n\n a  b ", "A\tB c\x1cD", "Élan É\u0301 STRASSE İx", "x\x85y \xa0Z"])
+def test_folded_texts_have_the_library_ids(text):
+    enc = encoders.WordEncoder(vocabulary("word_bpe_49k.json"), False)
+    assert enc.encode([text]) == [b"".join(i.to_bytes(4, "little") for i in enc.tokenizer.encode(text, add_special_tokens=False).ids)]
+
+
+def test_case_variants_of_ascii_texts_are_one_word():
+    enc = encoders.WordEncoder(vocabulary("word_bpe_49k.json"), False)
+    assert len(set(enc.encode(["some words here", "Some WORDS Here"]))) == 1
+    assert set(enc.bare) <= {"some", "words", "here"}
