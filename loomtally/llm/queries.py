@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import fingerprint, hnsw, hpylm, mixing, packing, simhash, token_store, toxicity, url_rules, warc
+from loomtally.llm import fingerprint, hnsw, hpylm, mixing, packing, pieces, simhash, token_store, toxicity, url_rules, warc
 from loomtally.session import scratch_path
 from loomtally.sources.tables import table
 
@@ -87,10 +87,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, RULES))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces by the agenda and what they decode to, as digests."""
+    made = pieces.encode_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_piecewise_fingerprint, op3_pitman_yor_scores, op4_simhash_components, op5_warc_revisits,
-        op6_pack_windows, op7_vector_graphs, op8_token_store, op9_ordinal_toxicity, op10_url_rules,
+        op6_pack_windows, op7_vector_graphs, op8_token_store, op9_ordinal_toxicity, op10_url_rules, op11_sentence_pieces,
     )
     return {f.__name__: f for f in found}
 
