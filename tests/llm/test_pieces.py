@@ -59,7 +59,7 @@ def test_odd_rows(spark):
 
 def test_query_against_the_library(spark):
     docs = spark.read.parquet(f"/root/testdata/sf0.001/documents.parquet").collect()
-    got = {r["doc_id"]: r for r in op11_sentence_pieces(spark).collect()}
+    got = {r["doc_id"]: r for r in op11_sentence_pieces(spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == len(docs)
     for d in docs:
         ids = MADE.library.encode(d["text"] or "", add_eos=True)
