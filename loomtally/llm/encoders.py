@@ -112,13 +112,15 @@ class WordEncoder:
         self.after_space = WordCache(self.tokenizer, " ", False, self.bare) if spaced else self.bare
         self.feed = self.bare.whole("\n")
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+    def encode(self, texts: Sequence[str | None], lead: bool = False) -> list[bytes]:
+        """lead: as if a space stood before each text (spaced vocabularies)."""
         bare, after = self.bare, self.after_space
+        first = after if lead else bare
         word, out = after.__getitem__, []
         for text in texts:
             lines = self._lines(text)
             if self.spaced:
-                out.append(self.feed.join([b"".join([bare[line[0]], *map(word, line[1:])]) for line in lines]))
+                out.append(self.feed.join([b"".join([(bare if at else first)[line[0]], *map(word, line[1:])]) for at, line in enumerate(lines)]))
             else:
                 out.append(b"".join([b"".join(map(word, line)) for line in lines]))
         return out

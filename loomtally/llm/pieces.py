@@ -11,8 +11,10 @@ around line feeds, in front of punctuation) and each distinct word passes the ag
 Decoding joins the pieces' bytes, gives runs of byte pieces back as text (each byte that
 is no UTF-8 as U+FFFD) and takes the space in front away.
 
-Every Arrow batch is checked against the sentencepiece library, ids and decoded texts; a
-difference raises ValueError.
+In every Arrow batch the library sentencepiece encodes all that has passed the agenda (each
+word, run of spaces with its word or other part that was cut) and decodes all texts; a
+difference raises ValueError. With whole_texts it encodes each text as a whole too, which
+costs more than the agenda itself.
 
 Defined results: a null or empty text has the end id alone and decodes to ''; rows that
 repeat are encoded each; null ids are kept; an empty table gives no rows; extra columns
@@ -23,7 +25,6 @@ byte pieces raises ValueError.
 
 from __future__ import annotations
 
-import sys
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
@@ -31,37 +32,50 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Bytes of text whose ids are held at a time.
 SLICE_BYTES = 1 << 20
 #: Bytes of words and ids in a generation of an encoder's tables.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 80 << 20
+#: Bytes that a word and its ids take besides their own (headers and a place in the table).
+ENTRY = 160
 #: Longest word that is kept; a longer one is encoded each time.
 LONGEST = 64
 
 
+class Room:
+    """Bytes that tables share."""
+
+    def __init__(self, size: int = CACHE_BYTES):
+        self.size = self.left = size
+        self.tables: list[Generations] = []
+
+    def turn(self) -> None:
+        """What the tables hold becomes their old generation."""
+        for t in self.tables:
+            t.old = dict(t)
+            t.clear()
+        self.left = self.size
+
+
 class Generations(dict):
     """A table that makes what it lacks, bounded in bytes: a full generation becomes the old
-    one, of which what is still asked for moves to the next. Tables of one `family` share the room."""
+    one, of which what is still asked for moves to the next."""
 
-    def __init__(self, make: Callable[[str], bytes], family: list[Generations], room: int = CACHE_BYTES):
+    def __init__(self, make: Callable[[str], bytes], room: Room):
         super().__init__()
-        self.make, self.family, self.room, self.held, self.old = make, family, room, 0, {}
-        family.append(self)
+        self.make, self.room, self.old = make, room, {}
+        room.tables.append(self)
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.pop(word, None) or self.make(word)
         if len(word) <= LONGEST:
-            size = sys.getsizeof(word) + sys.getsizeof(found) + 100
-            self.held += size
-            if sum([t.held for t in self.family]) > self.room:
-                for t in self.family:
-                    t.old = dict(t)
-                    t.clear()
-                    t.held = 0
-                self.held = size
+            self.room.left -= 2 * len(word) + len(found) + ENTRY
+            if self.room.left < 0:
+                self.room.turn()
             self[word] = found
         return found
 
@@ -106,9 +120,11 @@ class PieceModel:
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.cut_before_space = not any(a != SPACE and b == SPACE for a, b in self.joined)
         self.feed_alone = not any("\n" in j for j in self.joined)
-        family: list[Generations] = []
-        self.spaced = Generations(lambda w: self._made(SPACE, w, self.spaced), family)
-        self.bare = Generations(lambda w: self._made("", w, self.bare), family)
+        room = Room()
+        self.spaced = Generations(lambda w: self._made(SPACE, w, self.spaced), room)
+        self.bare = Generations(lambda w: self._made("", w, self.bare), room)
+        #: (normalized text, ids) of what has passed the agenda, where it is kept for a check
+        self.passed: list[tuple[str, bytes]] | None = None
         self.feed = self.agenda("\n")
 
     def agenda(self, text: str) -> bytes:
@@ -141,7 +157,10 @@ class PieceModel:
                 ids.append(pieces[symbol])
             elif symbol:
                 ids += [self.byte_ids[b] for b in symbol.encode()]
-        return array("i", ids).tobytes()
+        made = array("i", ids).tobytes()
+        if self.passed is not None:
+            self.passed.append((text, made))
+        return made
 
     def _made(self, lead: str, word: str, table: Generations) -> bytes:
         """ids of lead + word; a last mark that joins no letter is cut off, so that the word
@@ -242,32 +261,51 @@ def id_lists(encoded: Sequence[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
-def encode_texts(docs: DataFrame, path: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, whole_texts: bool = False) -> DataFrame:
     """doc_id, ids (with the end id), decoded of every row of docs (doc_id, text)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model(path)
         end = np.array([made.end_id], dtype="<i4").tobytes()
-        for batch in batches:
-            texts = batch.column("text")
-            sizes = [x or 0 for x in pa.compute.binary_length(texts).to_pylist()]
-            for first, stop in slices(sizes, SLICE_BYTES):
-                part = [x or "" for x in texts.slice(first, stop - first).to_pylist()]
-                encoded = [made.encode(x) + end for x in part]
-                listed = [array("i", x).tolist() for x in encoded]
-                decoded = [made.decode(x) for x in listed]
-                check(made, part, listed, decoded)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, stop - first), id_lists(encoded), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
-                )
+        made.passed = []
+        try:
+            for batch in batches:
+                texts = batch.column("text")
+                sizes = [x or 0 for x in pc.binary_length(texts).to_pylist()]
+                for first, stop in slices(sizes, SLICE_BYTES):
+                    part = [x or "" for x in texts.slice(first, stop - first).to_pylist()]
+                    encoded = [made.encode(x) + end for x in part]
+                    listed = [array("i", x).tolist() for x in encoded]
+                    decoded = [made.decode(x) for x in listed]
+                    check_parts(made)
+                    check(made, part if whole_texts else None, listed, decoded)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(first, stop - first), id_lists(encoded), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
+                    )
+        finally:
+            made.passed = None
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string"
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def check(made: PieceModel, texts: Sequence[str], ids: Sequence[list[int]], decoded: Sequence[str]) -> None:
-    """Raise ValueError where the library encodes or decodes otherwise."""
-    if made.library.encode(list(texts), add_eos=True, num_threads=1) != list(ids):
+def check_parts(made: PieceModel) -> None:
+    """Raise ValueError where the library encodes what has passed the agenda otherwise, and forget it."""
+    led, bare = [], []
+    for part in made.passed:  # the library puts a space in front, but not of nothing
+        (led if made.prefixed and part[0][0] == SPACE != part[0] else bare).append(part)
+    mark = made.library.encode("\n")  # joins with nothing
+    for parts, front, skip in ((led, "", 0), (bare, "\n", len(mark))):
+        texts = [front + text if front else text[1:] for text, _ in parts]
+        for (text, ids), theirs in zip(parts, made.library.encode(texts, num_threads=1), strict=True):
+            if array("i", ids).tolist() != theirs[skip:]:
+                raise ValueError(f"the library gives other ids for {text[:80]!r}")
+    made.passed.clear()
+
+
+def check(made: PieceModel, texts: Sequence[str] | None, ids: Sequence[list[int]], decoded: Sequence[str]) -> None:
+    """Raise ValueError where the library encodes the texts or decodes the ids otherwise."""
+    if texts is not None and made.library.encode(list(texts), add_eos=True, num_threads=1) != list(ids):
         raise ValueError("the library gives other ids")
     if made.library.decode(list(ids), num_threads=1) != list(decoded):
         raise ValueError("the library decodes to other texts")

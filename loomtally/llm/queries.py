@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import fingerprint, hnsw, hpylm, mixing, packing, pieces, simhash, token_store, toxicity, url_rules, warc
+from loomtally.llm import alignment, fingerprint, hnsw, hpylm, mixing, packing, pieces, simhash, spelling, token_store, toxicity, url_rules, warc
 from loomtally.session import scratch_path
 from loomtally.sources.tables import table
 
@@ -94,10 +94,23 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words, form and root over all documents."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links of two tokenizers, with the links' counts over all."""
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.link_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_overlaps")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_piecewise_fingerprint, op3_pitman_yor_scores, op4_simhash_components, op5_warc_revisits,
-        op6_pack_windows, op7_vector_graphs, op8_token_store, op9_ordinal_toxicity, op10_url_rules, op11_sentence_pieces,
+        op6_pack_windows, op7_vector_graphs, op8_token_store, op9_ordinal_toxicity, op10_url_rules, op11_sentence_pieces, op12_spelling_groups,
+        op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 

@@ -29,11 +29,11 @@ def test_decoding_equals_the_librarys(ids):
 
 
 def test_tables_stay_in_their_room_and_keep_right():
-    family: list[pieces.Generations] = []
-    table = pieces.Generations(lambda w: w.encode() * 2, family, room=2000)
+    room = pieces.Room(20 * (pieces.ENTRY + 12))
+    table = pieces.Generations(lambda w: w.encode() * 2, room)
     words = [f"w{i % 50}" for i in range(500)]
     assert [table[w] for w in words] == [w.encode() * 2 for w in words]
-    assert table.held <= 2000 and len(table) + len(table.old) < 30
+    assert len(table) <= 21 and len(table.old) <= 21
 
 
 def test_slices_hold_every_row_once():
@@ -44,6 +44,12 @@ def test_slices_hold_every_row_once():
 def test_a_difference_from_the_library_raises():
     with pytest.raises(ValueError, match="other ids"):
         pieces.check(MADE, ["a"], [[5, 2]], ["a"])
+    with pytest.raises(ValueError, match="other texts"):
+        pieces.check(MADE, None, [[260, 2]], ["a"])
+    MADE.passed = [("▁word", array("i", MADE.library.encode("word")).tobytes()), ("word", array("i", MADE.library.encode("word")).tobytes())]
+    with pytest.raises(ValueError, match="other ids for"):
+        pieces.check_parts(MADE)
+    MADE.passed = None
 
 
 def test_odd_rows(spark):
@@ -54,7 +60,7 @@ def test_odd_rows(spark):
     for doc, text in rows:
         ids = MADE.library.encode(text or "", add_eos=True)
         assert got[doc, MADE.library.decode(ids)] == ids
-    assert pieces.encode_texts(frame, PATH).count() == len(rows) and pieces.encode_texts(frame.where("false"), PATH).count() == 0
+    assert pieces.encode_texts(frame, PATH, whole_texts=True).count() == len(rows) and pieces.encode_texts(frame.where("false"), PATH).count() == 0
 
 
 def test_query_against_the_library(spark):
