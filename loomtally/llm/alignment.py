@@ -170,14 +170,9 @@ class Aligner:
         return ["".join(map(self.written.__getitem__, order[s:e].tolist()))[:-1] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-_KEPT: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(path_a: str, path_b: str) -> Aligner:
     """The worker's aligner for two files; kept between tasks that reuse the worker."""
-    if (path_a, path_b) not in _KEPT:
-        _KEPT[path_a, path_b] = Aligner(path_a, path_b)
-    return _KEPT[path_a, path_b]
+    return encoders.held((path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:

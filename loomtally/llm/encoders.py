@@ -139,18 +139,23 @@ class WordEncoder:
         return [[text]]  # white space that may stand together with other: the library cuts it
 
 
-_KEPT: dict[tuple[str, bool], WordEncoder] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What the worker keeps under the key, between tasks that reuse the worker; made at first."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def encoder(path: str, spaced: bool) -> WordEncoder:
-    """The worker's encoder for a file; kept between tasks that reuse the worker."""
-    if (path, spaced) not in _KEPT:
-        _KEPT[path, spaced] = WordEncoder(path, spaced)
-    return _KEPT[path, spaced]
+    """The worker's encoder for a file."""
+    return held((path, spaced), lambda: WordEncoder(path, spaced))
 
 
 def forget() -> None:
-    """Drop the worker's encoders: for tasks that need none, in a worker that has run others."""
+    """Drop the worker's encoders and models: for tasks that need none, in a worker that has run others."""
     if _KEPT:
         _KEPT.clear()
         gc.collect()  # tables know each other

@@ -35,6 +35,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from loomtally.llm.encoders import held
+
 SPACE = "▁"
 #: Bytes of text whose ids are held at a time.
 SLICE_BYTES = 1 << 20
@@ -233,14 +235,9 @@ def _each_byte(data: bytes) -> str:
     return "".join(out)
 
 
-_KEPT: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
     """The worker's model for a file; kept between tasks that reuse the worker."""
-    if path not in _KEPT:
-        _KEPT[path] = PieceModel(path)
-    return _KEPT[path]
+    return held((path,), lambda: PieceModel(path))
 
 
 def slices(sizes: Sequence[int], room: int) -> Iterator[tuple[int, int]]:

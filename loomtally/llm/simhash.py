@@ -228,6 +228,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, fp (as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             fp = np.array([signed(simhash(shingle_hashes(t, width))) for t in batch["text"].tolist()], dtype=np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
@@ -260,6 +261,7 @@ def _common_shingles(docs: DataFrame, width: int, share: int = 16, least: int =
     sampled or cut here costs candidates, never a pair."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             made = [np.unique(shingle_hashes(t, width)) for t in batch["text"].tolist()]
             s, n = np.unique(np.concatenate(made), return_counts=True) if made else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))

@@ -1,18 +1,19 @@
 """Grouping of spelling variants: words one edit apart, each led to its most frequent near word.
 
-Pairs come from a positional q-gram inverted index (q = 3) with a count filter. One edit
-spoils three grams of a word at most, so two near words share a gram, at fitting places,
-among the four rarest distinct grams of each: a word is posted under these four, and words
-posted under one gram meet in one task. There a word's grams ask for postings of the same
-length at the same place and of a length one more at the same place or the next. The
-postings are merged by a heap (the longest ones only looked up, as many as the bound
-allows) and partners with fewer hits than one edit leaves are dropped; the others are
-verified code point by code point. A pair is told by the rarest gram that brings it, once.
+Pairs come from a positional q-gram inverted index (q = 5, with marks before and behind a
+word) with a count filter. One edit spoils five grams of a word at most, so two near words
+share a gram, at fitting places, among the six rarest distinct grams of each: a word is
+posted under these six, and words posted under one gram meet in one task. There a word's
+grams ask for postings of the same length at the same place and of a length one more at the
+same place or the next. The postings are merged by a heap (the longest ones only looked up,
+as many as the bound allows), partners with fewer hits than one edit leaves are dropped, and
+the others are verified code point by code point. A pair is told by the rarest gram that
+brings it, once.
 
 A gram with over `group_limit` words is split by length and place, and what is then still
 above it into blocks of words that meet pairwise, so that a task holds at most twice that
-many and no pair is lost. The gram table, which orders grams by how many words have them,
-is bounded by the alphabet: 90 letters, at most 729,000 grams.
+many and no pair is lost. What orders grams is how many words have them, counted by 2^18
+values of their hash, however large the corpus.
 
 A word's form is its near word of the largest count (ties: smallest in code-point order) if
 that count is `ratio` times its own; its root is the last of the forms that follow. Counts
@@ -26,12 +27,14 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from heapq import merge
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +44,13 @@ from loomtally.session import durable
 from loomtally.sources.tables import spread
 
 RUN = r"[A-Za-zÀ-ÿ]+"
-Q = 3
+Q = 5
+#: Marks before and behind a word, no letters.
+FRONT, BACK = "<" * (Q - 1), ">" * (Q - 1)
 #: Distinct grams of a word that one edit can't all spoil.
 LEAD = Q + 1
+#: Values of the hash by which grams are counted.
+SLOTS = 1 << 18
 #: Words posted under one gram that meet in one task.
 GROUP_LIMIT = 20_000
 
@@ -68,12 +75,13 @@ def word_counts(docs: DataFrame, least_length: int = 7, least_count: int = 2) ->
 
 
 def grams_of(word: str) -> list[str]:
-    return [word[i : i + Q] for i in range(len(word) - Q + 1)]
+    marked = FRONT + word + BACK
+    return [marked[i : i + Q] for i in range(len(word) + Q - 1)]
 
 
-def lead_of(word: str, rank: dict[str, int]) -> list[str]:
+def lead_of(word: str, often: np.ndarray) -> list[str]:
     """The word's rarest distinct grams."""
-    return sorted(set(grams_of(word)), key=rank.__getitem__)[:LEAD]
+    return [g for _, g in sorted([(often[zlib.crc32(g.encode()) % SLOTS], g) for g in set(grams_of(word))])[:LEAD]]
 
 
 def places(word: str, gram: str) -> list[int]:
@@ -114,41 +122,48 @@ def above_bound(postings: list[list[int]], bound: int) -> Iterator[int]:
 
 def index_pairs(words: Sequence[str]) -> Iterator[tuple[int, int]]:
     """(x, y) numbers of all near pairs of distinct words, y of x's length or one longer."""
-    index: dict[int, dict[tuple[str, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+    index: dict[int, list[dict[str, list[int]]]] = {}  # by length, place and gram
     grams = [grams_of(w) for w in words]
     for number, found in enumerate(grams):
-        of_length = index[len(found)]
-        for place, gram in enumerate(found):
-            of_length[gram, place].append(number)
+        if len(found) not in index:
+            index[len(found)] = [defaultdict(list) for _ in found]
+        for table, gram in zip(index[len(found)], found, strict=True):
+            table[gram].append(number)
     for x, found in enumerate(grams):
-        same, longer, n = index[len(found)], index.get(len(found) + 1), len(found)
-        postings = []
-        for place, gram in enumerate(found):
-            posting = same[gram, place]
-            if posting[-1] > x:
-                postings.append(posting[bisect_right(posting, x) :] if posting[0] <= x else posting)
-        for y in above_bound(postings, max(1, n - Q)):  # a replaced code point spoils Q grams
-            if one_edit(words[x], words[y]):
-                yield x, y
-        if longer:
-            postings = [p for place, gram in enumerate(found) for at in (place, place + 1) if (p := longer.get((gram, at)))]
-            for y in above_bound(postings, max(1, n - Q + 1)):  # one more spoils Q - 1
-                if one_edit(words[x], words[y]):
+        word = words[x]
+        bound = len(word) - 1  # a replaced code point spoils Q grams
+        postings = [p for table, gram in zip(index[len(found)], found, strict=True) if (p := table[gram])[-1] > x]
+        if len(postings) >= bound:
+            postings = [p[bisect_right(p, x) :] for p in postings]
+            for y in above_bound(postings, bound):
+                if one_edit(word, words[y]):
                     yield x, y
+        longer = index.get(len(found) + 1)
+        if longer:  # one more code point spoils Q - 1
+            postings = [p for table, gram in zip(longer, found, strict=False) if (p := table.get(gram))]
+            postings += [p for table, gram in zip(longer[1:], found, strict=True) if (p := table.get(gram))]
+            if len(postings) > bound:
+                for y in above_bound(postings, bound + 1):
+                    if one_edit(word, words[y]):
+                        yield x, y
 
 
 def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """x, n_x, y, n_y: every pair of distinct words of vocabulary (word, n; durable, words of
-    LEAD + Q code points or more) one edit apart, once."""
+    """x, n_x, y, n_y: every pair of distinct words of vocabulary (word, n; durable, words of two
+    code points or more) one edit apart, once."""
     spark = vocabulary.sparkSession
-    counted = vocabulary.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - Q + 1), lambda i: F.substring(F.col("word"), i, F.lit(Q))))).alias("gram"))
-    order = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "gram").collect()  # bounded by the alphabet
-    rank = spark.sparkContext.broadcast({r["gram"]: i for i, r in enumerate(order)})
+    marked = F.concat(F.lit(FRONT), "word", F.lit(BACK))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(marked, i, F.lit(Q)))
+    slot = F.crc32(F.col("gram").cast("binary")) % SLOTS
+    told_of = vocabulary.select(F.explode(F.array_distinct(cut(F.length("word") + Q - 1))).alias("gram")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[told_of["slot"].to_numpy(dtype=np.int64)] = told_of["n"].to_numpy(dtype=np.int64)
+    often = spark.sparkContext.broadcast(counts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("word").to_pylist()
-            leads = [lead_of(w, rank.value) for w in words]
+            leads = [lead_of(w, often.value) for w in words]
             at = pa.array([i for i, lead in enumerate(leads) for _ in lead], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([g for lead in leads for g in lead], pa.string()), batch.column("word").take(at), batch.column("n").take(at)], names=["gram", "word", "n"])
 
@@ -157,7 +172,7 @@ def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
     cold = posted.join(crowded, F.col("gram") == F.col("_g"), "left_anti").select("gram", F.lit(-1).alias("length"), F.lit(-1).alias("place"), "word", "n")
     # a crowded gram: by the length and place of the shorter word, which both words know
     length = F.length("word")
-    at = F.filter(F.sequence(F.lit(0), length - Q), lambda i: F.substring(F.col("word"), i + 1, F.lit(Q)) == F.col("gram"))
+    at = F.filter(F.sequence(F.lit(0), length + Q - 2), lambda i: F.substring(marked, i + 1, F.lit(Q)) == F.col("gram"))
     spot = lambda n, p: F.struct(n.alias("length"), p.alias("place"))
     spots = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(spot(length, i), spot(length - 1, i), spot(length - 1, i - 1)))))
     hot = posted.join(crowded, F.col("gram") == F.col("_g"), "left_semi").select("gram", F.explode(spots).alias("_s"), "word", "n").select("gram", "_s.length", "_s.place", "word", "n")
@@ -174,8 +189,8 @@ def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
 
     def told(x: str, y: str, gram: str, length: int, place: int) -> bool:
         """This group is the first that brings the pair."""
-        theirs = set(lead_of(y, rank.value))
-        first, spots = next((g, p) for g in lead_of(x, rank.value) if g in theirs and (p := meeting_places(x, y, g)))
+        theirs = set(lead_of(y, often.value))
+        first, spots = next((g, p) for g in lead_of(x, often.value) if g in theirs and (p := meeting_places(x, y, g)))
         return first == gram and (length < 0 or (len(x) == length and spots[0] == place))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +231,8 @@ def follow(forms: DataFrame, steps: int) -> DataFrame:
 
 def spelling_groups(docs: DataFrame, least_length: int = 7, least_count: int = 2, ratio: int = 10, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of docs (doc_id, text)."""
-    if least_length < LEAD + Q or ratio < 2:
-        raise ValueError(f"words of {LEAD + Q} code points at least and a ratio of 2 at least")
+    if least_length < 2 or ratio < 2:
+        raise ValueError("words of 2 code points at least and a ratio of 2 at least")
     vocabulary = durable(word_counts(spread(docs.select("doc_id", "text")), least_length, least_count), "words")
     pairs = durable(near_pairs(vocabulary, group_limit), "near-words")
     one_way = lambda a, b: pairs.select(F.col(a).alias("word"), F.struct((-F.col(f"n_{b}")).alias("m"), F.col(b).alias("w")).alias("near"))

@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtally.llm.encoders import forget
 from loomtally.session import durable
 
 _WORD = re.compile(r"\w+")
@@ -103,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_feat
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh128_hexdigest
 
+        forget()
         for batch in batches:
             words = [words_of(t) for t in batch["text"].tolist()]
             keys = [xxh128_hexdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
@@ -134,6 +136,7 @@ def score(docs: DataFrame, model: OrdinalModel, cutoff: float = 0.5) -> DataFram
     """doc_id, expected_severity, grade (the likeliest), toxic."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             out = [model.score(features_of(words_of(t))) for t in batch["text"].tolist()]
             above = np.array(out, dtype=np.float64).reshape(len(out), GRADES - 1)
@@ -148,7 +151,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5) -> DataF
     model = fit(docs, labels)
 
     @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(features_of(words_of(t)))[0] >= cutoff for t in texts], dtype=bool)
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
+        for texts in batches:
+            yield pd.Series([model.score(features_of(words_of(t)))[0] >= cutoff for t in texts], dtype=bool)
 
     return docs.where(~toxic("text"))

@@ -79,7 +79,7 @@ def crowd(seed, count):
     return rows
 
 
-WORD = st.text(alphabet="aab", min_size=7, max_size=10)
+WORD = st.text(alphabet="aab", min_size=2, max_size=10)
 
 
 @given(st.sets(WORD, max_size=25))
@@ -106,7 +106,7 @@ def test_odd_tables(spark):
     assert tuples(spelling.spelling_groups(frame)) == plain(rows)
     assert spelling.spelling_groups(frame.where("doc_id < 3")).count() == 0
     with pytest.raises(ValueError):
-        spelling.spelling_groups(frame, least_length=6)
+        spelling.spelling_groups(frame, least_length=1)
 
 
 def test_query_against_all_pairs(spark):
