@@ -7,8 +7,7 @@ posted under these six, and words posted under one gram meet in one task. There
 grams ask for postings of the same length at the same place and of a length one more at the
 same place or the next. The postings are merged by a heap (the longest ones only looked up,
 as many as the bound allows), partners with fewer hits than one edit leaves are dropped, and
-the others are verified code point by code point. A pair is told by the rarest gram that
-brings it, once.
+the others are verified code point by code point. A pair that several grams bring counts once.
 
 A gram with over `group_limit` words is split by length and place, and what is then still
 above it into blocks of words that meet pairwise, so that a task holds at most twice that
@@ -43,7 +42,7 @@ from loomtally.llm.url_rules import LOWER, UPPER
 from loomtally.session import durable
 from loomtally.sources.tables import spread
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+RUN = "[A-Za-zÀ-ÿ]"
 Q = 5
 #: Marks before and behind a word, no letters.
 FRONT, BACK = "<" * (Q - 1), ">" * (Q - 1)
@@ -55,22 +54,19 @@ SLOTS = 1 << 18
 GROUP_LIMIT = 20_000
 
 
-def noisy_words(docs: DataFrame, every: int = 31) -> Column:
-    """The runs of letters of a text as an array, A-Z lowered; where `every` divides h, the crc32 of
-    `<doc_id>:<run>`, the code point h % length is left out."""
-    runs = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({RUN})"), 1)
-
-    def noised(run: Column) -> Column:
-        h = F.crc32(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
-        at = (h % F.length(run)).cast("int")
-        return F.when(h % every == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
-
-    return F.transform(runs, noised)
+def noisy_words(docs: DataFrame, least_length: int = 1, every: int = 31) -> DataFrame:
+    """word: the runs of least_length letters or more of all texts, A-Z lowered, a row each; where
+    `every` divides h, the crc32 of `<doc_id>:<run>`, the code point h % length is left out."""
+    runs = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({RUN}{{{least_length},}})"), 1)
+    named = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    h, at = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")), (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return named.withColumn("h", h).select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("run")).alias("word"))
 
 
 def word_counts(docs: DataFrame, least_length: int = 7, least_count: int = 2) -> DataFrame:
     """word, n of the words of docs (doc_id, text) that are long and frequent enough."""
-    words = docs.select(F.explode(noisy_words(docs)).alias("word")).where(F.length("word") >= least_length)
+    words = noisy_words(docs, least_length).where(F.length("word") >= least_length)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
@@ -84,16 +80,6 @@ def lead_of(word: str, often: np.ndarray) -> list[str]:
     return [g for _, g in sorted([(often[zlib.crc32(g.encode()) % SLOTS], g) for g in set(grams_of(word))])[:LEAD]]
 
 
-def places(word: str, gram: str) -> list[int]:
-    return [i for i, g in enumerate(grams_of(word)) if g == gram]
-
-
-def meeting_places(x: str, y: str, gram: str) -> list[int]:
-    """Places in x at which the gram fits one in y, y being of x's length or one longer."""
-    there = set(places(y, gram))
-    return [p for p in places(x, gram) if p in there or (len(y) > len(x) and p + 1 in there)]
-
-
 def one_edit(x: str, y: str) -> bool:
     """y is x with one code point replaced, or with one more."""
     if len(x) == len(y):
@@ -168,30 +154,11 @@ def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([g for lead in leads for g in lead], pa.string()), batch.column("word").take(at), batch.column("n").take(at)], names=["gram", "word", "n"])
 
     posted = durable(vocabulary.select("word", "n").mapInArrow(post, "gram string, word string, n long"), "postings")
-    crowded = posted.groupBy("gram").count().where(F.col("count") > group_limit).select(F.col("gram").alias("_g"))
-    cold = posted.join(crowded, F.col("gram") == F.col("_g"), "left_anti").select("gram", F.lit(-1).alias("length"), F.lit(-1).alias("place"), "word", "n")
-    # a crowded gram: by the length and place of the shorter word, which both words know
-    length = F.length("word")
-    at = F.filter(F.sequence(F.lit(0), length + Q - 2), lambda i: F.substring(marked, i + 1, F.lit(Q)) == F.col("gram"))
-    spot = lambda n, p: F.struct(n.alias("length"), p.alias("place"))
-    spots = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(spot(length, i), spot(length - 1, i), spot(length - 1, i - 1)))))
-    hot = posted.join(crowded, F.col("gram") == F.col("_g"), "left_semi").select("gram", F.explode(spots).alias("_s"), "word", "n").select("gram", "_s.length", "_s.place", "word", "n")
-    dealt = cold.unionByName(hot)
-    key = ["gram", "length", "place"]
-    sizes = hot.groupBy(*key).count().where(F.col("count") > group_limit).select(*[F.col(k).alias(f"_{k}") for k in key], F.ceil(F.col("count") / group_limit).cast("int").alias("_blocks"))
-    blocks = F.coalesce("_blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("word"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
-    joined = dealt.join(sizes, [F.col(k) == F.col(f"_{k}") for k in key], "left").select(*key, own.alias("own"), F.explode(meets).alias("_m"), "word", "n")
-    rows = joined.select(*key, "_m.low", "_m.high", "own", "word", "n")
-    group = [*key, "low", "high"]
-    sorted_rows = rows.repartition(*group).sortWithinPartitions(*group, "word")
-
-    def told(x: str, y: str, gram: str, length: int, place: int) -> bool:
-        """This group is the first that brings the pair."""
-        theirs = set(lead_of(y, often.value))
-        first, spots = next((g, p) for g in lead_of(x, often.value) if g in theirs and (p := meeting_places(x, y, g)))
-        return first == gram and (length < 0 or (len(x) == length and spots[0] == place))
+    crowded = durable(posted.groupBy("gram").count().where(F.col("count") > group_limit).select(F.col("gram").alias("_g")), "crowded-grams")
+    group, dealt = ["gram"], posted
+    if crowded.limit(1).count():
+        group = ["gram", "length", "place", "low", "high"]
+        dealt = _split(posted, crowded, group_limit)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def all_rows() -> Iterator[tuple]:
@@ -199,20 +166,38 @@ def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
                 yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
         out: list[tuple] = []
-        for (gram, length, place, low, high), members in groupby(all_rows(), key=lambda r: r[:5]):
+        for _, members in groupby(all_rows(), key=lambda r: r[: len(group)]):
             members = list(members)
             if len(members) > 1:
-                words = [r[6] for r in members]
-                for x, y in index_pairs(words):
-                    apart = low == high or members[x][5] != members[y][5]  # pairs of one block meet in its own group
-                    if apart and told(words[x], words[y], gram, length, place):
-                        out.append((words[x], members[x][7], words[y], members[y][7]))
+                words = [r[-2] for r in members]
+                out += [(words[x], members[x][-1], words[y], members[y][-1]) for x, y in index_pairs(words)]
             if len(out) >= 10_000:
                 yield _pairs(out)
                 out = []
         yield _pairs(out)
 
-    return sorted_rows.mapInArrow(meet, "x string, n_x long, y string, n_y long")
+    rows = dealt.select(*group, "word", "n").repartition(*group).sortWithinPartitions(*group)
+    return rows.mapInArrow(meet, "x string, n_x long, y string, n_y long").distinct()
+
+
+def _split(posted: DataFrame, crowded: DataFrame, group_limit: int) -> DataFrame:
+    """gram, length, place, low, high, word, n: postings of crowded grams by the length and place of
+    the shorter word, which both words know, and where these are crowded still by blocks of
+    words, of which each two meet in one group (low, high); other postings as they are."""
+    mine = F.col("gram") == F.col("_g")
+    cold = posted.join(crowded, mine, "left_anti").select("gram", F.lit(-1).alias("length"), F.lit(-1).alias("place"), "word", "n")
+    length, marked = F.length("word"), F.concat(F.lit(FRONT), "word", F.lit(BACK))
+    at = F.filter(F.sequence(F.lit(0), length + Q - 2), lambda i: F.substring(marked, i + 1, F.lit(Q)) == F.col("gram"))
+    spot = lambda n, p: F.struct(n.alias("length"), p.alias("place"))
+    spots = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(spot(length, i), spot(length - 1, i), spot(length - 1, i - 1)))))
+    hot = posted.join(crowded, mine, "left_semi").select("gram", F.explode(spots).alias("_s"), "word", "n").select("gram", "_s.length", "_s.place", "word", "n")
+    key = ["gram", "length", "place"]
+    sizes = hot.groupBy(*key).count().where(F.col("count") > group_limit).select(*[F.col(k).alias(f"_{k}") for k in key], F.ceil(F.col("count") / group_limit).cast("int").alias("_blocks"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("word"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
+    joined = cold.unionByName(hot).join(sizes, [F.col(k) == F.col(f"_{k}") for k in key], "left").select(*key, F.explode(meets).alias("_m"), "word", "n")
+    return joined.select(*key, "_m.low", "_m.high", "word", "n")
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
