@@ -11,16 +11,18 @@ together goes to the library as it is. Words of over LONGEST characters are neve
 from __future__ import annotations
 
 import gc
+import json
 import os
-import sys
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from loomtally.session import release_memory
 
 #: Bytes of words and ids in a generation, of all tables of an encoder together (two generations each): a
 #: full generation becomes the old one, of which the words still in use move to the next.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 80 << 20
+#: Bytes that a word and its ids take besides their own (headers and a place in the table).
+ENTRY = 190
 #: Longest word that is kept; a longer one is encoded each time.
 LONGEST = 64
 #: White space other than the space and the line feed, as the vocabularies' patterns and str.split know it.
@@ -38,55 +40,72 @@ def byte_letters() -> dict[int, str]:
 _LETTERS = byte_letters()
 
 
-class WordCache(dict):
-    """word -> ids as little-endian unsigned 32-bit integers. before: what stands
-    before the word where it is encoded; lower: the vocabulary folds case; beside: a
-    table with which this one shares its room."""
+class Room:
+    """Bytes that tables share, with an estimate for each word and its ids: their own and ENTRY."""
+
+    def __init__(self, size: int):
+        self.size = self.left = size
+        self.tables: list[Generations] = []
+
+    def turn(self) -> None:
+        """What the tables hold becomes their old generation."""
+        for t in self.tables:
+            t.old = dict(t)
+            t.clear()
+        self.left = self.size
+
 
-    def __init__(self, tokenizer, before: str, lower: bool, beside: WordCache | None = None):
+class Generations(dict):
+    """A table that makes what it lacks, bounded in bytes: a full generation becomes the old
+    one, of which what is still asked for moves to the next."""
+
+    def __init__(self, make: Callable[[str], bytes], room: Room):
         super().__init__()
-        self.tokenizer, self.model, self.before, self.lower = tokenizer, tokenizer.model, before, lower
-        self.lead = before.translate(_LETTERS)
-        self.held, self.old = 0, {}
-        self.tables: list[WordCache] = [] if beside is None else beside.tables
-        self.tables.append(self)
-        self.marks = {m: self.whole(m) for m in ",."}
+        self.make, self.room, self.old = make, room, {}
+        room.tables.append(self)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.pop(word, None) or self.made(word)
+        found = self.old.pop(word, None) or self.make(word)
         if len(word) <= LONGEST:
-            size = sys.getsizeof(word) + sys.getsizeof(ids) + 100
-            self.held += size
-            if sum([t.held for t in self.tables]) > CACHE_BYTES:
-                for t in self.tables:
-                    t.old = dict(t)
-                    t.clear()
-                    t.held = 0
-                self.held = size
-            self[word] = ids
-        return ids
+            self.room.left -= 2 * len(word) + len(found) + ENTRY
+            if self.room.left < 0:
+                self.room.turn()
+            self[word] = found
+        return found
+
+
+class WordCache(Generations):
+    """word -> ids as little-endian unsigned 32-bit integers. before: what stands
+    before the word where it is encoded; lower: the vocabulary folds case."""
+
+    def __init__(self, tokenizer, merge: Callable[[bytes], list[int]] | None, before: str, lower: bool, room: Room):
+        super().__init__(self.made, room)
+        self.tokenizer, self.model, self.merge, self.before, self.lower = tokenizer, tokenizer.model, merge, before, lower
+        self.lead = before.translate(_LETTERS)
+        self.marks = {m: self.whole(m) for m in ",."}
 
     def made(self, word: str) -> bytes:
         core, mark = word, b""
         if word[-1] in self.marks and word[:-1].isalpha():
             # a comma or full stop behind letters is a unit of its own
             core, mark = word[:-1], self.marks[word[-1]]
-        ids = (self.get(core) if mark else None) or self.letters(core) or self.whole(self.before + core)
-        return ids + mark
+            if core in self:
+                return self[core] + mark
+        return (self.letters(core) if core.isalpha() else self.whole(self.before + core)) + mark
 
-    def letters(self, word: str) -> bytes | None:
+    def letters(self, word: str) -> bytes:
         """Latin letters are one unit, which the model can merge without the library's
-        normalizing and cutting (most of its time); None for other words."""
-        if not word.isalpha():
-            return None
+        normalizing and cutting (most of its time)."""
         ascii_only = word.isascii()
         if not ascii_only:
             try:
                 word.encode("latin-1")
             except UnicodeEncodeError:
-                return None
+                return self.whole(self.before + word)
         if self.lower:
             word = word.lower()
+        if self.merge is not None:
+            return array("I", self.merge((self.before + word).encode())).tobytes()
         # ASCII letters stand for themselves
         data = self.lead + word if ascii_only else (self.before + word).encode().decode("latin-1").translate(_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(data)]).tobytes()
@@ -95,6 +114,23 @@ class WordCache(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def ranked_merges(path: str) -> Callable[[bytes], list[int]] | None:
+    """Merging of a unit's bytes by ranks (tiktoken's, of less than half the library's cost), for a
+    byte-level file whose ids stand in the order of its merges; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary = model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    byte_of = {letter: value for value, letter in _LETTERS.items()}
+    if model.get("end_of_word_suffix") or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    units = [*byte_of, *(a + b for a, b in merges)]
+    ranks = {bytes(byte_of[c] for c in unit): vocabulary[unit] for unit in units}
+    return tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class WordEncoder:
     """path: a tokenizer file. encode(texts) gives each text's ids as little-endian
     unsigned 32-bit integers. spaced: the vocabulary encodes the space before a word
@@ -108,8 +144,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.bare = WordCache(self.tokenizer, "", not spaced)
-        self.after_space = WordCache(self.tokenizer, " ", False, self.bare) if spaced else self.bare
+        room, merge = Room(CACHE_BYTES), ranked_merges(path) if spaced else None
+        self.bare = WordCache(self.tokenizer, merge, "", not spaced, room)
+        self.after_space = WordCache(self.tokenizer, merge, " ", False, room) if spaced else self.bare
         self.feed = self.bare.whole("\n")
 
     def encode(self, texts: Sequence[str | None], lead: bool = False) -> list[bytes]:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,16 @@ WINDOWS_PER_BATCH = 1 << 20
 SLICE = 1024
 
 
-def cut_lengths(n: int, window: int, piece: int) -> list[int]:
-    """Lengths of a document's pieces: whole windows, then the rest by `piece`."""
-    whole, rest = divmod(n, window)
-    return [window] * whole + [piece] * (rest // piece) + ([rest % piece] if rest % piece else [])
+def cut_pieces(n: np.ndarray, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of n ids: whole windows, then the rest
+    by `piece`."""
+    whole, rest = np.divmod(n, window)
+    count = whole + -(-rest // piece)
+    doc = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    loose = k - whole[doc]
+    start = np.where(loose < 0, window * k, window * whole[doc] + piece * loose)
+    return doc, start, np.minimum(np.where(loose < 0, window, piece), n[doc] - start)
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +102,23 @@ def pack_batch(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 def document_pieces(docs: DataFrame, path: str, window: int = 1024, piece: int = 256, end_id: int = 0, spaced: bool = True, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) for every piece."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, spaced), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, tie, ids in zip(batch["doc_id"], batch["_tie"], enc.encode(batch["text"].tolist()), strict=True):
-                ids += end
-                n, at = len(ids) // 4, 0
-                for length in cut_lengths(n, window, piece):
-                    part = ids[4 * at : 4 * (at + length)]
-                    rows.append((doc, tie, at, length, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int64),) if with_ids else ()))
-                    at += length
-            yield pd.DataFrame(rows, columns=names)
+            coded = [ids + end for ids in enc.encode(batch.column("text").to_pylist())]
+            n = np.array([len(ids) // 4 for ids in coded], dtype=np.int64)
+            doc, start, length = cut_pieces(n, window, piece)
+            data, first = memoryview(b"".join(coded)), 4 * (np.cumsum(n) - n)[doc] + 4 * start
+            spans = list(zip(first.tolist(), (first + 4 * length).tolist(), strict=True))
+            columns = [batch.column("doc_id").take(pa.array(doc)), batch.column("_tie").take(pa.array(doc)), *map(pa.array, (start, length))]
+            columns += [pa.array([zlib.crc32(data[a:b]) for a, b in spans], pa.int64()), pa.array(n[doc])]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(data[a:b], "<u4").astype(np.int64) for a, b in spans], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "_tie", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _tie long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<bigint>" * with_ids
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).mapInPandas(encode, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).mapInArrow(encode, schema)
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, piece: int = 256, end_id: int = 0, spaced: bool = True, batch_windows: int = 384, with_ids: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ byte pieces raises ValueError.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -35,51 +35,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from loomtally.llm.encoders import held
+from loomtally.llm.encoders import CACHE_BYTES, Generations, Room, held
 
 SPACE = "▁"
 #: Bytes of text whose ids are held at a time.
 SLICE_BYTES = 1 << 20
-#: Bytes of words and ids in a generation of an encoder's tables.
-CACHE_BYTES = 80 << 20
-#: Bytes that a word and its ids take besides their own (headers and a place in the table).
-ENTRY = 160
-#: Longest word that is kept; a longer one is encoded each time.
-LONGEST = 64
-
-
-class Room:
-    """Bytes that tables share."""
-
-    def __init__(self, size: int = CACHE_BYTES):
-        self.size = self.left = size
-        self.tables: list[Generations] = []
-
-    def turn(self) -> None:
-        """What the tables hold becomes their old generation."""
-        for t in self.tables:
-            t.old = dict(t)
-            t.clear()
-        self.left = self.size
-
-
-class Generations(dict):
-    """A table that makes what it lacks, bounded in bytes: a full generation becomes the old
-    one, of which what is still asked for moves to the next."""
-
-    def __init__(self, make: Callable[[str], bytes], room: Room):
-        super().__init__()
-        self.make, self.room, self.old = make, room, {}
-        room.tables.append(self)
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.pop(word, None) or self.make(word)
-        if len(word) <= LONGEST:
-            self.room.left -= 2 * len(word) + len(found) + ENTRY
-            if self.room.left < 0:
-                self.room.turn()
-            self[word] = found
-        return found
 
 
 class PieceModel:
@@ -122,7 +82,7 @@ class PieceModel:
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.cut_before_space = not any(a != SPACE and b == SPACE for a, b in self.joined)
         self.feed_alone = not any("\n" in j for j in self.joined)
-        room = Room()
+        room = Room(CACHE_BYTES)
         self.spaced = Generations(lambda w: self._made(SPACE, w, self.spaced), room)
         self.bare = Generations(lambda w: self._made("", w, self.bare), room)
         #: (normalized text, ids) of what has passed the agenda, where it is kept for a check

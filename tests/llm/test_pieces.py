@@ -8,7 +8,7 @@ from array import array
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from loomtally.llm import pieces
+from loomtally.llm import encoders, pieces
 from loomtally.llm.queries import op11_sentence_pieces, vocabulary
 
 PATH = vocabulary("piece_bpe_32k.model")
@@ -29,8 +29,8 @@ def test_decoding_equals_the_librarys(ids):
 
 
 def test_tables_stay_in_their_room_and_keep_right():
-    room = pieces.Room(20 * (pieces.ENTRY + 12))
-    table = pieces.Generations(lambda w: w.encode() * 2, room)
+    room = encoders.Room(20 * (encoders.ENTRY + 12))
+    table = encoders.Generations(lambda w: w.encode() * 2, room)
     words = [f"w{i % 50}" for i in range(500)]
     assert [table[w] for w in words] == [w.encode() * 2 for w in words]
     assert len(table) <= 21 and len(table.old) <= 21
