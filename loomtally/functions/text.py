@@ -7,6 +7,9 @@ are runs of letters, digits and `_`, or one other character that is not white sp
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,12 +53,29 @@ def shingle_hashes(tokens: Column, width: int = 5) -> Column:
     return F.transform(F.array(tokens), of)[0]
 
 
+@cache
+def case_folding() -> tuple[dict[str, str], dict[str, str]]:
+    """(code points that fold to one other, those that fold to several), by Python's str.casefold."""
+    every = (chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    folds = {c: f for c in every if (f := c.casefold()) != c}
+    return {c: f for c, f in folds.items() if len(f) == 1}, {c: f for c, f in folds.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding, as str.casefold. Texts of ASCII characters alone are lowered."""
+    single, several = case_folding()
+    folded = F.translate(text, "".join(single), "".join(single.values()))
+    steps = F.array(*[F.array(F.lit(c), F.lit(f)) for c, f in several.items()])
+    spread = F.aggregate(steps, folded, lambda s, step: F.replace(s, step[0], step[1]))
+    whole = F.when(folded.rlike("[" + "".join(several) + "]"), spread).otherwise(folded)
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(whole)
+
+
 def repository_family(repo: Column) -> Column:
-    """Lower-cased name of `owner/name`; null where there is not just one slash between two names.
-    (lower, not full case folding: equal for ASCII names.)"""
+    """Case-folded name of `owner/name`; null where there is not just one slash between two names."""
     parts = F.split(repo, "/")
     good = (F.size(parts) == 2) & (parts[0] != "") & (parts[1] != "")
-    return F.when(good, F.lower(parts[1]))
+    return F.when(good, casefold(parts[1]))
 
 
 def portable_key(seed: int, *parts: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.functions.codes import file_digest
-from loomtally.functions.text import is_blank, normalized, repository_family, text_sha256
+from loomtally.functions.text import casefold, is_blank, normalized, repository_family, text_sha256
 from loomtally.operators.select import character_prefix
 
 AUDIT = "audit string, key string, detail string"
@@ -57,6 +57,19 @@ def ordered_hash(docs: DataFrame, by: str) -> DataFrame:
     return slim.repartition("_by").sortWithinPartitions("_by", "pos").select("_by", "_sha").mapInPandas(fold, f"{by} string, ordered_text_sha256 string")
 
 
+def tree_hash(docs: DataFrame, by: str, leaf: int = 1024, levels: int = 4) -> DataFrame:
+    """by, tree_sha256: the root of a tree of SHA-256 over the texts in order of pos, which many
+    tasks fold. A leaf takes the positions pos div leaf and hashes `pos:hash of the text` of its
+    rows, joined by commas; a node takes `leaf` children and hashes their `number:hash`; the
+    root takes what is left after `levels`, one child for each leaf ** levels positions."""
+    number = lambda c: F.expr(f"floor({c} / {leaf})")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda x: F.concat(x["_at"].cast("string"), F.lit(":"), x["_h"])), ",")
+    nodes = docs.select(by, F.col("pos").cast("long").alias("_at"), text_sha256(F.col("text")).alias("_h"))
+    for _ in range(levels - 1):
+        nodes = nodes.groupBy(by, number("_at").alias("_up")).agg(F.sha2(joined, 256).alias("_h")).select(by, F.col("_up").alias("_at"), "_h")
+    return nodes.groupBy(by).agg(F.sha2(joined, 256).alias("tree_sha256"))
+
+
 def overlaps(docs: DataFrame, by: str) -> DataFrame:
     """Texts that stand in more than one partition: (first, second, texts) for each pair of
     partitions; a text is one row a partition, however often it is repeated."""
@@ -83,10 +96,10 @@ def partition_audit(docs: DataFrame, by: str, names: list[str]) -> DataFrame:
 
 
 def family_audit(metadata: DataFrame, by: str) -> DataFrame:
-    """Families or repositories (lower case) in two partitions, and missing identities."""
+    """Families or repositories (case folded) in two partitions, and missing identities."""
     out = finding(metadata.where("family is null or family = '' or repo is null or repo = ''"), "missing identity", F.col(by), F.col("pos"))
     for column in ("family", "repo"):
-        shared = metadata.groupBy(F.lower(column).alias("k")).agg(F.count_distinct(by).alias("n")).where("n > 1 and k is not null")
+        shared = metadata.groupBy(casefold(F.col(column)).alias("k")).agg(F.count_distinct(by).alias("n")).where("n > 1 and k is not null")
         out = out.unionByName(finding(shared, f"{column} overlap", F.col("k"), F.col("n")))
     return out
 
@@ -105,7 +118,7 @@ def blank_audit(docs: DataFrame) -> DataFrame:
 
 def distinct_counts(metadata: DataFrame, by: str) -> DataFrame:
     """by, repositories, families: distinct names, repositories without regard to case; exact."""
-    return metadata.groupBy(by).agg(F.count_distinct(F.lower("repo")).alias("repositories"), F.count_distinct("family").alias("families"))
+    return metadata.groupBy(by).agg(F.count_distinct(casefold(F.col("repo"))).alias("repositories"), F.count_distinct("family").alias("families"))
 
 
 def metadata_counts_audit(metadata: DataFrame, by: str, recorded: dict[str, dict[str, int]]) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtally.operators.resample import bootstraps
+
 LN2 = math.log(2)
 KEYS = ("sha256", "characters", "utf8_bytes")
 
@@ -39,40 +42,17 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(1e-12 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-8))
 
 
-#: Most units whose numbers are put into the plan; more are joined to the draws.
-UNITS_IN_PLAN = 1 << 18
+def bootstrap(units: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """low, high, units of one comparison (unit, delta, utf8_bytes): see bootstraps."""
+    return bootstraps(units, replicates, seed)
 
 
-def bootstrap(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """low, high: 2.5 and 97.5 percentiles of the ratio of resampled sums in bits per byte.
-
-    units: unit (0, 1, ... without gaps), delta, utf8_bytes; in portable mode draw (r, s) is
-    the unit md5('seed|r|s')[:8] modulo their number. A replicate is a row that draws its units
-    from arrays of them (documents or groups of an evaluation set), so nothing is shuffled;
-    more than UNITS_IN_PLAN units are joined by number instead."""
-    spark = units.sparkSession
-    n = units.count()
-    digits = lambda r, s: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), r.cast("string"), s.cast("string"))), 1, 8)
-    unit = lambda r, s: F.conv(digits(r, s), 16, 10).cast("long") % n
-    if 0 < n <= UNITS_IN_PLAN:
-        rows = units.orderBy("unit").select("delta", "utf8_bytes").toPandas()  # at most UNITS_IN_PLAN rows
-        delta, size = F.lit(rows["delta"].to_numpy(dtype=float)), F.lit(rows["utf8_bytes"].to_numpy(dtype=float))
-        tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: unit(F.col("r"), s).cast("int"))
-        total = lambda of: F.aggregate("_units", F.lit(0.0), lambda a, u: a + F.get(of, u))
-        sums = spark.range(0, replicates, 1, tasks).select(F.col("id").alias("r")).withColumn("_units", drawn).select((total(delta) / total(size) / LN2).alias("v"))
-    else:
-        draws = spark.range(replicates * n).select(F.expr(f"id div {max(1, n)}").alias("r"), (F.col("id") % max(1, n)).alias("s")).select("r", unit(F.col("r"), F.col("s")).alias("unit"))
-        sums = draws.groupBy("r", "unit").agg(F.count(F.lit(1)).alias("m")).hint("merge").join(units, "unit").groupBy("r").agg((F.sum(F.col("m") * F.col("delta")) / F.sum(F.col("m") * F.col("utf8_bytes")) / LN2).alias("v"))
-    return sums.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).withColumn("units", F.lit(n).cast("long"))
-
-
-def group_totals(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """group, delta, utf8_bytes. groups: pos, group; every pair needs one."""
+def group_totals(pairs: DataFrame, groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, group, delta, utf8_bytes. groups: pos, group; every pair needs one."""
     joined = pairs.join(groups, "pos", "left")
     if joined.where("group is null").limit(1).count():
         raise ValueError("a document has no group")
-    return joined.groupBy("group").agg(F.sum("delta").alias("delta"), F.sum("utf8_bytes").alias("utf8_bytes"))
+    return joined.groupBy(*by, "group").agg(F.sum("delta").alias("delta"), F.sum("utf8_bytes").alias("utf8_bytes"))
 
 
 def seed_summary(values: DataFrame) -> DataFrame:

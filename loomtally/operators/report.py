@@ -10,6 +10,7 @@ without one is an error.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from loomtally.functions.codes import identity_hash
 from loomtally.functions.text import portable_key
 from loomtally.operators.audit import finding, require_none
-from loomtally.operators.compare import LN2, bootstrap, group_totals, missing_pairs, seed_summary
+from loomtally.operators.compare import LN2, group_totals, missing_pairs, seed_summary
 from loomtally.operators.ordered import running_before
+from loomtally.operators.resample import bootstraps
 from loomtally.session import durable
 
 ARM = ["regime", "seed", "label"]
@@ -29,10 +31,10 @@ def complete_runs(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'complete'")
 
 
-def numbered(units: DataFrame, key: str) -> DataFrame:
-    """units with unit: 0, 1, ... in a portable pseudorandom order of a key without repeats."""
+def numbered(units: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """units with unit: 0, 1, ... within `by` in a portable pseudorandom order of a key without repeats."""
     keyed = durable(units.withColumn("_k", portable_key(0, F.col(key))).withColumn("_one", F.lit(1)), "units")
-    return durable(running_before(keyed, "_one", ["_k", key], out="unit").drop("_k", "_one"), "numbered-units")
+    return durable(running_before(keyed, "_one", ["_k", key], by, out="unit").drop("_k", "_one"), "numbered-units")
 
 
 def arms_joined(scores: DataFrame) -> DataFrame:
@@ -48,9 +50,9 @@ def arms_joined(scores: DataFrame) -> DataFrame:
     return both.drop("_s", "_b")
 
 
-def interval(pairs: DataFrame, groups: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """low, high, units: group bootstrap of one pair (pos, delta, utf8_bytes)."""
-    return bootstrap(numbered(group_totals(pairs, groups), "group"), replicates, seed)
+def intervals(pairs: DataFrame, groups: DataFrame, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, low, high, units: group bootstraps of all comparisons (by, pos, delta, utf8_bytes), by one plan."""
+    return bootstraps(numbered(group_totals(pairs, groups, by), "group", by), replicates, seed, by)
 
 
 def matrix_report(runs: DataFrame, scores: DataFrame, groups: DataFrame, baselines: DataFrame | None = None, snapshot: str | None = None, replicates: int = 4000, seed: int = 31415) -> DataFrame:
@@ -62,14 +64,11 @@ def matrix_report(runs: DataFrame, scores: DataFrame, groups: DataFrame, baselin
     both = durable(arms_joined(scores.join(done.select(*ARM), ARM, "left_semi")), "matrix")
     bits = lambda c: F.sum(c) / (F.sum("utf8_bytes") * LN2)
     rows = both.groupBy("regime", "seed").agg(bits("fit_nll").alias("fit_bpb"), bits("general_nll").alias("general_bpb")).withColumn("difference", F.col("fit_bpb") - F.col("general_bpb"))
-    intervals = None
-    for r in rows.select("regime", "seed").orderBy("regime", "seed").collect():  # a row for each pair of runs
-        own = both.where((F.col("regime") == r["regime"]) & (F.col("seed") == r["seed"])).select("pos", (F.col("fit_nll") - F.col("general_nll")).alias("delta"), "utf8_bytes")
-        one = interval(own, groups, replicates, seed).select(F.lit(r["regime"]).alias("regime"), F.lit(r["seed"]).alias("seed"), "low", "high", F.col("units").alias("groups"))
-        intervals = one if intervals is None else intervals.unionByName(one)
-    if intervals is None:
+    if not rows.limit(1).count():
         raise ValueError("no pair of complete runs")
-    out = rows.join(intervals, ["regime", "seed"])
+    pair = ["regime", "seed"]
+    deltas = both.select(*pair, "pos", (F.col("fit_nll") - F.col("general_nll")).alias("delta"), "utf8_bytes")
+    out = rows.join(intervals(deltas, groups, replicates, seed, pair).withColumnRenamed("units", "groups"), pair)
     if baselines is not None:
         of = lambda label: F.broadcast(baselines.where(F.col("label") == label).select("regime", F.col("baseline_bpb").alias(f"_{label}")))  # noqa: E731  a row a regime
         out = out.join(of("fit"), "regime", "left").join(of("general"), "regime", "left")
@@ -99,14 +98,10 @@ def replication_report(runs: DataFrame, scores: DataFrame, groups: DataFrame, re
     seen = both.groupBy("regime", "pos").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(F.struct("sha256", "utf8_bytes")).alias("_kinds"), (F.avg("fit_nll") - F.avg("general_nll")).alias("delta"), F.first("utf8_bytes").alias("utf8_bytes"))
     mean = durable(seen.join(expected, "regime"), "seed-means")
     require_none(finding(mean.where("_n <> _seeds or _kinds <> 1"), "evaluation", F.concat_ws("/", "regime", "pos"), F.col("_n")))
-    intervals = None
-    for r in expected.select("regime").orderBy("regime").collect():  # a row a regime
-        own = mean.where(F.col("regime") == r["regime"]).select("pos", "delta", "utf8_bytes")
-        one = interval(own, groups, replicates, seed).select(F.lit(r["regime"]).alias("regime"), "low", "high", F.col("units").alias("groups"))
-        intervals = one if intervals is None else intervals.unionByName(one)
-    if intervals is None:
+    if not expected.limit(1).count():
         raise ValueError("no pair of complete runs")
-    return seed_summary(values).join(intervals, "regime"), missing_pairs(asked, regimes, seeds)
+    found = intervals(mean, groups, replicates, seed, ["regime"]).withColumnRenamed("units", "groups")
+    return seed_summary(values).join(found, "regime"), missing_pairs(asked, regimes, seeds)
 
 
 def sealed(result: dict[str, Any]) -> dict[str, Any]:
@@ -135,7 +130,7 @@ def checkpoint_pair(fit: dict[str, Any], general: dict[str, Any], fit_scores: Da
     both = durable(arms_joined(arm(fit_scores, "fit").unionByName(arm(general_scores, "general"))), "checkpoint-pair")
     bits = lambda c: F.sum(c) / (F.sum("utf8_bytes") * LN2)
     one = both.agg(bits("fit_nll").alias("fit_bpb"), bits("general_nll").alias("general_bpb"))
-    found = interval(both.select("pos", (F.col("fit_nll") - F.col("general_nll")).alias("delta"), "utf8_bytes"), groups, replicates, seed).first()
+    found = intervals(both.select("pos", (F.col("fit_nll") - F.col("general_nll")).alias("delta"), "utf8_bytes"), groups, replicates, seed).first()
     bounds = [F.lit(found[k]).alias(a) for k, a in (("low", "low"), ("high", "high"), ("units", "groups"))]
     difference = F.col("fit_bpb") - F.col("general_bpb")
     return one.select("fit_bpb", "general_bpb", difference.alias("difference"), (-difference / F.col("general_bpb")).alias("relative_improvement"), *bounds)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.functions.codes import BOS, BYTE_VOCABULARY, EOS, PAD
-from loomtally.functions.text import SPACE_RE2, lexemes, portable_key, text_sha256
+from loomtally.functions.text import SPACE_RE2, case_folding, casefold, lexemes, portable_key, text_sha256
 from loomtally.operators import audit, blocks, compare, dedup, score, select, split
 from loomtally.session import durable
 from loomtally.sources.tables import spread, table
@@ -47,6 +47,16 @@ def ordered_hash(spark: SparkSession, folder: str) -> DataFrame:
     return audit.ordered_hash(documents(spark, folder), "lang")
 
 
+def tree_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.tree_hash(documents(spark, folder), "lang")
+
+
+def folded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's hash under full case folding, and whether lowering gives another one."""
+    docs = documents(spark, folder).withColumn("folded", casefold(F.col("text")))
+    return docs.select("doc_id", text_sha256(F.col("folded")).alias("folded_sha256"), (F.col("folded") != F.lower("text")).alias("unlike_lower"))
+
+
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, folder)).withColumnRenamed("pos", "doc_id")
 
@@ -297,7 +307,7 @@ def model_size_search(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        partition_stats, ordered_hash, exact_dedup, whitespace_dedup, select_reasons, candidate_reasons, family_exclusion, document_split, group_split,
+        partition_stats, ordered_hash, tree_hash, folded_texts, exact_dedup, whitespace_dedup, select_reasons, candidate_reasons, family_exclusion, document_split, group_split,
         character_prefix, overlap_audit, shingle_stats, near_dup_pairs, near_dup_classes, near_dup_survivors, anchor_contamination, raw_blocks, block_rollup, chunk_windows,
         rolling_windows, packed_windows, token_counts, top_tokens, vocab_usage, unseen_tokens, unigram_baseline, uniform_baseline, paired_difference,
         document_bootstrap, group_bootstrap, seed_summary, model_size_search,
@@ -307,6 +317,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # -- the same in DuckDB ----------------------------------------------------------------
 
 _NORM = f"trim(regexp_replace(text, '[{SPACE_RE2}]+', ' ', 'g'), ' ')"
+_FOLDED = "translate(text, '{}', '{}')".format("".join(case_folding()[0]), "".join(case_folding()[0].values()))
+for _c, _f in case_folding()[1].items():
+    _FOLDED = f"replace({_FOLDED}, '{_c}', '{_f}')"
 _LEX = rf"regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE_RE2}]')"
 
 
@@ -395,6 +408,9 @@ _WINDOWS = """coded AS (SELECT {key} AS id, list_transform(regexp_extract_all(he
 ORACLES: dict[str, str] = {
     "partition_stats": "SELECT lang, count(*) AS documents, sum(length(text))::bigint AS characters, sum(strlen(text))::bigint AS utf8_bytes FROM documents GROUP BY lang",
     "ordered_hash": """SELECT lang, sha256('["' || string_agg(sha256(text), '","' ORDER BY doc_id) || '"]') AS ordered_text_sha256 FROM documents GROUP BY lang""",
+    "tree_hash": f"""WITH t0 AS (SELECT lang, doc_id AS n, sha256(text) AS h FROM documents), {', '.join(f"t{i} AS (SELECT lang, n // 1024 AS n, sha256(string_agg(n || ':' || h, ',' ORDER BY n)) AS h FROM t{i - 1} GROUP BY lang, n // 1024)" for i in (1, 2, 3))}
+SELECT lang, sha256(string_agg(n || ':' || h, ',' ORDER BY n)) AS tree_sha256 FROM t3 GROUP BY lang""",
+    "folded_texts": f"SELECT doc_id, sha256({_FOLDED}) AS folded_sha256, {_FOLDED} <> lower(text) AS unlike_lower FROM documents",
     "exact_dedup": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "whitespace_dedup": f"SELECT sha256({_NORM}) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "select_reasons": _reasons("SELECT * FROM documents", "CASE WHEN length(text) NOT BETWEEN 200 AND 20000 THEN 'outside_size_bounds' WHEN lang <> 'en' THEN 'non_python_path' END", "exact_duplicates", "whitespace_duplicates", None),

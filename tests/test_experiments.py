@@ -88,13 +88,44 @@ def test_costs_in_the_plan_and_by_a_join_agree(spark, monkeypatch):
     assert {r["pos"]: r["nll_nats"] for r in score.unigram_nll(train, held, BYTE_VOCABULARY, eos=EOS).collect()} == pytest.approx(one)
 
 
-def test_bootstrap_in_the_plan_and_by_a_join_agree(spark, monkeypatch):
+def plain_interval(units, replicates, seed, block):
+    """low, high by a loop over all draws; units: (delta, bytes) in order."""
+    import numpy as np
+    from loomtally.operators.resample import block_draws, draws
+
+    values = []
+    for r in range(replicates):
+        d = b = 0.0
+        for k, n in enumerate(block_draws(len(units), block, r, seed)):
+            part = units[k * block : (k + 1) * block]
+            for u in draws(int(n), len(part), k, r, seed):
+                d, b = d + part[u][0], b + part[u][1]
+        values.append(d / b / math.log(2))
+    return np.percentile(values, 2.5), np.percentile(values, 97.5)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_bootstraps_of_many_comparisons_equal_plain_loops(spark, block):
+    from loomtally.operators.resample import block_draws, bootstraps
+
     rnd = random.Random(5)
-    units = spark.createDataFrame([(i, rnd.random() - 0.3, rnd.randrange(5, 50)) for i in range(30)], "unit long, delta double, utf8_bytes long")
-    one = compare.bootstrap(units, 60, 9).first()
-    monkeypatch.setattr(compare, "UNITS_IN_PLAN", 5)
-    two = compare.bootstrap(units, 60, 9).first()
-    assert (one["low"], one["high"], one["units"]) == (pytest.approx(two["low"]), pytest.approx(two["high"]), 30)
+    sets = {("a", 1): 30, ("b", None): 30, ("b", 2): 11, ("c", 3): 1}
+    units = {k: [(rnd.random() - 0.3, rnd.randrange(5, 50)) for _ in range(n)] for k, n in sets.items()}
+    rows = [(*k, i, d, b) for k, of in units.items() for i, (d, b) in enumerate(of)]
+    got = bootstraps(spark.createDataFrame(rows, "name string, seed long, unit long, delta double, utf8_bytes long"), 60, 9, ["name", "seed"], block).collect()
+    assert {(r["name"], r["seed"]): r["units"] for r in got} == sets
+    for r in got:
+        low, high = plain_interval(units[r["name"], r["seed"]], 60, 9, block)
+        assert (r["low"], r["high"]) == (pytest.approx(low), pytest.approx(high))
+    assert block_draws(30, 7, 3, 9).sum() == 30 and len(block_draws(30, 7, 3, 9)) == 5
+
+
+def test_bootstrap_of_nothing_and_of_one_comparison(spark):
+    none = spark.createDataFrame([], "unit long, delta double, utf8_bytes long")
+    assert tuple(compare.bootstrap(none, 10, 1).first()) == (None, None, 0)
+    one = spark.createDataFrame([(0, 1.0, 2), (1, -1.0, 2)], "unit long, delta double, utf8_bytes long")
+    row = compare.bootstrap(one, 50, 1).first()
+    assert row["units"] == 2 and -0.5 / math.log(2) <= row["low"] <= row["high"] <= 0.5 / math.log(2)
 
 
 def test_diagnosis_of_real_vocabularies(spark):
@@ -255,6 +286,6 @@ def test_scored_once_audit(spark):
 
 def test_long_chains_are_resolved(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(12)], "earlier long, later long")
-    from loomtally.operators.dedup import resolve_greedy
+    from loomtally.operators.greedy import resolve_greedy
 
     assert {r["pos"]: r["kept"] for r in resolve_greedy(spark.range(13).withColumnRenamed("id", "pos"), pairs).collect()} == {i: i % 2 == 0 for i in range(13)}

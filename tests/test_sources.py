@@ -30,6 +30,75 @@ def test_snapshot_round_trip_and_tampering(spark, texts, tmp_path):
         snapshot.load(spark, path)
 
 
+def rewritten(spark, path, partition, change):
+    """The Parquet files of a partition with other rows in files of the old names."""
+    import pathlib
+    import shutil
+
+    folder = pathlib.Path(path.removeprefix("file://")) / "texts" / f"partition={partition}"
+    rows = change(spark.createDataFrame(spark.read.parquet(str(folder)).collect(), "pos long, text string, sha256 string"))
+    old = sorted(folder.glob("*.parquet"))
+    rows.coalesce(1).write.parquet(f"{path}-other")
+    new = next(pathlib.Path(f"{path}-other".removeprefix("file://")).glob("*.parquet"))
+    for file in old[1:]:
+        file.unlink()
+    shutil.copy(new, old[0])
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+
+
+@pytest.mark.parametrize("change", [lambda d: d.where("pos <> 2"), lambda d: d.withColumn("pos", -F.col("pos")), lambda d: d.withColumn("text", F.concat("text", F.lit("!"))).withColumn("sha256", F.sha2("text", 256))])
+def test_a_changed_partition_is_refused_and_only_where_it_is_read(spark, texts, tmp_path, change):
+    path = f"file://{tmp_path}/snap"
+    snapshot.publish(spark, path, texts, {"target": "t"}, 60)
+    rewritten(spark, path, "train", change)
+    with pytest.raises(ValueError, match="file: texts/train/"):
+        snapshot.load_diagnostics(spark, path)
+    other = f"file://{tmp_path}/whole"
+    snapshot.publish(spark, other, texts, {"target": "t"}, 60)
+    rewritten(spark, other, "test", change)
+    assert snapshot.load_diagnostics(spark, other).count() == 8  # the sealed test texts are not opened
+    with pytest.raises(ValueError, match="file: texts/test/"):
+        snapshot.load(spark, other)
+
+
+def test_rows_are_authenticated_beside_files(spark, texts, tmp_path):
+    path = f"file://{tmp_path}/snap"
+    manifest = snapshot.publish(spark, path, texts, {"target": "t"}, 60)
+    rewritten(spark, path, "train", lambda d: d.where("pos <> 2"))
+    digests = spark.createDataFrame(snapshot.file_digests(spark, path, "texts", snapshot.PARTITIONS).collect(), snapshot.DIGESTS)
+    digests.write.mode("overwrite").parquet(f"{path}/digests")
+    with pytest.raises(ValueError, match="digests: texts/train"):
+        snapshot.load_diagnostics(spark, path)
+    forged = {k: v for k, v in manifest.items() if k != "snapshot_sha256"} | {"files": snapshot.digest_totals(digests)}
+    snapshot.write_json(spark, f"{path}/manifest.json", forged | {"snapshot_sha256": snapshot.canonical_hash(forged)})
+    with pytest.raises(ValueError, match="statistics"):
+        snapshot.load_diagnostics(spark, path)
+
+
+def test_recorded_names_are_checked(spark, texts, tmp_path, monkeypatch):
+    own = texts.where("partition <> 'general'")
+    meta = own.select("partition", "pos", F.sha2("text", 256).alias("sha256"), F.concat("partition", F.lit("/"), "partition", "pos").alias("repo"), F.concat("partition", "pos").alias("family"))
+    path = f"file://{tmp_path}/snap"
+    manifest = snapshot.publish(spark, path, texts, {"target": "t"}, 60, meta)
+    assert manifest["names"]["train"] == {"repositories": 4, "families": 4} and snapshot.load(spark, path)[1] == manifest
+    wrong = {k: v for k, v in manifest.items() if k != "snapshot_sha256"} | {"names": manifest["names"] | {"test": {"repositories": 3, "families": 4}}}
+    snapshot.write_json(spark, f"{path}/manifest.json", wrong | {"snapshot_sha256": snapshot.canonical_hash(wrong)})
+    with pytest.raises(ValueError, match="counts: test"):
+        snapshot.load(spark, path)
+
+
+def test_a_tree_of_hashes_tells_every_change(spark):
+    from loomtally.operators.audit import tree_hash
+
+    rows = [("a", i, f"t{i}") for i in range(50)] + [("b", 5_000_000_000, "x")]
+    root = lambda some: {r[0]: r[1] for r in tree_hash(spark.createDataFrame(some, "p string, pos long, text string"), "p", leaf=4).collect()}
+    whole = root(rows)
+    assert root(rows[::-1]) == whole
+    for other in (rows[:7] + rows[8:], [("a", 50, "t0"), *rows[1:]], [("a", 0, "t1"), ("a", 1, "t0"), *rows[2:]]):
+        assert root(other)["a"] != whole["a"] and root(other)["b"] == whole["b"]
+
+
 def test_publish_refuses_overlap_and_short_budgets(spark, texts, tmp_path):
     shared = texts.unionByName(texts.where("partition = 'train' and pos = 0").withColumn("partition", F.lit("test")).withColumn("pos", F.lit(9).cast("long")))
     with pytest.raises(ValueError):

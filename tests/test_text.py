@@ -49,3 +49,15 @@ def test_family_and_bytes(spark):
 def test_two_json_identities_differ():
     value = {"b": "é", "a": 1}
     assert codes.canonical_hash(value) != codes.identity_hash(value)
+
+
+def test_case_folding_is_pythons_for_every_code_point(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(every[i : i + 4096]),) for i in range(0, len(every), 4096)] + [("ASCII Only",), ("Straße ŉ ﬃ İ",), (None,)], "t string")
+    for t, folded in rows.select("t", text.casefold(F.col("t"))).collect():
+        assert folded == (None if t is None else t.casefold())
+
+
+def test_families_are_folded(spark):
+    rows = spark.createDataFrame([("Owner/STRASSE",), ("o/Straße",), ("o/a/b",), ("/x",), (None,)], "r string")
+    assert [x[0] for x in rows.select(text.repository_family(F.col("r"))).collect()] == ["strasse", "strasse", None, None, None]
