@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from loomtally.operators.ordered import running_before
 from loomtally.session import durable
@@ -74,12 +80,57 @@ def chunk_windows(tokens: DataFrame, length: int, bos: int) -> DataFrame:
 
 def rolling_windows(tokens: DataFrame, length: int, bos: int) -> DataFrame:
     """pos, win, inputs, label: one window for each target, with up to `length` inputs that
-    end right before it; only the target is scored. A window is cut when its row is made."""
+    end right before it; only the target is scored. A window is cut when its row is made: for
+    windows as rows; what only reads them takes over_rolling."""
     i = F.col("win")
     inputs = F.when(i < length, F.concat(F.array(F.lit(bos)), F.slice("token_ids", 1, i))).otherwise(F.slice("token_ids", i - length + 1, length))
     return tokens.where(F.size("token_ids") > 0).select("pos", "token_ids", F.posexplode("token_ids").alias("win", "label")).select("pos", i.cast("long").alias("win"), inputs.alias("inputs"), "label")
 
 
+@dataclass(frozen=True)
+class RollingViews:
+    """A document's rolling windows as views of one buffer of its tokens behind bos: window w holds
+    buffer[starts[w]:ends[w]], and its target is labels[w]."""
+
+    buffer: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, length: int, bos: int) -> RollingViews:
+        ends = np.arange(1, len(ids) + 1)
+        return cls(np.concatenate([[bos], ids]).astype(np.int64), np.maximum(0, ends - length), ends)
+
+    @property
+    def labels(self) -> np.ndarray:
+        return self.buffer[1:]
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def inputs(self, first: int, end: int) -> list[np.ndarray]:
+        """The inputs of some windows, not copied."""
+        return [self.buffer[a:b] for a, b in zip(self.starts[first:end].tolist(), self.ends[first:end].tolist(), strict=True)]
+
+
+def over_rolling(tokens: DataFrame, length: int, bos: int, make: Callable[[], Callable[[RollingViews], Sequence]], schema: str) -> DataFrame:
+    """pos and what a function gives of each document's rolling windows (columns of schema). make()
+    builds the function once in each task. Tokens come in Arrow batches and windows are views of
+    them: none is copied, and none is a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = make()
+        for batch in batches:
+            lists = batch.column("token_ids")
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(x or 0 for x in pc.list_value_length(lists).to_pylist())])
+            rows = [fold(RollingViews.of(values[a:b], length, bos)) for a, b in itertools.pairwise(ends.tolist())]
+            made = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), *[pa.array(list(c), to_arrow_type(k.dataType)) for c, k in zip(made, kinds, strict=True)]], names=["pos", *[k.name for k in kinds]])
+
+    kinds = [k for k in StructType.fromDDL(schema).fields]
+    return tokens.where(F.size("token_ids") > 0).select("pos", "token_ids").mapInArrow(run, f"pos {tokens.schema['pos'].dataType.simpleString()}, {schema}")
+
+
 def packed_stream(tokens: DataFrame, bos: int | None, eos: int | None) -> DataFrame:
     """at, ids: runs of the stream bos, then each document's tokens and eos, in order of pos,
     with the place of their first token; a control that is None is left out. Places come from

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomtally.functions.text import text_sha256
 from loomtally.operators.blocks import raw_blocks
 from loomtally.operators.compare import paired, paired_difference
-from loomtally.operators.score import histograms, score_counts, token_counts, unseen_tokens, vocabulary_usage
+from loomtally.operators.score import histograms, score_counts, token_counts, unseen_of, vocabulary_usage
 from loomtally.operators.ordered import running_before
 from loomtally.session import durable
 
@@ -33,6 +33,13 @@ def _segments(docs: DataFrame, segmentation: str, block_bytes: int) -> tuple[Dat
     return named.select("pos", "text"), named.select("pos", "parent")
 
 
+def _learned(docs: DataFrame, segmentation: str, block_bytes: int) -> DataFrame:
+    """Segments to be counted only: their positions tell nothing."""
+    if segmentation == "whole_documents":
+        return docs.select("pos", "text")
+    return raw_blocks(docs, block_bytes).select(F.monotonically_increasing_id().alias("pos"), F.col("block").alias("text"))
+
+
 def _of_documents(scores: DataFrame, parents: DataFrame, docs: DataFrame) -> DataFrame:
     """Segments' scores summed to their documents, zeros for those without any."""
     sums = scores.join(parents, "pos").groupBy(F.col("parent").alias("_p")).agg(*[F.sum(c).alias(c) for c in ("nll_nats", "uniform_nats", "text_tokens", "scored_tokens")])
@@ -48,14 +55,14 @@ def diagnose(train: DataFrame, evaluation: DataFrame, arms: dict[str, Encoder],
     arms, fit and general, share the vocabulary's size."""
     scores, usage, differences = [], [], []
     for segmentation in SEGMENTATIONS:
-        learn, _ = _segments(train, segmentation, block_bytes)
+        learn = _learned(train, segmentation, block_bytes)
         judged, parents = _segments(evaluation, segmentation, block_bytes)
         parts = {}
         for label in ("fit", "general"):
-            coded, held = durable(histograms(arms[label](learn)), "training-tokens"), durable(histograms(arms[label](judged)), "evaluation-tokens")
-            parts[label] = durable(_of_documents(score_counts(token_counts(coded), held, vocab_size), parents, evaluation), "arm")
+            counts, held = durable(token_counts(arms[label](learn)), "training-counts"), durable(histograms(arms[label](judged)), "evaluation-tokens")
+            parts[label] = durable(_of_documents(score_counts(counts, held, vocab_size), parents, evaluation), "arm")
             used = vocabulary_usage(held, vocab_size, controls)
-            lacks = unseen_tokens(coded, held).first()
+            lacks = unseen_of(counts, token_counts(held)).first()
             usage.append(used.select(F.lit(label).alias("label"), F.lit(segmentation).alias("segmentation"), "*", *[F.lit(lacks[k]).alias(k) for k in ("unseen_ids", "unseen_tokens", "unseen_fraction")]))
         for baseline, nll in (("uniform", "uniform_nats"), ("unigram", "nll_nats")):
             one = {k: p.select("pos", "sha256", "characters", "utf8_bytes", F.col(nll).alias("nll_nats"), "text_tokens") for k, p in parts.items()}

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from loomtally.functions.codes import identity_hash
 from loomtally.operators.audit import require_none, scored_once_audit
-from loomtally.operators.blocks import chunk_windows, rolling_windows
+from loomtally.operators.blocks import chunk_windows
 from loomtally.operators.diagnose import _segments
 from loomtally.operators.report import require_sealed, sealed
-from loomtally.operators.score import LN2, Scorer, score_windows
+from loomtally.operators.score import LN2, Scorer, score_rolling, score_windows
 from loomtally.session import durable
 from loomtally.sources.snapshot import exists, read_json, write_json
 
@@ -50,8 +50,7 @@ def evaluate(docs: DataFrame, encode: Callable[[DataFrame], DataFrame], make: Ca
     coded = durable(encode(segments), "evaluation-tokens")
     if mode == "raw" and coded.where(F.size("token_ids") > context).limit(1).count():
         raise ValueError("a block has more tokens than the context holds")
-    windows = chunk_windows(coded, context, bos) if policy == "chunks" else rolling_windows(coded, context, bos).withColumn("labels", F.array("label"))
-    scored = durable(score_windows(windows, make), "scored")
+    scored = durable(score_windows(chunk_windows(coded, context, bos), make) if policy == "chunks" else score_rolling(coded, context, bos, make), "scored")
     require_none(scored_once_audit(coded.where(F.size("token_ids") > 0).select("pos", F.size("token_ids").cast("long").alias("n")), scored))
     sums = scored.join(parents, "pos").groupBy(F.col("parent").alias("_p")).agg(F.sum("nll_nats").alias("nll_nats"), F.sum("scored_tokens").alias("scored_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtally.operators.blocks import RollingViews, over_rolling
+from loomtally.operators.encode import encoded_once
 from loomtally.session import durable
 
 LN2 = math.log(2)
@@ -71,33 +73,25 @@ def histograms(encoded: DataFrame) -> DataFrame:
         return encoded
     kept = [f for f in encoded.schema.fields if f.name != "token_ids"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(np.asarray(ids, dtype=np.int64), return_counts=True) for ids in batch["token_ids"]]
-            out = batch.drop(columns=["token_ids"])
-            out["histogram"] = [[{"token": int(t), "m": int(m)} for t, m in zip(*x, strict=True)] for x in made]
-            yield out
+            lists = batch.column("token_ids")
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            # a document and a token in one number, counted at once for the batch
+            low, span = (int(values.min()), int(values.max()) - int(values.min()) + 1) if len(values) else (0, 1)
+            cells, counts = np.unique(doc * span + values - low, return_counts=True)
+            entries = pa.StructArray.from_arrays([pa.array((cells % span + low).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["token", "m"])
+            ends = np.searchsorted(cells, np.arange(len(lists) + 1) * span).astype(np.int32)
+            columns = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), entries)], names=[*[f.name for f in kept], "histogram"])
 
-    return encoded.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", histogram array<struct<token:int,m:bigint>>")
+    return encoded.select(*[f"`{f.name}`" for f in kept], "token_ids").mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "histogram array<struct<token:int,m:bigint>>")
 
 
-def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
+def encoded_documents(docs: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
     """The same for a tokenizer file of the tokenizers library; literal special strings are text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].tolist()]
-            ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            for t, i in zip(texts, ids, strict=True):
-                if t and not i:
-                    raise ValueError("a text that is not empty has no tokens")
-            yield pd.DataFrame({"pos": batch["pos"], "characters": [len(t) for t in texts], "utf8_bytes": [len(t.encode()) for t in texts], "token_ids": ids})
-
-    return docs.select("pos", "text").mapInPandas(run, "pos long, characters long, utf8_bytes long, token_ids array<int>")
+    return encoded_once(docs, path, tuple(keep))
 
 
 def lossless(docs: DataFrame, path: str) -> DataFrame:
@@ -216,8 +210,13 @@ def top_tokens(encoded: DataFrame, k: int = 20) -> DataFrame:
 
 def unseen_tokens(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """unseen_ids, unseen_tokens, fraction of the evaluation's tokens that training lacks."""
-    seen = token_counts(train).select("token", F.lit(1).alias("_seen"))
-    marked = token_counts(evaluation).join(seen, "token", "left")
+    return unseen_of(token_counts(train), token_counts(evaluation))
+
+
+def unseen_of(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """The same, from counts (token, count)."""
+    seen = train.select("token", F.lit(1).alias("_seen"))
+    marked = evaluation.join(seen, "token", "left")
     gone = F.col("_seen").isNull()
     unseen = F.coalesce(F.sum(F.when(gone, F.col("count"))), F.lit(0))
     return marked.agg(F.count(F.when(gone, 1)).alias("unseen_ids"), unseen.alias("unseen_tokens"), (unseen / F.sum("count")).alias("unseen_fraction"))
@@ -229,6 +228,32 @@ class Scorer(Protocol):
     def __call__(self, inputs: list[list[int]], labels: list[list[int]]) -> list[float]: ...
 
 
+#: Rolling windows that a scorer is given at a time.
+WINDOWS_AT_ONCE = 4096
+
+
+def score_rolling(tokens: DataFrame, length: int, bos: int, make: Callable[[], Scorer]) -> DataFrame:
+    """pos, nll_nats, scored_tokens of documents (pos, token_ids) whose tokens are each scored behind
+    up to `length` others. Windows are views of a document's tokens and never rows."""
+
+    def folder() -> Callable[[RollingViews], tuple[float, int]]:
+        scorer = make()
+
+        def fold(views: RollingViews) -> tuple[float, int]:
+            total = 0.0
+            for first in range(0, len(views), WINDOWS_AT_ONCE):
+                end = min(len(views), first + WINDOWS_AT_ONCE)
+                nll = scorer([x.tolist() for x in views.inputs(first, end)], [[x] for x in views.labels[first:end].tolist()])
+                if not all(math.isfinite(x) for x in nll):
+                    raise ValueError("a cost is not finite")
+                total = math.fsum([total, *nll])
+            return total, len(views)
+
+        return fold
+
+    return over_rolling(tokens, length, bos, folder, "nll_nats double, scored_tokens long")
+
+
 def score_windows(windows: DataFrame, make: Callable[[], Scorer]) -> DataFrame:
     """pos, nll_nats, scored_tokens from windows (pos, inputs, labels). make() builds the
     scorer once in each task; costs are summed in double precision."""

@@ -72,6 +72,10 @@ def candidate_reasons(rows: DataFrame, references: DataFrame, min_chars: int = 2
     )
 
 
+class TooFew(ValueError):
+    """The rows hold less than is asked for."""
+
+
 def scan_until(reasons: DataFrame, max_docs: int | None = None, max_scanned: int | None = None) -> DataFrame:
     """The rows of pos, reason that a scan reads that stops once max_docs are selected or
     max_scanned are read. Raises if max_docs are not reached."""
@@ -83,7 +87,7 @@ def scan_until(reasons: DataFrame, max_docs: int | None = None, max_scanned: int
         seen = seen.where(F.col("_read") < max_scanned)
     out = seen.select("pos", "reason")
     if max_docs is not None and (got := out.where("reason = 'selected'").count()) < max_docs:
-        raise ValueError(f"only {got} acceptable rows, {max_docs} asked for")
+        raise TooFew(f"only {got} acceptable rows, {max_docs} asked for")
     return out
 
 
@@ -92,7 +96,7 @@ def until_characters(rows: DataFrame, budget: int) -> DataFrame:
     sized = rows.withColumn("_chars", F.length("text").cast("long"))
     out = running_before(sized, "_chars", ["pos"], out="_before").where(F.col("_before") < budget).drop("_before")
     if (out.agg(F.sum("_chars")).first()[0] or 0) < budget:
-        raise ValueError(f"fewer than {budget} characters")
+        raise TooFew(f"fewer than {budget} characters")
     return out.drop("_chars")
 
 
@@ -103,7 +107,7 @@ def character_prefix(rows: DataFrame, budget: int, strict: bool = True) -> DataF
         raise ValueError("the budget must be positive")
     sized = rows.withColumn("_chars", F.length("text").cast("long"))
     if strict and (sized.agg(F.sum("_chars")).first()[0] or 0) < budget:
-        raise ValueError(f"fewer than {budget} characters")
+        raise TooFew(f"fewer than {budget} characters")
     return (
         running_before(sized, "_chars", ["pos"], out="_before")
         .where((F.col("_before") < budget) & (F.col("_chars") > 0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtally.functions.codes import BOS, BYTE_VOCABULARY, EOS
 from loomtally.functions.text import is_blank, text_sha256
-from loomtally.operators import audit, blocks, compare, diagnose, evaluate, exposure, report, score, select
+from loomtally.operators import audit, blocks, compare, diagnose, early, evaluate, exposure, report, score, select
 from loomtally.plans.registry import _BYTES, _FAMILIES, _NORM, _R, _WINDOWS, BLOCK_BYTES, CONTEXT, REPLICATES, _arms, _families, _key, _rounded, _scores, documents, heavy_documents
 from loomtally.session import durable, scratch_path
 from loomtally.sources.tables import table
@@ -224,6 +224,15 @@ def scan_stop(spark: SparkSession, folder: str) -> DataFrame:
     return select.scan_until(select.file_reasons(files), max(1, n // 3), max(1, n // 2)).groupBy("reason").agg(F.count(F.lit(1)).alias("documents"), F.max("pos").alias("last_doc"))
 
 
+def early_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the files of the table, in growing slices."""
+    files = early.OrderedFiles.of(spark, f"{folder}/documents.parquet", "doc_id")
+    n = table(spark, folder, "documents").count()
+    shape = lambda rows: rows.select(F.col("doc_id").alias("pos"), "text", F.lit("a.py").alias("path"), F.col("source").alias("family"))
+    found = early.scan_files(files, shape, max(1, n // 3), max(1, n // 2))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("documents"), F.max("pos").alias("last_doc"))
+
+
 def characters_stop(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents in order until a third of all characters are read."""
     docs = documents(spark, folder)
@@ -246,7 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         exposure_replay, exposure_unigram, completed_characters, flat_windows, fertility, tokenizer_diagnosis, diagnosis_usage, scorer_evaluation, matrix_report, replication_report,
-        checkpoint_pair, blank_texts, distinct_counts, partition_audit, family_audit, disjoint_audit, scan_stop, characters_stop, close_totals,
+        checkpoint_pair, blank_texts, distinct_counts, partition_audit, family_audit, disjoint_audit, scan_stop, early_scan, characters_stop, close_totals,
     )
 }
 
@@ -363,3 +372,4 @@ f AS (SELECT 'family overlap' AS audit, count(*) AS findings FROM kept WHERE sou
   UNION ALL SELECT 'text overlap', count(*) FROM kept WHERE {_NORM} IN (SELECT {_NORM} FROM documents WHERE lang <> 'en'))
 SELECT audit, findings FROM f WHERE findings > 0""",
 }
+ORACLES["early_scan"] = ORACLES["scan_stop"]

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.functions.codes import BOS, BYTE_VOCABULARY, EOS, PAD
 from loomtally.functions.text import SPACE_RE2, case_folding, casefold, lexemes, portable_key, text_sha256
-from loomtally.operators import audit, blocks, compare, dedup, score, select, split
-from loomtally.session import durable
+from loomtally.operators import audit, blocks, compare, dedup, encode, reference_index, score, select, split
+from loomtally.session import durable, scratch_path
 from loomtally.sources.tables import spread, table
 
 BLOCK_BYTES, CONTEXT, SHORT, THRESHOLD = 128, 128, 2000, Fraction(17, 20)
@@ -167,6 +168,14 @@ def anchor_contamination(spark: SparkSession, folder: str) -> DataFrame:
     return state.join(rejected, "pos", "left").select(F.col("pos").alias("doc_id"), "kept", "retained", F.round("jaccard", _R).alias("jaccard"), "anchor_is_reference")
 
 
+def anchor_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, asked of an index of the passages that is written before."""
+    path = scratch_path(spark, "reference-index")
+    reference_index.build(table(spark, folder, "benchmark").select((-1 - F.col("item_id")).alias("pos"), "text"), path, THRESHOLD, buckets=8)
+    state, rejected = reference_index.ReferenceIndex(spark, path).filter(heavy_documents(spark, folder).select("pos", "text"))
+    return state.join(rejected, "pos", "left").select(F.col("pos").alias("doc_id"), "kept", "retained", F.round("jaccard", _R).alias("jaccard"), "anchor_is_reference")
+
+
 # -- blocks and windows ----------------------------------------------------------------
 
 
@@ -191,12 +200,24 @@ def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def rolling_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Rolling windows of CONTEXT over all documents: what each document's hold."""
-    made = blocks.rolling_windows(score.byte_documents(heavy_documents(spark, folder)), CONTEXT, BOS)
-    inputs = F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x)
-    each = made.select("pos", "win", F.size("inputs").alias("context"), "label", inputs.alias("sum"))
-    return each.groupBy(F.col("pos").alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("windows"), F.sum("context").alias("context"), F.sum(F.col("label") * (F.col("win") + 1)).alias("labels"), F.sum(F.col("sum") * (F.col("win") % 1000 + 1)).alias("inputs")
-    )
+
+    def fold(views: blocks.RollingViews) -> tuple[int, int, int, int]:
+        sums, win = np.concatenate([[0], np.cumsum(views.buffer)]), np.arange(len(views))
+        inputs = (sums[views.ends] - sums[views.starts]) * (win % 1000 + 1)
+        return len(views), int((views.ends - views.starts).sum()), int((views.labels * (win + 1)).sum()), int(inputs.sum())
+
+    coded = score.byte_documents(heavy_documents(spark, folder))
+    return blocks.over_rolling(coded, CONTEXT, BOS, lambda: fold, "windows long, context long, labels long, inputs long").withColumnRenamed("pos", "doc_id")
+
+
+def encoded_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by a public vocabulary, each distinct pretoken once, and decoded."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = durable(encode.encoded_once(heavy_documents(spark, folder), path), "encoded")
+    back = encode.decoded(coded, path).select(F.col("pos").alias("doc_id"), text_sha256(F.col("decoded")).alias("decoded_sha256"))
+    return coded.select(F.col("pos").alias("doc_id"), "characters", "utf8_bytes").join(back, "doc_id")
 
 
 def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,8 +329,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         partition_stats, ordered_hash, tree_hash, folded_texts, exact_dedup, whitespace_dedup, select_reasons, candidate_reasons, family_exclusion, document_split, group_split,
-        character_prefix, overlap_audit, shingle_stats, near_dup_pairs, near_dup_classes, near_dup_survivors, anchor_contamination, raw_blocks, block_rollup, chunk_windows,
-        rolling_windows, packed_windows, token_counts, top_tokens, vocab_usage, unseen_tokens, unigram_baseline, uniform_baseline, paired_difference,
+        character_prefix, overlap_audit, shingle_stats, near_dup_pairs, near_dup_classes, near_dup_survivors, anchor_contamination, anchor_index, raw_blocks, block_rollup, chunk_windows,
+        rolling_windows, encoded_roundtrip, packed_windows, token_counts, top_tokens, vocab_usage, unseen_tokens, unigram_baseline, uniform_baseline, paired_difference,
         document_bootstrap, group_bootstrap, seed_summary, model_size_search,
     )
 }
@@ -386,7 +407,7 @@ n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s::varchar, ',' ORDER BY s))
 def _near(source: str, first: str, order: str, free: str = "true") -> str:
     """m: doc_id, n, rep; p: pairs between the first documents of classes of equal sets."""
     return f"""{_sets(source)},
-m AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY key ORDER BY {first}) AS rep FROM n),
+m AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY key, doc_id >= 0 ORDER BY {first}) AS rep FROM n),
 f AS (SELECT s FROM sh JOIN m USING (doc_id) WHERE doc_id = rep GROUP BY s HAVING count(*) > 1),
 q AS (SELECT doc_id, s, n FROM sh JOIN f USING (s) JOIN m USING (doc_id) WHERE doc_id = rep),
 o AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
@@ -462,6 +483,7 @@ SELECT id AS doc_id, win, len(ids[win * {CONTEXT} + 1:(win + 1) * {CONTEXT}]) AS
 w AS (SELECT id, unnest(range(len(ids))) AS win, unnest(ids) AS label, unnest([{BOS}] || ids[:len(ids) - 1]) AS x FROM coded WHERE len(ids) > 0),
 e AS (SELECT id, win, label, count(*) OVER f AS context, sum(x) OVER f AS s FROM w WINDOW f AS (PARTITION BY id ORDER BY win ROWS BETWEEN {CONTEXT - 1} PRECEDING AND CURRENT ROW))
 SELECT id AS doc_id, count(*) AS windows, sum(context)::bigint AS context, sum(label * (win + 1))::bigint AS labels, sum(s * (win % 1000 + 1))::bigint AS inputs FROM e GROUP BY id""",
+    "encoded_roundtrip": "SELECT doc_id, length(text) AS characters, strlen(text) AS utf8_bytes, sha256(text) AS decoded_sha256 FROM documents",
     "packed_windows": f"""WITH {_WINDOWS.format(key='doc_id', table='documents')},
 s AS (SELECT 0::bigint AS g, {BOS} AS token UNION ALL
   SELECT row_number() OVER (ORDER BY id, i), token FROM (SELECT id, unnest(range(len(ids) + 1)) AS i, unnest(ids || [{EOS}]) AS token FROM coded)),
@@ -503,3 +525,4 @@ ORDER BY abs(4096 * d + 512 * d + 8 * (12 * d * d + 13 * d) + 2 * d - 40000000),
   SELECT doc_id, n + 1, substr(rest, list_max(list_filter(range(1, {BLOCK_BYTES + 1}), lambda x: strlen(substr(rest, 1, x)) <= {BLOCK_BYTES})) + 1) FROM cut WHERE rest <> '')
 SELECT doc_id, max(n) AS blocks, any_value(length(text)) AS characters, any_value(strlen(text)) AS utf8_bytes, true AS matches FROM cut JOIN documents d USING (doc_id) GROUP BY doc_id""",
 }
+ORACLES["anchor_index"] = ORACLES["anchor_contamination"]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -127,20 +128,31 @@ def test_windows(spark):
 
 
 def test_baselines(spark):
-    train, held = score.byte_documents(frame(spark, ["aaa", "b"])), score.byte_documents(frame(spark, ["az", ""]))
-    got = {r["pos"]: r for r in score.unigram_nll(train, held, BYTE_VOCABULARY).collect()}
-    assert got[0]["nll_nats"] == pytest.approx(-math.log(4 / 263) - math.log(1 / 263)) and got[1]["nll_nats"] == 0
-    ends = {r["pos"]: r for r in score.unigram_nll(train, held, BYTE_VOCABULARY, eos=EOS).collect()}
-    assert ends[1]["scored_tokens"] == 1 and ends[1]["nll_nats"] == pytest.approx(-math.log(3 / 265))
+    import numpy as np
+
+    learned, judged = ["moss moss", "fern", "", "lichen on bark"], ["moss", "", "oak!", None]
+    train, held = score.byte_documents(frame(spark, learned)), score.byte_documents(frame(spark, judged))
+    seen = Counter(b for t in learned for b in t.encode())
+    for alpha in (0.25, 1.0, 3.5):
+        for eos in (None, EOS):
+            counts = seen + (Counter({eos: len(learned)}) if eos is not None else Counter())
+            total = sum(counts.values()) + alpha * BYTE_VOCABULARY
+            got = {r["pos"]: r for r in score.unigram_nll(train, held, BYTE_VOCABULARY, alpha, eos).collect()}
+            for pos, text in enumerate(judged):
+                ids = [*(text or "").encode(), *([] if eos is None else [eos])]
+                assert got[pos]["nll_nats"] == pytest.approx(-sum(math.log((counts[i] + alpha) / total) for i in ids))
+                assert (got[pos]["scored_tokens"], got[pos]["text_tokens"]) == (len(ids), len((text or "").encode()))
     total = score.summarize(score.unigram_nll(train, held, BYTE_VOCABULARY), "uniform_nats").first()
-    assert total["bits_per_utf8_byte"] == pytest.approx(math.log2(259)) and total["document_count"] == 2
-    for alpha in (0, -1, math.inf, math.nan):
+    assert total["bits_per_utf8_byte"] == pytest.approx(math.log2(BYTE_VOCABULARY)) and total["document_count"] == len(judged)
+    for bad in (-0.5, 0.0, -math.inf, float("nan")):
         with pytest.raises(ValueError):
-            score.unigram_nll(train, held, BYTE_VOCABULARY, alpha)
+            score.unigram_nll(train, held, BYTE_VOCABULARY, bad)
     used = score.vocabulary_usage(train, BYTE_VOCABULARY, (BOS, EOS)).first()
-    assert (used["tokens"], used["unique_ids"]) == (4, 2) and used["entropy_bits"] == pytest.approx(-0.75 * math.log2(0.75) - 0.25 * math.log2(0.25))
+    shares = np.array(list(seen.values())) / sum(seen.values())
+    assert (used["tokens"], used["unique_ids"]) == (sum(seen.values()), len(seen)) and used["entropy_bits"] == pytest.approx(float(-(shares * np.log2(shares)).sum()))
+    lacking = [b for t in judged for b in (t or "").encode() if b not in seen]
     unseen = score.unseen_tokens(train, held).first()
-    assert (unseen["unseen_ids"], unseen["unseen_tokens"], unseen["unseen_fraction"]) == (1, 1, 0.5)
+    assert (unseen["unseen_ids"], unseen["unseen_tokens"], unseen["unseen_fraction"]) == (len(set(lacking)), len(lacking), len(lacking) / 8)
 
 
 def test_scorer_hook_scores_every_label_once(spark):
@@ -154,14 +166,19 @@ def arm(spark, nlls, shas=("x", "y")):
 
 
 def test_paired_comparison_and_bootstrap(spark):
-    pairs = compare.paired(arm(spark, [2.0, 4.0]), arm(spark, [3.0, 6.0]))
-    got = compare.paired_difference(pairs).first()
-    assert got["nll_nats"] == -3 and got["bits_per_utf8_byte"] == pytest.approx(-3 / (20 * math.log(2)))
+    one, other = [7.5, 0.25, 31.0], [9.0, 1.75, 12.5]
+    shas = ("k", "l", "m")
+    got = compare.paired_difference(compare.paired(arm(spark, one, shas), arm(spark, other, shas))).first()
+    gain = sum(one) - sum(other)
+    assert got["nll_nats"] == pytest.approx(gain) and got["bits_per_utf8_byte"] == pytest.approx(gain / (30 * math.log(2)))
     with pytest.raises(ValueError):
-        compare.paired(arm(spark, [2.0, 4.0]), arm(spark, [3.0, 6.0], ("x", "z")))
-    units = spark.createDataFrame([(0, -10 * math.log(2), 10), (1, -20 * math.log(2), 20)], "unit long, delta double, utf8_bytes long")
+        compare.paired(arm(spark, one, shas), arm(spark, other, ("k", "l", "n")))
+    with pytest.raises(ValueError):
+        compare.paired(arm(spark, one, shas), arm(spark, other[:2], shas[:2]))
+    # units of one ratio: whatever is drawn, the ratio stays
+    units = spark.createDataFrame([(i, -0.75 * b * math.log(2), b) for i, b in enumerate((3, 14, 15, 92))], "unit long, delta double, utf8_bytes long")
     interval = compare.bootstrap(units, 50, 1).first()
-    assert interval["low"] == pytest.approx(-1) and interval["high"] == pytest.approx(-1)
+    assert interval["low"] == pytest.approx(-0.75) and interval["high"] == pytest.approx(-0.75)
 
 
 def test_seed_summary(spark):
