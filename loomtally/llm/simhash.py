@@ -19,10 +19,12 @@ A shard gives each node its root (the least node it reaches within the shard), a
 most one row a node, however dense; components are then found over all shards.
 
 The pipeline's near-duplicates (near_duplicate_groups) are found by the same fingerprints and
-trees, at a wider radius: each fingerprint asks for the nearest one before it in each of its
-shards, and the pairs are then decided by exact Jaccard similarity of shingle sets. Alike texts
-whose fingerprints differ in more bits, or whose nearest is another, are found by an exact join on the prefixes of
-the sets, which compares no pair again that the fingerprints have brought.
+trees at a radius that fits the similarity: texts alike in 0.8 of their shingles differ in 15 % of
+the bits, 10 of 64 on average. No exact routes are small enough there, so routes are sampled, and each
+fingerprint asks for the nearest one before it in each of its shards. The pairs are then
+decided by exact Jaccard similarity of shingle sets. Alike texts that share no shard, or whose
+nearest is another, are found by an exact join on the prefixes of the sets, which compares no pair
+again that the fingerprints have brought.
 
 Defined results: null and empty texts have fingerprint 0, linked like any other;
 fewer words than a shingle are one shingle; equal ids or texts are rows of their
@@ -110,6 +112,22 @@ class BKTree:
                 todo.extend([c for e, c in below.items() if lo <= e <= hi])
         return found
 
+    def nearest(self, value: int, radius: int) -> int | None:
+        """Place of the nearest within the radius, which shrinks as nearer ones are found."""
+        if not self.values:
+            return None
+        values, children, best, todo = self.values, self.children, None, [(0, 0)]
+        while todo and radius >= 0:
+            least, at = todo.pop()
+            if least > radius:
+                continue
+            d = (values[at] ^ value).bit_count()
+            if d <= radius:
+                best, radius = at, d - 1
+            # a child at edge e is no nearer than |e - d|; the likeliest comes last
+            todo.extend(sorted([(abs(e - d), c) for e, c in children[at].items() if abs(e - d) <= radius], reverse=True))
+        return best
+
     def add(self, value: int) -> int:
         """Place of the value, which is added if it is new."""
         new, at = len(self.values), 0
@@ -152,12 +170,19 @@ def _nearest(shard: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """(node, the nearest of the lesser ones within the radius) of every node of the shard that has one."""
     tree = BKTree()
     for value in sorted(shard):
-        found = tree.near(value, radius)
-        if found:
-            yield value, tree.values[min(found)[1]]
+        found = tree.nearest(value, radius)
+        if found is not None:
+            yield value, tree.values[found]
         tree.add(value)
 
 
+def sampled_routes(count: int, bits: int, seed: int = 7) -> list[int]:
+    """Masks of `bits` bits each, drawn anew: two fingerprints at distance d agree on one with
+    probability about (1 - d / 64) ** bits."""
+    rng = np.random.default_rng([seed, bits])
+    return [sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False)) for _ in range(count)]
+
+
 def _routed(nodes: DataFrame, routes: Sequence[int]) -> DataFrame:
     """fp, route, key for each fingerprint and route; key: a hash of the route and of the
     bits that its shard agrees on (shards that share a hash are searched as one)."""
@@ -179,15 +204,29 @@ def _dealt_again(routed: DataFrame, routes: Sequence[int], radius: int) -> DataF
     return routed.select("fp", "key", F.posexplode(F.element_at(F.array(*masks), F.col("route") + 1)).alias("part", "mask")).select("fp", F.xxhash64("key", "part", bits).alias("key"))
 
 
-def shard_links(nodes: DataFrame, radius: int, routes: Sequence[int], shard_limit: int = 4096, of_shard: Callable[[list[int], int], Iterator[tuple[int, int]]] = _roots) -> DataFrame:
+def _dealt_finer(routed: DataFrame, routes: Sequence[int], radius: int, times: int = 3, bits: int = 8) -> DataFrame:
+    """fp, key of crowded shards dealt by some bits outside their route's mask, several times over:
+    for routes that are sampled themselves."""
+    masks = []
+    for i, mask in enumerate(routes):
+        rest = [b for b in range(BITS) if not mask >> b & 1]
+        rng = np.random.default_rng([i, len(rest)])
+        masks.append(F.array(*[F.lit(signed(mask | sum(1 << int(b) for b in rng.choice(rest, bits, replace=False)))).cast("long") for _ in range(times)]))
+    agreed = F.col("fp").bitwiseAND(F.col("mask"))
+    return routed.select("fp", "key", F.posexplode(F.element_at(F.array(*masks), F.col("route") + 1)).alias("part", "mask")).select("fp", F.xxhash64("key", "part", agreed).alias("key"))
+
+
+def shard_links(
+    nodes: DataFrame, radius: int, routes: Sequence[int], shard_limit: int = 4096, of_shard: Callable[[list[int], int], Iterator[tuple[int, int]]] = _roots, again: Callable[..., DataFrame] = _dealt_again
+) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` (column fp, durable):
-    each node's root in every shard, or what else of_shard gives."""
+    each node's root in every shard, or what else of_shard gives. again: how crowded shards are dealt."""
     routed = _routed(nodes, routes)
     full = durable(routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_limit).select(F.col("key").alias("_full")), "crowded")
     dealt = routed.select("fp", "key")
     if full.limit(1).count():
         crowded = F.col("key") == F.col("_full")
-        dealt = dealt.join(full, crowded, "left_anti").unionByName(_dealt_again(routed.join(full, crowded, "left_semi"), routes, radius))
+        dealt = dealt.join(full, crowded, "left_anti").unionByName(again(routed.join(full, crowded, "left_semi"), routes, radius))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] | None = None  # the rows of the last shard so far
@@ -515,19 +554,21 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return durable(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "alike", batch_rows=PAIR_ROWS)
 
 
-def _fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
+def _fingerprint_pairs(prints: DataFrame, radius: int, routes: int) -> DataFrame:
     """Pairs (a, b), a < b, of text keys that the fingerprints bring, from prints (text_key, n, fp): texts of
-    one fingerprint with its least, and the least ones of fingerprints that the trees link."""
+    one fingerprint with its least, and the least ones of fingerprints that the trees link. Routes
+    are sampled, with as many bits as leave about 16 fingerprints to a shard."""
     texts = durable(prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("fp").alias("fp")), "text-fingerprints")
     nodes = durable(texts.groupBy("fp").agg(F.min("key").alias("lead")), "fingerprint-leads")
-    links = shard_links(nodes, radius, exact_routes(radius), of_shard=_nearest)
+    bits = min(40, max(10, nodes.count().bit_length() - 4))
+    links = shard_links(nodes, radius, sampled_routes(routes, bits), of_shard=_nearest, again=_dealt_finer)
     lead = lambda fp, name: nodes.select(F.col("fp").alias(fp), F.col("lead").alias(name))
     near = links.join(lead("a", "x"), "a").join(lead("b", "y"), "b").select("x", "y")
     same = texts.join(nodes, "fp").where("key <> lead").select(F.col("lead").alias("x"), F.col("key").alias("y"))
     return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4, radius: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4, radius: int = 13, routes: int = 24, join: bool = True) -> tuple[DataFrame, DataFrame]:
     """(prints: doc_id, text_key of every row; texts: text_key, label, head): texts of one label
     are near-duplicates of each other, head is the least doc_id of a text.
 
@@ -542,7 +583,8 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
     at most `most` a text, else with one other text each turn and with all in the
     last of `turns`. Before their texts are read, pairs whose parities of hashes differ in
     more bits than alike sets differ in shingles are ruled out. So pairs within a
-    component and pairs that cannot be alike are left out and no others.
+    component and pairs that cannot be alike are left out and no others. Without `join` only
+    what the fingerprints bring is linked.
     """
     ratio = Fraction(similarity).limit_denominator(1000)
     num, den = ratio.numerator, ratio.denominator
@@ -568,8 +610,12 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary, fp long"), "prefixes", batch_rows=TEXT_ROWS)
-    near = durable(_fingerprint_pairs(prints, radius), "fingerprint-pairs")
+    near = durable(_fingerprint_pairs(prints, radius, routes), "fingerprint-pairs")
     links = _alike(docs, near, width, num, den)
+    heads = prints.groupBy("text_key").agg(F.min("doc_id").alias("head"))
+    named_texts = lambda found: durable(heads.join(found, F.col("text_key") == F.col("node"), "left").select("text_key", F.coalesce("label", "text_key").alias("label"), "head"), "texts")
+    if not join:
+        return prints.select("doc_id", "text_key"), named_texts(durable(components(links), "text-components"))
     # what the fingerprints have missed
     sets = prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     single = sets.select("key", "n", F.posexplode("prefix").alias("at", "s")).select("s", "key", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
@@ -594,9 +640,7 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
             if fresh.limit(1).count():
                 found = durable(components(links), "text-components")
         left = left.join(more.where("kind = 1").select(F.col("a").alias("s")).distinct(), "s", "left_semi")
-    heads = prints.groupBy("text_key").agg(F.min("doc_id").alias("head"))
-    texts = heads.join(found, F.col("text_key") == F.col("node"), "left").select("text_key", F.coalesce("label", "text_key").alias("label"), "head")
-    return prints.select("doc_id", "text_key"), durable(texts, "texts")
+    return prints.select("doc_id", "text_key"), named_texts(found)
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4) -> DataFrame:

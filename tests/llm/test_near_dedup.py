@@ -131,3 +131,27 @@ def test_near_copies_are_asked_of_the_trees_and_then_checked(spark, monkeypatch)
     assert all(alone[i] == alone[i + 1] == i for i in close)
     far = {r["doc_id"]: r["group"] for r in simhash.near_duplicate_groups(docs, similarity=0.999).collect()}
     assert far == {i: i for i in range(40)}  # close fingerprints of texts that are not alike link nothing
+
+
+def test_nearest_of_a_tree_is_the_nearest():
+    rnd = random.Random(3)
+    tree, values = simhash.BKTree(), []
+    for _ in range(300):
+        value = rnd.getrandbits(12)
+        want = min(((v ^ value).bit_count() for v in values), default=99)
+        found = tree.nearest(value, 4)
+        assert (found is None) == (want > 4) and (found is None or (tree.values[found] ^ value).bit_count() == want)
+        tree.add(value)
+        values.append(value)
+
+
+def test_fingerprints_bring_nine_tenths_of_the_links(spark):
+    """Links that join the groups of sf0.1 (one less than a group's texts), by fingerprints alone and in all."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(4)
+
+    def joined(**more):
+        _, texts = simhash.near_duplicate_texts(docs, **more)
+        return texts.count() - texts.select("label").distinct().count()
+
+    alone, whole = joined(join=False), joined()
+    assert whole > 20 and alone >= 0.9 * whole, (alone, whole)
