@@ -140,8 +140,9 @@ def parameter_count(vocab: Column | int, dim: Column | int, layers: int, length:
     return vocab * dim + length * dim + layers * (12 * dim * dim + 13 * dim) + 2 * dim
 
 
-def size_search(spark, vocab: int, target: int, length: int = 512, heads: int = 8, layers: int = 8) -> DataFrame:
-    """dim, parameters: the width (a multiple of heads up to 2048) nearest to the target, the
-    smallest of equals."""
-    dims = spark.range(heads, 2049, heads).select(F.col("id").alias("dim")).withColumn("parameters", parameter_count(F.lit(vocab), F.col("dim"), layers, length))
-    return dims.orderBy(F.abs(F.col("parameters") - target), "dim").limit(1)
+def size_search(corpora: DataFrame, length: int = 512, heads: int = 8, layers: int = 8) -> DataFrame:
+    """corpora (vocab, target, and whatever else) with dim, parameters: for each the width (a multiple
+    of heads up to 2048) whose number of parameters is nearest to the target, the smallest of equals."""
+    sizes = F.transform(F.sequence(F.lit(heads), F.lit(2048), F.lit(heads)), lambda d: F.struct(F.abs(parameter_count(F.col("vocab"), d.cast("long"), layers, length) - F.col("target")).alias("off"), d.cast("long").alias("dim")))
+    best = corpora.withColumn("dim", F.array_min(sizes)["dim"])
+    return best.withColumn("parameters", parameter_count(F.col("vocab"), F.col("dim"), layers, length))

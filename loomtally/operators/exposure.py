@@ -19,6 +19,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +66,6 @@ def _byte_extents(docs: DataFrame) -> DataFrame:
     return docs.select("pos", F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, "pos long, ids array<int>, widths array<int>, chars array<int>")
 
 
-def _total(column) -> F.Column:
-    return F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def raw_examples(docs: DataFrame, length: int, path: str | None = None) -> DataFrame:
     """example, ids, raw_bytes, raw_chars of all raw blocks, numbered in order."""
     made = durable(raw_blocks(docs, length).withColumn("_one", F.lit(1).cast("long")), "blocks")
@@ -77,22 +74,55 @@ def raw_examples(docs: DataFrame, length: int, path: str | None = None) -> DataF
     return coded.select(F.col("pos").alias("example"), F.col("token_ids").alias("ids"), F.col("utf8_bytes").alias("raw_bytes"), F.col("characters").alias("raw_chars"))
 
 
+def _pieces(placed: DataFrame, length: int, eos: int, windows: int, tokens) -> DataFrame:
+    """example, ids, raw_bytes, raw_chars: documents (at and what `tokens` reads) cut where windows of
+    the packed stream begin, a whole Arrow batch at a time. tokens gives a batch's ids, widths and
+    completed code points one after another, and the ends of each document's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, ends = tokens(batch)
+            # a control behind each document: no bytes, no code points
+            ids, widths, chars = (np.insert(c, ends[1:], x) for c, x in zip(columns, (eos, 0, 0), strict=True))
+            size = np.diff(ends) + 1
+            first = np.cumsum(size) - size
+            place = np.arange(len(ids)) + np.repeat(batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64) - first, size)
+            start = np.zeros(len(ids), dtype=bool)
+            start[first] = True
+            start = np.flatnonzero(start | (place % length == 0))
+            example = place[start] // length
+            keep = example < windows
+            stop = np.append(start[1:], len(ids))[keep]
+            start, example = start[keep], example[keep]
+            whole = ids[: stop[-1] if len(stop) else 0].astype(np.int32)  # windows rise with places, but documents need not stand in order
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(whole)).astype(np.int32)), pa.array(whole)) if len(start) and (stop[:-1] == start[1:]).all() else pa.array([ids[i:j].astype(np.int32) for i, j in zip(start.tolist(), stop.tolist(), strict=True)], pa.list_(pa.int32()))
+            sums = [np.append(0, np.cumsum(c.astype(np.int64))) for c in (widths, chars)]
+            yield pa.RecordBatch.from_arrays([pa.array(example), lists, *[pa.array(x[stop] - x[start]) for x in sums]], names=["example", "ids", "raw_bytes", "raw_chars"])
+
+    return placed.mapInArrow(run, "example long, ids array<int>, raw_bytes long, raw_chars long")
+
+
 def packed_examples(docs: DataFrame, length: int, bos: int, eos: int, path: str | None = None) -> tuple[DataFrame, int]:
     """(example, ids, raw_bytes, raw_chars of the labels of packed windows, in pieces that lie within
-    a document; number of windows). Controls stand for no bytes."""
-    ends = lambda c, x: F.concat(c, F.array(F.lit(x))).alias(c)
-    sized = durable(token_extents(docs, path).select("pos", ends("ids", eos), ends("widths", 0), ends("chars", 0)).withColumn("_n", F.size("ids").cast("long")), "extents")
-    windows = int(sized.agg(F.sum("_n")).first()[0] or 0) // length
-    placed = running_before(sized, "_n", ["pos"], out="at")  # the stream's first token is bos, so label `at` is the document's first
-    last = F.col("at") + F.col("_n") - 1
+    a document; number of windows). Controls stand for no bytes. The stream's first token is bos, so
+    label `at` is a document's first. Bytes as tokens stay text until they are cut."""
+    if path is None:
+        sized = docs.select("pos", F.coalesce("text", F.lit("")).alias("text")).withColumn("_n", F.octet_length("text").cast("long") + 1)
 
-    def piece(w):
-        lo = F.greatest(F.col("at"), w * length)
-        start, size = (lo - F.col("at") + 1).cast("int"), (F.least(last, w * length + length - 1) - lo + 1).cast("int")
-        return F.struct(w.alias("example"), F.slice("ids", start, size).alias("ids"), _total(F.slice("widths", start, size)).alias("raw_bytes"), _total(F.slice("chars", start, size)).alias("raw_chars"))
+        def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            data, ends = utf8_bytes(batch.column("text"))
+            last = (np.append(data[1:], 0)[: len(data)] & 0xC0) != 0x80
+            return data.astype(np.int32), np.ones(len(data), dtype=np.int32), last.astype(np.int32), ends
+    else:
+        sized = durable(token_extents(docs, path).withColumn("_n", F.size("ids").cast("long") + 1), "extents")
+
+        def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            size = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)
+            return *[batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "widths", "chars")], np.append(0, np.cumsum(size))
 
-    pieces = F.transform(F.sequence(F.expr(f"at div {length}"), (last / length).cast("long")), piece)
-    return placed.select(F.explode(pieces).alias("p")).select("p.*").where(F.col("example") < windows), windows
+    windows = int(sized.agg(F.sum("_n")).first()[0] or 0) // length
+    placed = running_before(sized, "_n", ["pos"], out="at").drop("pos", "_n")
+    return _pieces(placed, length, eos, windows, tokens), windows
 
 
 def times_drawn(spark, size: int, steps: int, batch: int, seed: int, mode: str = "portable") -> DataFrame:

@@ -322,7 +322,11 @@ def seed_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_size_search(spark: SparkSession, folder: str) -> DataFrame:
-    return compare.size_search(spark, 4096, 40_000_000).select("dim", "parameters")
+    """For each language the width of a model of its words that has a parameter for each byte of it."""
+    docs = documents(spark, folder)
+    words = docs.select("lang", F.explode(F.split("text", " ")).alias("w")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"))
+    corpora = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("target")).join(words, "lang")
+    return compare.size_search(corpora).select("lang", "vocab", "target", "dim", "parameters")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -517,8 +521,10 @@ FROM a GROUP BY baseline""",
 v AS (SELECT split AS regime, source, sum(f.nll) / (sum(f.utf8_bytes) * ln(2)) AS a, sum(g.nll) / (sum(f.utf8_bytes) * ln(2)) AS b FROM f JOIN g USING (doc_id, split, source) GROUP BY ALL)
 SELECT regime, count(DISTINCT source) AS seed_count, round(avg(a), 6) AS fit_mean_bpb, round(avg(b), 6) AS general_mean_bpb, round(avg(a - b), 6) AS paired_mean_bpb, round(stddev_samp(a - b), 6) AS paired_sd,
   round(min(a - b), 6) AS paired_min, round(max(a - b), 6) AS paired_max, round((avg(a) - avg(b)) / avg(b), 6) AS relative_mean_difference FROM v GROUP BY regime""",
-    "model_size_search": """SELECT d AS dim, 4096 * d + 512 * d + 8 * (12 * d * d + 13 * d) + 2 * d AS parameters FROM range(8, 2049, 8) t(d)
-ORDER BY abs(4096 * d + 512 * d + 8 * (12 * d * d + 13 * d) + 2 * d - 40000000), d LIMIT 1""",
+    "model_size_search": """WITH c AS (SELECT lang, count(*) AS vocab FROM (SELECT DISTINCT lang, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY lang),
+t AS (SELECT lang, sum(strlen(text))::bigint AS target FROM documents GROUP BY lang),
+s AS (SELECT lang, vocab, target, d AS dim, vocab * d + 512 * d + 8 * (12 * d * d + 13 * d) + 2 * d AS parameters FROM c JOIN t USING (lang), range(8, 2049, 8) r(d))
+SELECT lang, vocab, target, arg_min(dim, (abs(parameters - target), dim)) AS dim, arg_min(parameters, (abs(parameters - target), dim)) AS parameters FROM s GROUP BY ALL""",
     "block_rollup": f"""WITH RECURSIVE cut(doc_id, n, rest) AS (
   SELECT doc_id, 0::bigint, text FROM documents
   UNION ALL

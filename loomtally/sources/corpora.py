@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.functions.text import stripped_length
+from loomtally.operators.early import OrderedFiles
 from loomtally.operators.ordered import running_before
 from loomtally.session import durable
 
@@ -39,10 +40,17 @@ def load_corpus(spark: SparkSession, name: str, max_samples: int | None = None,
     if spec is None:
         raise KeyError(f"no corpus is registered as {name!r}")
     pos = F.col(spec.order).cast("long") if spec.order else F.monotonically_increasing_id()
-    rows = spark.read.format(spec.format).load(spec.path).select(pos.alias("pos"), F.col(spec.text_column).alias("text"))
-    texts = rows.where(stripped_length(F.col("text")) >= min_chars)
+    shape = lambda rows: rows.select(pos.alias("pos"), F.col(spec.text_column).alias("text")).where(stripped_length(F.col("text")) >= min_chars)
     if max_samples is None:
-        return texts
+        return shape(spark.read.format(spec.format).load(spec.path))
+    texts = None
+    if spec.order and spec.format == "parquet":  # files in order, no more than are needed
+        for rows, last in OrderedFiles.of(spark, spec.path, spec.order).prefixes():
+            texts = shape(rows)
+            if last or texts.limit(max_samples).count() == max_samples:
+                break
+    else:
+        texts = shape(spark.read.format(spec.format).load(spec.path))
     ranked = running_before(durable(texts.withColumn("_one", F.lit(1)), "corpus"), "_one", ["pos"], out="_before")
     return ranked.where(F.col("_before") < max_samples).drop("_before", "_one")
 

@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from loomtally.plans import experiments, registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = ("partition_stats", "exact_dedup", "select_reasons", "document_split", "group_split", "character_prefix", "unigram_baseline", "model_size_search", "near_dup_survivors", "top_tokens", "matrix_report", "exposure_unigram", "distinct_counts")
+QUICK = ("partition_stats", "exact_dedup", "select_reasons", "document_split", "group_split", "character_prefix", "unigram_baseline", "model_size_search", "near_dup_survivors", "top_tokens", "matrix_report", "exposure_unigram", "distinct_counts", "tree_hash", "folded_texts", "anchor_index", "encoded_roundtrip", "rolling_windows", "early_scan")
 
 
 def test_entry_runs(spark):

@@ -284,6 +284,14 @@ def test_scored_once_audit(spark):
     assert {r["key"] for r in audit.scored_once_audit(targets, scored).collect()} == {"1", "2", "7"}
 
 
+def test_totals_audit(spark):
+    parts = spark.createDataFrame([(1, 0.25), (2, 0.5)], "n long, nats double")
+    total = lambda n, nats: spark.createDataFrame([(n, nats)], "n long, nats double")
+    assert audit.totals_audit(total(3, 0.75 + 1e-10), parts, ["n", "nats"]).count() == 0
+    assert [r["key"] for r in audit.totals_audit(total(4, 0.8), parts, ["n", "nats"]).collect()] == ["n", "nats"]
+    assert audit.totals_audit(total(0, 0.0), parts.where("n > 9"), ["n", "nats"]).count() == 0
+
+
 def test_long_chains_are_resolved(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(12)], "earlier long, later long")
     from loomtally.operators.greedy import resolve_greedy

@@ -154,3 +154,31 @@ def test_metrics_come_before_evidence_and_attempts_are_logged(spark, tmp_path):
         snapshot.write_json(spark, f"{at}/x.json", {"n": float("nan")})
     snapshot.append_attempt(spark, f"{at}/log", "failed", error="e")
     assert json.loads(spark.read.text(f"{at}/log").first()[0])["status"] == "failed"
+
+
+def test_a_column_of_parquet_without_short_texts(spark, tmp_path):
+    spark.createDataFrame([("  short  ", 1), ("x" * 60, 2), (None, 3), (" " * 80, 4)], "body string, n long").write.parquet(f"{tmp_path}/column")
+    assert [r["text"] for r in corpora.text_column(spark, f"file://{tmp_path}/column", "body").collect()] == ["x" * 60]
+    assert sorted(len(r["text"]) for r in corpora.text_column(spark, f"file://{tmp_path}/column", "body", 3).collect()) == [9, 60]
+
+
+def test_a_corpus_opens_no_more_files_than_it_needs(spark, tmp_path):
+    import pathlib
+    import re
+
+    for part in range(8):
+        spark.createDataFrame([(part * 10 + i, f"text {part * 10 + i} " + "word " * 20) for i in range(10)], "n long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/c")
+    corpora.register("files", corpora.Corpus(f"file://{tmp_path}/c", order="n"))
+    from loomtally.operators import early
+
+    files = early.OrderedFiles.of(spark, f"file://{tmp_path}/c", "n")
+    real = early.OrderedFiles.of
+    early.OrderedFiles.of = classmethod(lambda cls, *a: files)  # the catalog as it was
+    try:
+        for _, file in files.files[4:]:
+            local = pathlib.Path(re.sub("^file:/+", "/", file))
+            local.write_bytes(b"spoiled")
+            (local.parent / f".{local.name}.crc").unlink(missing_ok=True)
+        assert [r["pos"] for r in corpora.load_corpus(spark, "files", 25).orderBy("pos").collect()] == list(range(25))
+    finally:
+        early.OrderedFiles.of = real
