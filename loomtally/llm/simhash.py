@@ -20,9 +20,10 @@ most one row a node, however dense; components are then found over all shards.
 
 The pipeline's near-duplicates (near_duplicate_groups) are found by the same fingerprints and
 trees at a radius that fits the similarity: texts alike in 0.8 of their shingles differ in 15 % of
-the bits, 10 of 64 on average. No exact routes are small enough there, so routes are sampled, and each
-fingerprint asks for the nearest one before it in each of its shards. The pairs are then
-decided by exact Jaccard similarity of shingle sets. Alike texts that share no shard, or whose
+the bits, 10 of 64 on average and 16 at most but for one in fifty. No exact routes are small enough
+there, so routes are sampled, and each fingerprint asks for the nearest one before it in each of its
+shards. Unlike texts that meet by chance are told by 64 more bits, of other hashes of the same
+shingles. The pairs are then decided by exact Jaccard similarity of shingle sets. Alike texts that share no shard, or whose
 nearest is another, are found by an exact join on the prefixes of the sets, which compares no pair
 again that the fingerprints have brought.
 
@@ -76,6 +77,13 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for a fingerprint of bits of their own."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ (mixed >> np.uint64(32))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -555,20 +563,22 @@ def _alike(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
 
 
 def _fingerprint_pairs(prints: DataFrame, radius: int, routes: int) -> DataFrame:
-    """Pairs (a, b), a < b, of text keys that the fingerprints bring, from prints (text_key, n, fp): texts of
-    one fingerprint with its least, and the least ones of fingerprints that the trees link. Routes
-    are sampled, with as many bits as leave about 16 fingerprints to a shard."""
-    texts = durable(prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("fp").alias("fp")), "text-fingerprints")
-    nodes = durable(texts.groupBy("fp").agg(F.min("key").alias("lead")), "fingerprint-leads")
+    """Pairs (a, b), a < b, of text keys that the fingerprints bring, from prints (text_key, n, fp, fp2):
+    texts of one fingerprint with its least, and the least ones of fingerprints that the trees link and
+    whose second fingerprints differ no more either. Routes are sampled, with as many bits as leave
+    about 16 fingerprints to a shard."""
+    texts = durable(prints.where("n > 0").groupBy(F.col("text_key").alias("key")).agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "text-fingerprints")
+    nodes = durable(texts.groupBy("fp").agg(F.min(F.struct("key", "fp2")).alias("m")).select("fp", F.col("m.key").alias("lead"), F.col("m.fp2").alias("fp2")), "fingerprint-leads")
     bits = min(40, max(10, nodes.count().bit_length() - 4))
     links = shard_links(nodes, radius, sampled_routes(routes, bits), of_shard=_nearest, again=_dealt_finer)
-    lead = lambda fp, name: nodes.select(F.col("fp").alias(fp), F.col("lead").alias(name))
-    near = links.join(lead("a", "x"), "a").join(lead("b", "y"), "b").select("x", "y")
-    same = texts.join(nodes, "fp").where("key <> lead").select(F.col("lead").alias("x"), F.col("key").alias("y"))
+    lead = lambda fp, name: nodes.select(F.col("fp").alias(fp), F.col("lead").alias(name), F.col("fp2").alias(f"{name}2"))
+    both = links.join(lead("a", "x"), "a").join(lead("b", "y"), "b")
+    near = both.where(F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= radius).select("x", "y")
+    same = texts.select("key", "fp").join(nodes.select("fp", "lead"), "fp").where("key <> lead").select(F.col("lead").alias("x"), F.col("key").alias("y"))
     return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4, radius: int = 13, routes: int = 24, join: bool = True) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 16, most: int = 64, turns: int = 4, radius: int = 16, routes: int = 24, join: bool = True) -> tuple[DataFrame, DataFrame]:
     """(prints: doc_id, text_key of every row; texts: text_key, label, head): texts of one label
     are near-duplicates of each other, head is the least doc_id of a text.
 
@@ -594,10 +604,11 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
         forget()
         often, levels = common.value
         for batch in batches:
-            keys, sizes, prefixes, parities, prints = [], [], [], [], []
+            keys, sizes, prefixes, parities, prints, others = [], [], [], [], [], []
             for t in batch["text"].tolist():
                 h = shingle_hashes(t, width)
                 prints.append(signed(simhash(h)))
+                others.append(signed(simhash(second(h))))
                 h = np.unique(h)
                 parities.append(parity(h))
                 if len(often) and len(h):
@@ -606,10 +617,10 @@ def near_duplicate_texts(docs: DataFrame, width: int = 5, similarity: float = 0.
                 keys.append(text_key(t))
                 sizes.append(len(h))
                 prefixes.append(h[: len(h) + (-num * len(h)) // den + 1 if len(h) else 0].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes, "parity": parities, "fp": np.array(prints, dtype=np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": np.array(keys, dtype=np.int64), "n": np.array(sizes, dtype=np.int64), "prefix": prefixes, "parity": parities, "fp": np.array(prints, dtype=np.int64), "fp2": np.array(others, dtype=np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary, fp long"), "prefixes", batch_rows=TEXT_ROWS)
+    prints = durable(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text_key long, n long, prefix array<long>, parity binary, fp long, fp2 long"), "prefixes", batch_rows=TEXT_ROWS)
     near = durable(_fingerprint_pairs(prints, radius, routes), "fingerprint-pairs")
     links = _alike(docs, near, width, num, den)
     heads = prints.groupBy("text_key").agg(F.min("doc_id").alias("head"))
