@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,6 +26,7 @@ from loomtally.functions.text import portable_key
 from loomtally.operators.audit import AUDIT
 from loomtally.operators.blocks import completed_characters, raw_blocks, seeded_batches
 from loomtally.operators.ordered import running_before
+from loomtally.operators.portions import portions
 from loomtally.operators.score import byte_documents, encoded_documents, utf8_bytes
 from loomtally.session import durable
 
@@ -38,27 +38,28 @@ def token_extents(docs: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         return _byte_extents(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].tolist()]
+        for batch in portions(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             found = [tok.encode(t, add_special_tokens=False) for t in texts]
             widths = [[len(symbol) for symbol in e.tokens] for e in found]  # a byte-level symbol is a letter for each byte
-            yield pd.DataFrame({"pos": batch["pos"], "ids": [e.ids for e in found], "widths": widths, "chars": [completed_characters(t, w) for t, w in zip(texts, widths, strict=True)]})
+            lists = [[e.ids for e in found], widths, [completed_characters(t, w) for t, w in zip(texts, widths, strict=True)]]
+            yield pa.RecordBatch.from_arrays([batch.column("pos").cast(pa.int64()), *[pa.array(x, pa.list_(pa.int32())) for x in lists]], names=["pos", "ids", "widths", "chars"])
 
-    return docs.select("pos", "text").mapInPandas(run, "pos long, ids array<int>, widths array<int>, chars array<int>")
+    return docs.select("pos", "text").mapInArrow(run, "pos long, ids array<int>, widths array<int>, chars array<int>")
 
 
 def _byte_extents(docs: DataFrame) -> DataFrame:
-    """token_extents of bytes, a whole Arrow batch at a time: a byte completes a code point where
+    """token_extents of bytes, a portion of texts at a time: a byte completes a code point where
     no continuation byte follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = utf8_bytes(batch.column(1))
+        for batch in portions(batches, "_text"):
+            data, ends = utf8_bytes(batch.column("_text"))
             last = (np.append(data[1:], 0)[: len(data)] & 0xC0) != 0x80
             lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (data, np.ones(len(data)), last)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["pos", "ids", "widths", "chars"])
@@ -74,13 +75,13 @@ def raw_examples(docs: DataFrame, length: int, path: str | None = None) -> DataF
     return coded.select(F.col("pos").alias("example"), F.col("token_ids").alias("ids"), F.col("utf8_bytes").alias("raw_bytes"), F.col("characters").alias("raw_chars"))
 
 
-def _pieces(placed: DataFrame, length: int, eos: int, windows: int, tokens) -> DataFrame:
+def _pieces(placed: DataFrame, length: int, eos: int, windows: int, tokens, wide: str) -> DataFrame:
     """example, ids, raw_bytes, raw_chars: documents (at and what `tokens` reads) cut where windows of
-    the packed stream begin, a whole Arrow batch at a time. tokens gives a batch's ids, widths and
-    completed code points one after another, and the ends of each document's."""
+    the packed stream begin, a portion (by the column `wide`) at a time. tokens gives a portion's ids,
+    widths and completed code points one after another, and the ends of each document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, wide):
             *columns, ends = tokens(batch)
             # a control behind each document: no bytes, no code points
             ids, widths, chars = (np.insert(c, ends[1:], x) for c, x in zip(columns, (eos, 0, 0), strict=True))
@@ -122,7 +123,7 @@ def packed_examples(docs: DataFrame, length: int, bos: int, eos: int, path: str
 
     windows = int(sized.agg(F.sum("_n")).first()[0] or 0) // length
     placed = running_before(sized, "_n", ["pos"], out="at").drop("pos", "_n")
-    return _pieces(placed, length, eos, windows, tokens), windows
+    return _pieces(placed, length, eos, windows, tokens, "text" if path is None else "ids"), windows
 
 
 def times_drawn(spark, size: int, steps: int, batch: int, seed: int, mode: str = "portable") -> DataFrame:
@@ -147,15 +148,15 @@ def replay(examples: DataFrame, size: int, length: int, steps: int, batch: int,
     times = times_drawn(examples.sparkSession, size, steps, batch, seed, mode)
     drawn = durable(examples.join(times, "example").where("times > 0"), "drawn")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            ids = [np.asarray(x, dtype=np.int64) for x in frame["ids"]]
-            weights = np.repeat(frame["times"].to_numpy(dtype=np.int64), [len(x) for x in ids])
-            flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-            token, at = np.unique(flat, return_inverse=True)
-            yield pd.DataFrame({"token": token.astype(np.int32), "n": np.bincount(at, weights, len(token)).astype(np.int64)})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "ids"):
+            lists = batch.column("ids")
+            weights = np.repeat(batch.column("times").to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            token, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            n = np.bincount(at, weights, len(token)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int32)), pa.array(n)], names=["token", "n"])
 
-    counts = drawn.select("ids", "times").mapInPandas(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("count"))
+    counts = drawn.select("ids", "times").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("count"))
     total = lambda c, name: F.coalesce(F.sum(F.col("times") * c), F.lit(0)).cast("long").alias(name)
     seen = drawn.agg(total(F.col("raw_chars"), "raw_chars"), total(F.col("raw_bytes"), "raw_bytes"), total(F.size("ids"), "target_tokens"))
     return counts, seen.withColumn("padded_positions", F.lit(steps * batch * length).cast("long"))
