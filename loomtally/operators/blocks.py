@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from loomtally.operators.ordered import running_before
+from loomtally.operators.portions import portions
 from loomtally.session import durable
 
 
@@ -39,16 +39,16 @@ def greedy_blocks(text: str, most: int) -> list[str]:
 
 
 def raw_blocks(docs: DataFrame, most: int) -> DataFrame:
-    """pos, block_pos, block. A fold over each text, so a pandas stage; an empty text has none."""
+    """pos, block_pos, block. A fold over each text, so an Arrow stage; an empty text has none."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [greedy_blocks(t or "", most) for t in batch["text"].tolist()]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            made = [greedy_blocks(t or "", most) for t in batch.column("text").to_pylist()]
             counts = [len(m) for m in made]
-            if any(counts):  # a frame without rows has no string type
-                yield pd.DataFrame({"pos": np.repeat(batch["pos"].to_numpy(), counts), "block_pos": np.concatenate([np.arange(c) for c in counts] or [np.zeros(0, int)]).astype(np.int64), "block": [b for m in made for b in m]})
+            places = np.concatenate([np.arange(c) for c in counts]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("pos").cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(made)), counts))), pa.array(places), pa.array([b for m in made for b in m], pa.string())], names=["pos", "block_pos", "block"])
 
-    return docs.select("pos", "text").mapInPandas(cut, "pos long, block_pos long, block string")
+    return docs.select("pos", "text").mapInArrow(cut, "pos long, block_pos long, block string")
 
 
 def block_rollup(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def over_rolling(tokens: DataFrame, length: int, bos: int, make: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = make()
-        for batch in batches:
+        for batch in portions(batches, "token_ids"):
             lists = batch.column("token_ids")
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(x or 0 for x in pc.list_value_length(lists).to_pylist())])
             rows = [fold(RollingViews.of(values[a:b], length, bos)) for a, b in itertools.pairwise(ends.tolist())]

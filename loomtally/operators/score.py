@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomtally.operators.blocks import RollingViews, over_rolling
 from loomtally.operators.encode import encoded_once
+from loomtally.operators.portions import portions
 from loomtally.session import durable
 
 LN2 = math.log(2)
@@ -31,10 +32,10 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _over_bytes(docs: DataFrame, keep: Sequence[str], make: Callable[[np.ndarray, np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
-    """pos, keep, characters, utf8_bytes and what make gives of each text's bytes, by Arrow batches."""
+    """pos, keep, characters, utf8_bytes and what make gives of each text's bytes, by portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             data, ends = utf8_bytes(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(data, ends)], names=[*batch.schema.names[:-1], name])
 
@@ -74,11 +75,11 @@ def histograms(encoded: DataFrame) -> DataFrame:
     kept = [f for f in encoded.schema.fields if f.name != "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "token_ids"):
             lists = batch.column("token_ids")
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            # a document and a token in one number, counted at once for the batch
+            # a document and a token in one number, counted at once for the portion
             low, span = (int(values.min()), int(values.max()) - int(values.min()) + 1) if len(values) else (0, 1)
             cells, counts = np.unique(doc * span + values - low, return_counts=True)
             entries = pa.StructArray.from_arrays([pa.array((cells % span + low).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["token", "m"])
