@@ -8,13 +8,14 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.functions.codes import BOS, BYTE_VOCABULARY, EOS
 from loomtally.functions.text import is_blank, text_sha256
 from loomtally.operators import audit, blocks, compare, diagnose, early, evaluate, exposure, report, score, select
+from loomtally.operators.portions import portions
 from loomtally.plans.registry import _BYTES, _FAMILIES, _NORM, _R, _WINDOWS, BLOCK_BYTES, CONTEXT, REPLICATES, _arms, _families, _key, _rounded, _scores, documents, heavy_documents
 from loomtally.session import durable, scratch_path
 from loomtally.sources.tables import table
@@ -85,15 +86,13 @@ def _halves(docs: DataFrame) -> DataFrame:
     """Half bytes as tokens: two for each byte, in the vocabulary of bytes."""
 
     def run(batches):
-        for batch in batches:
-            ids = []
-            for t in batch["text"].tolist():
-                data = np.frombuffer((t or "").encode(), dtype=np.uint8)
-                ids.append(np.column_stack([data >> 4, data & 15]).ravel().astype(np.int32))
-            yield pd.DataFrame({"pos": batch["pos"], "characters": batch["characters"], "utf8_bytes": batch["utf8_bytes"], "token_ids": ids})
+        for batch in portions(batches, "text"):
+            data, ends = score.utf8_bytes(batch.column("text"))
+            ids = np.column_stack([data >> 4, data & 15]).ravel().astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("pos", "characters", "utf8_bytes")], pa.ListArray.from_arrays(pa.array((2 * ends).astype(np.int32)), pa.array(ids))], names=["pos", "characters", "utf8_bytes", "token_ids"])
 
     rows = docs.select("pos", "text", F.length("text").cast("long").alias("characters"), F.octet_length("text").cast("long").alias("utf8_bytes"))
-    return rows.mapInPandas(run, "pos long, characters long, utf8_bytes long, token_ids array<int>")
+    return rows.mapInArrow(run, "pos long, characters long, utf8_bytes long, token_ids array<int>")
 
 
 def _diagnosis(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
