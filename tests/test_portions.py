@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
-from loomtally.operators import exposure, score
+from loomtally.operators import encode, exposure, score
 from loomtally.operators.portions import portions
 from loomtally.plans.experiments import _halves
 
@@ -57,6 +57,12 @@ def test_a_stage_holds_little_of_a_large_batch(long_texts, name):
     assert STAGES[name](Measured(long_texts)).peak < 110
 
 
+def test_decoding_holds_few_ids_at_a_time(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rows = spark.range(200).selectExpr("id AS pos", "transform(sequence(1, 20000), x -> 300 + x % 40000) AS token_ids")
+    assert encode.decoded(Measured(rows), public_tokenizers.path("byte_bpe_50k.json")).peak < 110
+
+
 def test_portions_keep_all_rows_in_order():
     rng = np.random.default_rng(3)
     texts = [None if n % 7 == 0 else "é" * int(n) for n in rng.integers(0, 40, 300)]
