@@ -7,7 +7,8 @@ posted under these six, and words posted under one gram meet in one task. There
 grams ask for postings of the same length at the same place and of a length one more at the
 same place or the next. The postings are merged by a heap (the longest ones only looked up,
 as many as the bound allows), partners with fewer hits than one edit leaves are dropped, and
-the others are verified code point by code point. A pair that several grams bring counts once.
+the others are verified code point by code point. A pair that several grams bring is told in
+one order of its words, whatever order the shuffle dealt them in, and counts once.
 
 A gram with over `group_limit` words is split by length and place, and what is then still
 above it into blocks of words that meet pairwise, so that a task holds at most twice that
@@ -136,7 +137,7 @@ def index_pairs(words: Sequence[str]) -> Iterator[tuple[int, int]]:
 
 def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """x, n_x, y, n_y: every pair of distinct words of vocabulary (word, n; durable, words of two
-    code points or more) one edit apart, once."""
+    code points or more) one edit apart, once: x the shorter word, or the smaller of one length."""
     spark = vocabulary.sparkSession
     marked = F.concat(F.lit(FRONT), "word", F.lit(BACK))
     cut = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(marked, i, F.lit(Q)))
@@ -170,7 +171,8 @@ def near_pairs(vocabulary: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
             members = list(members)
             if len(members) > 1:
                 words = [r[-2] for r in members]
-                out += [(words[x], members[x][-1], words[y], members[y][-1]) for x, y in index_pairs(words)]
+                told = [(y, x) if len(words[x]) == len(words[y]) and words[x] > words[y] else (x, y) for x, y in index_pairs(words)]
+                out += [(words[x], members[x][-1], words[y], members[y][-1]) for x, y in told]
             if len(out) >= 10_000:
                 yield _pairs(out)
                 out = []

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from loomtally.llm import spelling
 from loomtally.llm.queries import op12_spelling_groups
+from pyspark.sql import functions as F
 
 UP = {c: c + 32 for c in range(65, 91)}
 
@@ -100,6 +101,15 @@ def test_crowds_against_all_pairs(spark, limit):
     assert any(r[1] and r[2] != r[1] for r in got)  # a chain of two forms
 
 
+@pytest.mark.parametrize("limit", [20_000, 40])
+def test_pairs_count_once_in_any_order_of_postings(spark, monkeypatch, limit):
+    """A shuffle over several executors deals a gram's postings in no fixed order."""
+    durable = spelling.durable
+    monkeypatch.setattr(spelling, "durable", lambda df, name: durable(df.orderBy(F.rand(7)) if name == "postings" else df, name))
+    rows = crowd(3, 400)
+    assert tuples(spelling.spelling_groups(spark.createDataFrame(rows, "doc_id long, text string"), group_limit=limit)) == plain(rows)
+
+
 def test_odd_tables(spark):
     rows = [(1, None), (2, ""), (None, "Straßenbahn Straßenbahn"), (3, "12 abc ÀÉÎÕÜÝß× ÀÉÎÕÜÝß×"), (3, "12 abc ÀÉÎÕÜÝß× ÀÉÎÕÜÝß×"), (4, "x" * 5000 + " " + "x" * 5000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
