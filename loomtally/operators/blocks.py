@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from loomtally.operators.ordered import running_before
-from loomtally.operators.portions import portions
+from loomtally.operators.portions import PORTION_BYTES, portions
 from loomtally.session import durable
 
 
@@ -131,37 +131,118 @@ def over_rolling(tokens: DataFrame, length: int, bos: int, make: Callable[[], Ca
     return tokens.where(F.size("token_ids") > 0).select("pos", "token_ids").mapInArrow(run, f"pos {tokens.schema['pos'].dataType.simpleString()}, {schema}")
 
 
+#: Kinds of number by width in bytes, in which ids are moved; the narrowest that holds a portion's is taken.
+KINDS = {1: "<u1", 2: "<u2", 4: "<i4", 8: "<i8"}
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pos, width, ids: token_ids as bytes of numbers of a width."""
+    for batch in portions(batches, "token_ids"):
+        lists = batch.column("token_ids")
+        values, lengths = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+        width = next(w for w, k in KINDS.items() if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+        ends = (np.append(0, np.cumsum(lengths, dtype=np.int64)) * width).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(values.astype(KINDS[width]))])
+        yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(np.full(len(lists), width, np.int32)), ids], names=["pos", "width", "ids"])
+
+
 def packed_stream(tokens: DataFrame, bos: int | None, eos: int | None) -> DataFrame:
-    """at, ids: runs of the stream bos, then each document's tokens and eos, in order of pos,
-    with the place of their first token; a control that is None is left out. Places come from
-    running sums of lengths, so no task holds the stream."""
-    ids = F.col("token_ids") if eos is None else F.concat("token_ids", F.array(F.lit(eos)))
-    sized = durable(tokens.select("pos", ids.alias("ids")).withColumn("_n", F.size("ids").cast("long")), "stream")
-    placed = running_before(sized.where("_n > 0"), "_n", ["pos"], out="_before")
-    if bos is None:
-        return placed.select(F.col("_before").alias("at"), "ids")
-    first = tokens.sparkSession.range(1).select(F.lit(0).cast("long").alias("at"), F.array(F.lit(bos)).alias("ids"))
-    return first.unionByName(placed.select((F.col("_before") + 1).alias("at"), "ids"))
-
-
-def _windows(stream: DataFrame, length: int) -> DataFrame:
-    """win, inputs, labels of all whole windows of a stream (at, ids); a window's labels are its
-    inputs moved by one, and its last label is the next window's first input. Runs are cut at
-    window borders, and pieces are shuffled, not tokens."""
-    last = F.col("at") + F.size("ids") - 1
-    # window w holds the places w L, ..., w L + L: the last is also the first of the next
-    wins = F.sequence(F.greatest(F.lit(0).cast("long"), F.expr(f"(at - 1) div {length}")), (last / length).cast("long"))
-    lo = lambda w: F.greatest(F.col("at"), w * length)
-    hi = lambda w: F.least(last, w * length + length)
-    pieces = F.transform(wins, lambda w: F.struct(w.alias("win"), lo(w).alias("at"), F.slice("ids", (lo(w) - F.col("at") + 1).cast("int"), (hi(w) - lo(w) + 1).cast("int")).alias("ids")))
-    cut = stream.select(F.explode(pieces).alias("p")).select("p.win", F.struct("p.at", "p.ids").alias("piece"))
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["ids"]))
-    return cut.groupBy("win").agg(ids.alias("_ids")).where(F.size("_ids") == length + 1).select("win", F.slice("_ids", 1, length).alias("inputs"), F.slice("_ids", 2, length).alias("labels"))
+    """at, n, width, ids: runs of the stream bos, then each document's tokens and eos, in order of
+    pos, with the place of their first token; a control that is None is left out. ids are n
+    numbers as bytes (KINDS), or n - 1 where eos follows. Places come from running sums of
+    lengths, so no task holds the stream; ids are shuffled once, and rows lie in order of at
+    but where ranges of pos meet."""
+    packed = tokens.where("token_ids IS NOT NULL").select("pos", "token_ids").mapInArrow(_pack, f"pos {tokens.schema['pos'].dataType.simpleString()}, width int, ids binary")
+    sized = durable(packed.withColumn("n", F.expr("octet_length(ids) div width") + int(eos is not None)), "stream")
+    placed = running_before(sized.where("n > 0"), "n", ["pos"], out="_before").select((F.col("_before") + int(bos is not None)).alias("at"), "n", "width", "ids")
+    if bos is not None:
+        first = tokens.sparkSession.range(1).select(F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("n"), F.lit(8).alias("width"), F.lit(bytearray(np.int64(bos).tobytes())).alias("ids"))
+        placed = first.unionByName(placed)
+    return durable(placed, "placed-stream")
+
+
+def _runs(batch: pa.RecordBatch, eos: int | None, kind: type) -> Iterator[tuple[int, np.ndarray]]:
+    """(at, tokens with eos) of rows of a packed stream that follow each other."""
+    at, n, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "width"))
+    ids = batch.column("ids").cast(pa.large_binary())
+    ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    data = np.frombuffer(ids.buffers()[2] or b"", dtype=np.uint8)
+    cuts = np.flatnonzero((at[1:] != at[:-1] + n[:-1]) | (width[1:] != width[:-1])) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(at)]):
+        values = data[ends[a] : ends[b]].view(KINDS[int(width[a])]).astype(kind)
+        lengths = np.diff(ends[a : b + 1]) // width[a]
+        closed = n[a:b] > lengths
+        yield int(at[a]), np.insert(values, np.cumsum(lengths)[closed], eos) if closed.any() else values
+
+
+def cut_stream(batches: Iterator[pa.RecordBatch], length: int, eos: int | None, kind: type, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (at, n, width, ids) of a packed stream cut at window borders: with whole win, inputs,
+    labels of the windows that lie in rows that follow each other, else win, at, ids of the
+    pieces of all other windows, two at most for rows that follow each other."""
+    place, held, fresh = 0, np.zeros(0, kind), True  # fresh: the piece before the first border is still in held
+    pieces: list[tuple[int, int, np.ndarray]] = []
+    step = max(1, PORTION_BYTES // length)  # windows at a time
+
+    def rest() -> None:
+        if len(held):
+            pieces.append((-(-place // length) - 1 if fresh else place // length, place, held))
+
+    def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+    def told() -> pa.RecordBatch:
+        wins, places = (pa.array([p[i] for p in pieces], pa.int64()) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([wins, places, lists(np.concatenate([np.zeros(0, kind), *[p[2] for p in pieces]]), np.cumsum([0, *[len(p[2]) for p in pieces]]))], names=["win", "at", "ids"])
+
+    for batch in portions(batches, "ids"):
+        for at, values in _runs(batch, eos, kind):
+            if at == place + len(held) and len(held):
+                held = np.concatenate([held, values])
+            else:
+                rest()
+                place, held, fresh = at, values, True
+            # window w holds the places w L, ..., w L + L: the last is also the first of the next
+            border = -(-place // length) * length
+            if fresh and place + len(held) > border:
+                if border:
+                    pieces.append((border // length - 1, place, held[: border - place + 1]))
+                place, held, fresh = border, held[border - place :], False
+            if fresh:
+                continue
+            count = (len(held) - 1) // length
+            for first in range(0, count if whole else 0, step):
+                some = min(step, count - first)
+                a, b, ends = first * length, (first + some) * length, np.arange(some + 1) * length
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(some, dtype=np.int64) + place // length + first), lists(held[a:b], ends), lists(held[a + 1 : b + 1], ends)], names=["win", "inputs", "labels"])
+            place, held = place + count * length, held[count * length :].copy()
+        if not whole and pieces:
+            yield told()
+        pieces.clear()
+    rest()
+    if not whole and pieces:
+        yield told()
+
+
+def _windows(stream: DataFrame, length: int, eos: int | None, element: str) -> DataFrame:
+    """win, inputs, labels of all whole windows of a packed stream (durable); a window's labels are its
+    inputs moved by one, and its last label is the next window's first input. Windows are cut where
+    their tokens lie; only pieces at the ends of rows that follow each other are shuffled."""
+    kind = np.int64 if element == "bigint" else np.int32
+    made = stream.mapInArrow(lambda batches: cut_stream(batches, length, eos, kind, True), f"win long, inputs array<{element}>, labels array<{element}>")
+    pieces = stream.mapInArrow(lambda batches: cut_stream(batches, length, eos, kind, False), f"win long, at long, ids array<{element}>")
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]))
+    joined = pieces.groupBy("win").agg(ids.alias("_ids")).where(F.size("_ids") == length + 1)
+    return made.unionByName(joined.select("win", F.slice("_ids", 1, length).alias("inputs"), F.slice("_ids", 2, length).alias("labels")))
+
+
+def _element(tokens: DataFrame) -> str:
+    return tokens.schema["token_ids"].dataType.elementType.simpleString()
 
 
 def packed_windows(tokens: DataFrame, length: int, bos: int, eos: int) -> DataFrame:
     """win, inputs, labels of all floor((stream - 1) / length) windows of the packed stream."""
-    return _windows(packed_stream(tokens, bos, eos), length)
+    return _windows(packed_stream(tokens, bos, eos), length, eos, _element(tokens))
 
 
 def flat_windows(tokens: DataFrame, length: int, most: int | None = None) -> DataFrame:
@@ -169,8 +250,9 @@ def flat_windows(tokens: DataFrame, length: int, most: int | None = None) -> Dat
     first `most` tokens, where a budget is to be equal for two tokenizers."""
     stream = packed_stream(tokens, None, None)
     if most is not None:
-        stream = stream.where(F.col("at") < most).withColumn("ids", F.slice("ids", 1, F.least(F.size("ids"), (F.lit(most) - F.col("at")).cast("int"))))
-    return _windows(stream, length)
+        stream = stream.where(F.col("at") < most).withColumn("n", F.least("n", F.lit(most) - F.col("at")))
+        stream = stream.withColumn("ids", F.substring("ids", F.lit(1), (F.col("n") * F.col("width")).cast("int")))
+    return _windows(stream, length, None, _element(tokens))
 
 
 def completed_characters(text: str, widths: list[int]) -> list[int]:

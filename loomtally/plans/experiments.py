@@ -65,10 +65,10 @@ def completed_characters(spark: SparkSession, folder: str) -> DataFrame:
 
 def flat_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows over the flat stream of bytes of half of all tokens, without controls."""
-    docs = score.byte_documents(documents(spark, folder))
-    most = (docs.agg(F.sum(F.size("token_ids"))).first()[0] or 0) // 2
-    made = blocks.flat_windows(docs, CONTEXT, most)
-    joined = lambda c: F.md5(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))))
+    docs = documents(spark, folder)
+    most = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    made = blocks.flat_windows(score.byte_documents(docs), CONTEXT, most)
+    joined = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
     return made.select("win", joined("inputs").alias("inputs_md5"), F.element_at("labels", -1).alias("last_label"))
 
 
