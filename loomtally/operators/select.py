@@ -18,6 +18,15 @@ def python_path(path: Column) -> Column:
     return F.coalesce(F.lower(path).endswith(".py"), F.lit(False))
 
 
+def judge(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """pos, _r, _sha, _norm: a row's first check that rejects it, or null, and its identities. It
+    takes a row alone, so tables may be judged part by part."""
+    reason = F.lit(None).cast("string")
+    for name, bad in reversed(checks):
+        reason = F.when(bad, name).otherwise(reason)
+    return rows.select("pos", reason.alias("_r"), text_sha256(F.col("text")).alias("_sha"), text_sha256(normalized(F.col("text"))).alias("_norm"))
+
+
 def classify(rows: DataFrame, checks: list[tuple[str, Column]], exact: str, whitespace: str, taken: DataFrame | None = None) -> DataFrame:
     """pos, reason: the first of `checks` (name, rejected where true) that applies, else a
     duplicate of an earlier selected row, else `selected`.
@@ -25,10 +34,11 @@ def classify(rows: DataFrame, checks: list[tuple[str, Column]], exact: str, whit
     Of rows equal but for white space the first by pos is selected; a later one is an
     exact duplicate if it equals the selected row, else a white-space duplicate.
     taken (text): rows that count as selected before all others."""
-    reason = F.lit(None).cast("string")
-    for name, bad in reversed(checks):
-        reason = F.when(bad, name).otherwise(reason)
-    judged = rows.select("pos", reason.alias("_r"), text_sha256(F.col("text")).alias("_sha"), text_sha256(normalized(F.col("text"))).alias("_norm"))
+    return reasons_of(durable(judge(rows, checks), "judged"), exact, whitespace, taken)
+
+
+def reasons_of(judged: DataFrame, exact: str, whitespace: str, taken: DataFrame | None = None) -> DataFrame:
+    """classify of rows that are judged (durable: they are read three times)."""
     fit = judged.where("_r is null")
     first = fit.groupBy("_norm").agg(F.min_by("_sha", "pos").alias("_first"), F.min("pos").alias("_at")).withColumnRenamed("_norm", "_n")
     known = fit.join(first, F.col("_norm") == F.col("_n"))
@@ -43,14 +53,17 @@ def classify(rows: DataFrame, checks: list[tuple[str, Column]], exact: str, whit
     return known.select("pos", label.alias("reason")).unionByName(judged.where("_r is not null").select("pos", F.col("_r").alias("reason")))
 
 
+#: What file_reasons calls copies.
+FILE_COPIES = "exact_duplicates", "whitespace_duplicates"
+
+
+def file_checks(min_chars: int = 200, max_chars: int = 20_000) -> list[tuple[str, Column]]:
+    return [("outside_size_bounds", ~size_within(F.col("text"), min_chars, max_chars)), ("non_python_path", ~python_path(F.col("path"))), ("missing_repository", F.col("family").isNull())]
+
+
 def file_reasons(rows: DataFrame, min_chars: int = 200, max_chars: int = 20_000) -> DataFrame:
     """pos, reason for source files (pos, text, path, family): size, path, repository, duplicates."""
-    return classify(
-        rows,
-        [("outside_size_bounds", ~size_within(F.col("text"), min_chars, max_chars)), ("non_python_path", ~python_path(F.col("path"))), ("missing_repository", F.col("family").isNull())],
-        "exact_duplicates",
-        "whitespace_duplicates",
-    )
+    return classify(rows, file_checks(min_chars, max_chars), *FILE_COPIES)
 
 
 def candidate_reasons(rows: DataFrame, references: DataFrame, min_chars: int = 200, max_chars: int = 20_000) -> DataFrame:

@@ -43,6 +43,16 @@ def test_scans_open_twice_the_needed_files_at_most(spark, table_of_files, docs,
     assert sorted(tuple(r) for r in early.scan_files(files, shape, docs, 1000).collect()) == want
 
 
+def test_scans_judge_each_row_once(spark, table_of_files, monkeypatch):
+    judged = []
+    judge = early.judge
+    monkeypatch.setattr(early, "judge", lambda rows, checks: judged.append([r[0] for r in rows.select("pos").collect()]) or judge(rows, checks))
+    files = early.OrderedFiles.of(spark, str(table_of_files), "doc_id")
+    got = {r["pos"] for r in early.scan_files(files, shape, 70, 1000).collect()}
+    seen = [pos for part in judged for pos in part]
+    assert len(judged) > 2 and len(seen) == len(set(seen)) and got <= set(seen)
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_characters_stop_early(spark, table_of_files, whole):
     rows = shape(spark.read.parquet(str(table_of_files)))
