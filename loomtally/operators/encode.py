@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtally.operators.portions import portions
-from loomtally.session import durable
+from loomtally.session import durable, release_memory
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of written blocks that a task holds at a time.
+GROUP_BYTES = 8 << 20
 
 
 def load_tokenizer(path: str):
@@ -104,7 +106,7 @@ def encoded_once(docs: DataFrame, path: str, keep: tuple[str, ...] = (), block_b
     encodes its text without special tokens; a null text is empty. Raises where a text that is
     not empty has no tokens."""
     keep = list(keep)
-    blocks = durable(_blocks(docs, path, keep, block_bytes), "pretokens")
+    blocks = durable(_blocks(docs, path, keep, block_bytes), "pretokens", group_bytes=GROUP_BYTES)
     table = encode_words(blocks.select(F.explode("words").alias("word")).distinct(), path)
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word"))
     told = asked.join(table, "word").select("of", "place", "ids")
@@ -122,6 +124,7 @@ def encoded_once(docs: DataFrame, path: str, keep: tuple[str, ...] = (), block_b
         if ((np.diff(ends) == 0) & (column("utf8_bytes").to_numpy(zero_copy_only=False) > 0)).any():
             raise ValueError("a text that is not empty has no tokens")
         ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at].astype(np.int32) if len(at) else np.zeros(0, dtype=np.int32)))
+        release_memory()
         return pa.table({**{c: column(f"keep_{c}") for c in ("pos", *keep)}, **{c: column(c) for c in ("characters", "utf8_bytes")}, "token_ids": ids})
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("pos", *keep))

@@ -73,3 +73,19 @@ def test_histograms_of_token_ids(spark):
     frame = spark.createDataFrame([(0, [5, 5, -2, 9]), (1, []), (2, None), (3, [7])], "pos long, token_ids array<int>").coalesce(1)
     got = {r["pos"]: {x["token"]: x["m"] for x in r["histogram"]} for r in score.histograms(frame).collect()}
     assert got == {0: {5: 2, -2: 1, 9: 1}, 1: {}, 2: {}, 3: {7: 1}}
+
+
+def test_blocks_are_written_in_small_row_groups(spark, monkeypatch):
+    """A row of a block holds megabytes: neither writer nor reader holds all blocks of a task."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    written = {}
+    keep = encode.durable
+    monkeypatch.setattr(encode, "GROUP_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(encode, "durable", lambda df, name="step", **more: written.setdefault(name, keep(df, name, **more)))
+    frame = spark.range(40).selectExpr("id AS pos", "array_join(transform(sequence(1, 2000), x -> substr(sha2(concat(id, ' ', x), 256), 1, 9)), ' ') AS text").coalesce(1)
+    assert encode.encoded_once(frame, public_tokenizers.path("byte_bpe_50k.json"), block_bytes=20_000).count() == 40
+    (file,) = written["pretokens"].inputFiles()
+    told = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert told.num_rows == 20 and max(told.row_group(i).num_rows for i in range(told.num_row_groups)) <= 4
